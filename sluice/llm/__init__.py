@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sluice.llm import exact_dedup, packing, sharding, token_store
+    from sluice.llm import exact_dedup, fingerprints, lm, packing, sharding, token_store
 
     return {
+        "op1_kneser_ney": lm.query,
         "op2_token_store": token_store.query,
+        "op6_prefix_hashes": fingerprints.query,
         "op7_rendezvous_shards": sharding.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_best_fit_packing": packing.query,
