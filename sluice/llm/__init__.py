@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sluice.llm import exact_dedup, fingerprints, lm, packing, sharding, token_store
+    from sluice.llm import exact_dedup, fingerprints, lm, mixing, packing, sharding, token_store
 
     return {
         "op1_kneser_ney": lm.query,
@@ -17,10 +17,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_rendezvous_shards": sharding.query,
         "op8_exact_dedup": exact_dedup.query,
         "op9_best_fit_packing": packing.query,
+        "op10_raked_mixture": mixing.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    from sluice.llm import exact_dedup
+    from sluice.llm import exact_dedup, mixing
 
-    return {"op8_exact_dedup": exact_dedup.ORACLE}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op10_raked_mixture": mixing.oracle()}
