@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sluice.llm import exact_dedup, fingerprints, lm, mixing, packing, sharding, token_store
+    from sluice.llm import exact_dedup, fingerprints, lm, mixing, packing, sharding, token_store, trie_join
 
     return {
         "op1_kneser_ney": lm.query,
         "op2_token_store": token_store.query,
+        "op5_trie_join": trie_join.query,
         "op6_prefix_hashes": fingerprints.query,
         "op7_rendezvous_shards": sharding.query,
         "op8_exact_dedup": exact_dedup.query,
@@ -22,6 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from sluice.llm import exact_dedup, mixing
+    from sluice.llm import exact_dedup, mixing, trie_join
 
-    return {"op8_exact_dedup": exact_dedup.ORACLE, "op10_raked_mixture": mixing.oracle()}
+    return {"op8_exact_dedup": exact_dedup.ORACLE, "op10_raked_mixture": mixing.oracle(), "op5_trie_join": trie_join.ORACLE}
