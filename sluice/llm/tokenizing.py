@@ -10,7 +10,6 @@ the ids that it has in the whole text, so pieces are encoded once and looked up
 
 from __future__ import annotations
 
-import itertools
 import os
 from collections.abc import Iterable
 
@@ -19,29 +18,64 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces held by a worker; the table starts anew beyond.
-HELD = 400_000
+HELD = 800_000
 #: Characters of a piece that is held.
 PIECE = 64
+#: Pieces that are encoded at once.
+TOGETHER = 512
 
 _HELD: dict[str, Pieces] = {}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return np.array(ids, np.uint32).tobytes()
+
+
 class Pieces(dict):
-    """Ids of a piece as a tuple."""
+    """Ids of a piece as packed 32-bit integers.
+
+    Pieces that aren't held are encoded many at once, in one text in which they stand apart as they do in documents;
+    the bytes that each id stands for tell where a piece ends. Where they don't add up, pieces are encoded one by one.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, split: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-
-    def learn(self, wanted: Iterable[str]) -> None:
-        """Encodes those of the pieces that aren't held."""
+        self.tokenizer, self.gap = Tokenizer.from_file(path), "" if split == "spaces" else "\n"
+        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.width = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.width[i] = len(token.removesuffix("</w>") if self.gap else token)
+
+    def learn(self, wanted: Iterable[str], alone: Iterable[str] = ()) -> None:
+        """Encodes those of the pieces that aren't held; alone: those that don't keep apart in a text."""
         if len(self) >= HELD:
             self.clear()
-        if missing := [x for x in wanted if x not in self]:
-            self.update((x, tuple(e.ids)) for x, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True))
+        missing = [x for x in wanted if x not in self]
+        if self.gap:  # white space within a piece would hide where it ends
+            alone = [x for x in missing if not x or not x.isascii() and x.split() != [x]]
+            if alone:
+                odd = set(alone)
+                missing = [x for x in missing if x not in odd]
+        for a in range(0, len(missing), TOGETHER):
+            self._learn(missing[a : a + TOGETHER])
+        if missing := [x for x in alone if x not in self]:
+            self.update((x, _packed(e.ids)) for x, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True))
+
+    def _learn(self, missing: list[str]) -> None:
+        text, parts = self.gap.join(missing), missing
+        if self.gap:
+            parts = self.tokenizer.normalizer.normalize_str(text).split(" ")
+        ids = self.encode([text], add_special_tokens=False)[0].ids
+        ends, goals = np.cumsum(self.width[ids]), np.cumsum([len(x.encode()) for x in parts])
+        at = np.searchsorted(ends, goals)
+        if len(parts) == len(missing) and len(ids) and at[-1] == len(ids) - 1 and (ends[at] == goals).all():
+            stops, raw = (4 * at + 4).tolist(), _packed(ids)
+            self.update((x, raw[a:b]) for x, a, b in zip(missing, [0, *stops[:-1]], stops, strict=True))
+        else:
+            self.update((x, _packed(e.ids)) for x, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True))
 
     def forget(self, wanted: Iterable[str]) -> None:
         for x in wanted:
@@ -49,11 +83,11 @@ class Pieces(dict):
                 self.pop(x, None)
 
 
-def pieces(path: str) -> Pieces:
+def pieces(path: str, split: str) -> Pieces:
     """The table of this process."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     if path not in _HELD:
-        _HELD[path] = Pieces(path)
+        _HELD[path] = Pieces(path, split)
     return _HELD[path]
 
 
@@ -74,8 +108,8 @@ def _plain(part: str) -> bool:
     return bool(part) and not part[0].isspace() and not part[-1].isspace()
 
 
-def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Offsets of each text's pieces, their numbers, and the distinct pieces."""
+def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+    """Offsets of each text's pieces, their numbers, and the distinct pieces: those that keep apart, and the others."""
     if split == "words":
         lists = pc.ascii_split_whitespace(texts)
     elif split == "spaces":
@@ -87,19 +121,23 @@ def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str]
     coded = lists.flatten().dictionary_encode()
     index, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
     if split == "words":
-        return offsets, index, distinct
+        return offsets, index, distinct, []
     plain = np.fromiter(map(_plain, distinct), bool, len(distinct))
     wild = np.unique(np.searchsorted(offsets, np.flatnonzero(~plain[index]), side="right") - 1)
-    distinct = [" " + x for x in distinct]
+    # A part that isn't plain is used in no text that stays cut at single spaces, but as its first.
+    distinct = [" " + x if ok else x for x, ok in zip(distinct, plain.tolist(), strict=True)]
     firsts = offsets[:-1][np.diff(offsets) > 0]
     own = {i: by_spaces(texts[i].as_py()) for i in wild.tolist()}
     more: dict[str, int] = {}
     number = lambda x: more.setdefault(x, len(distinct) + len(more))
-    index[firsts] = [number(distinct[k][1:]) for k in index[firsts].tolist()]
+    index[firsts] = [number(distinct[k][1:] if plain[k] else distinct[k]) for k in index[firsts].tolist()]
     if own:
         pieces_of = [np.array([number(x) for x in own[i]], np.int64) if i in own else index[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
         offsets, index = np.concatenate([[0], np.cumsum([len(x) for x in pieces_of])]), np.concatenate(pieces_of)
-    return offsets, index, distinct + list(more)
+    used = np.zeros(len(distinct), bool)
+    used[index[index < len(distinct)]] = True
+    distinct = [x if keep else " x" for x, keep in zip(distinct, used.tolist(), strict=True)]
+    return offsets, index, distinct, list(more)
 
 
 def encode(texts: pa.Array, path: str, split: str, end: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
@@ -107,13 +145,15 @@ def encode(texts: pa.Array, path: str, split: str, end: int, dtype: type) -> tup
     n = len(texts)
     if not n:
         return np.empty(0, dtype), np.empty(0, np.int64)
-    offsets, index, distinct = _cut(texts, split)
-    table = pieces(path)
-    table.learn(distinct)
+    offsets, index, apart, others = _cut(texts, split)
+    table, distinct = pieces(path, split), apart + others
+    table.learn(apart, others)
     held = [table[x] for x in distinct]
     table.forget(distinct)
-    sizes = np.fromiter(map(len, held), np.int64, len(held))
-    flat = np.fromiter(itertools.chain.from_iterable(held), dtype, int(sizes.sum()))
+    sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    flat = np.frombuffer(b"".join(held), np.uint32)
+    if len(flat) and flat.max() > np.iinfo(dtype).max:
+        raise OverflowError(f"ids up to {flat.max()} don't fit {np.dtype(dtype)}")
     starts = np.cumsum(sizes) - sizes
     # Every text's pieces, then one place for its end id.
     take, length = starts[index], sizes[index]
