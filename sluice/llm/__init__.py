@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from sluice.llm import exact_dedup, fingerprints, lm, mixing, packing, sharding, token_store, trie_join
+    from sluice.llm import exact_dedup, fingerprints, lm, mixing, packing, secret_scan, sharding, token_store, toxicity, trie_join
 
     return {
         "op1_kneser_ney": lm.query,
         "op2_token_store": token_store.query,
+        "op3_subsequence_kernel": toxicity.query,
+        "op4_secret_forest": secret_scan.query,
         "op5_trie_join": trie_join.query,
         "op6_prefix_hashes": fingerprints.query,
         "op7_rendezvous_shards": sharding.query,
