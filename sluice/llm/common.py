@@ -81,8 +81,9 @@ def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.Reco
 
 
 def filled(column: pa.Array) -> pa.Array:
-    """Texts with null as empty, with 64-bit offsets."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """Texts with null as empty, with 64-bit offsets from 0 on: ascii_lower misreads slices of larger arrays."""
+    whole = pa.concat_arrays([pa.array([], pa.large_string()), column.cast(pa.large_string())])
+    return pc.fill_null(whole, "")
 
 
 def words(column: pa.Array) -> tuple[np.ndarray, pa.DictionaryArray]:
