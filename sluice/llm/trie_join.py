@@ -3,13 +3,13 @@
 A document's set has the 64-bit hashes of its distinct runs of ``n`` words. Equal sets are one *class*, which its
 smallest doc_id stands for. Classes link when ``100 * shared >= percent * united``.
 
-1. One order of all n-grams holds everywhere: by how common they are in a table of 2**24 counts over hashes (a fixed
-   size; an n-gram that isn't common beyond what chance lets collide counts as rare), then by hash. Two sets that link
-   share one of the first ``size - ceil(percent * size / 100) + 1`` members of each in that order.
+1. One order of all n-grams holds everywhere: by how often their place in a table of 2**24 counts over hashes occurs (a
+   fixed size; n-grams may share a place), then by hash. Two sets that link share one of the first
+   ``size - ceil(percent * size / 100) + 1`` members of each in that order, which are mostly the rarest.
 2. Classes that share such a member are chained to one another, and the chains' components are *blocks*: sets of two
    blocks cannot link. Members that occur in one class only, and classes without shared ones, drop out there.
-3. Each block's whole sets go to one task; a block with over ``BLOCK_GRAMS`` members is cut into chunks, and each pair of
-   chunks is a task of its own, so that no task holds more than two chunks.
+3. Each block's whole sets go to one task; a block with over ``BLOCK_GRAMS`` members is cut into chunks by size, and each
+   pair of chunks with sizes near enough to link is a task of its own, so that no task holds more than two chunks.
 4. A task lays its sets in a trie, by the block's own order with its commonest n-grams first, so that near copies share
    long paths. It goes down once for all sets: a node keeps how much of its path every set has (one vector, shared by
    all sets below), and drops sets that cannot reach the overlap that they need, even if all that remains of the longer
@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm.common import bounded_batches, documents, extend, materialise, partitions, text_slices, word_hashes, words
 from sluice.llm.components import components
@@ -44,7 +45,7 @@ _SHIFT = np.uint64(64 - 24)
 _PIECES = 64
 #: Members of a block that one task takes whole; chunks of larger blocks have half of it.
 BLOCK_GRAMS = 2_000_000
-#: Classes up to this number go to executors as a broadcast table of two numbers each.
+#: Rows of classes and tasks up to this number go to executors as a broadcast table of five numbers each.
 BROADCAST_CLASSES = 1_000_000
 
 
@@ -64,13 +65,17 @@ def shingle_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
     place = np.arange(len(runs)) - offsets[:-1][doc]
     whole = (place + n <= size[doc]) | ((place == 0) & (size[doc] < n))
     runs, doc = runs[whole], doc[whole]
-    order = np.lexsort((runs, doc))
-    runs, doc = runs[order], doc[order]
-    if len(runs):
-        new = np.concatenate([[True], (runs[1:] != runs[:-1]) | (doc[1:] != doc[:-1])])
-        runs, doc = runs[new], doc[new]
+    out = []
     cuts = np.searchsorted(doc, np.arange(len(size) + 1))
-    return [runs[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        own = np.sort(runs[a:b])
+        if b - a > 1:
+            new = np.empty(b - a, bool)
+            new[0] = True
+            np.not_equal(own[1:], own[:-1], out=new[1:])
+            own = own[new]
+        out.append(own)
+    return out
 
 
 def prefix_length(size: np.ndarray | int, percent: int = PERCENT):
@@ -109,21 +114,20 @@ def _sum_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = np.frombuffer(zlib.decompress(counts), np.uint32).astype(np.uint64)
             total[piece] = total[piece] + own if piece in total else own
     for piece, own in total.items():
-        # Above what chance makes of a place's mean, a class for each doubling; the mean is the table's, about.
-        mean = max(float(np.median(own)), 1.0)
-        rare = own <= mean + 5 * np.sqrt(mean) + 2
-        level = np.where(rare, 0, 1 + np.floor(np.log2(np.maximum(own, 1)))).astype(np.uint8)
+        # Counts themselves, or in steps of a thousandth of the usual count where that is over a thousand.
+        step = max(1, int(np.median(own)) // 1000)
+        level = np.minimum(own // np.uint64(step), 65535).astype(np.uint16)
         yield pa.RecordBatch.from_arrays([pa.array([piece], pa.int32()), pa.array([zlib.compress(level.tobytes(), 1)], pa.binary())], ["piece", "level"])
 
 
 def commonness(rows: DataFrame, n: int = N) -> np.ndarray:
-    """A level for each place of the table; 16 MB whatever the size of the corpus."""
+    """A level for each place of the table; 32 MB whatever the size of the corpus."""
     counted = rows.select("text").mapInArrow(_count_places(n), "piece int, counts binary")
     levels = counted.repartitionById(_PIECES, F.col("piece")).mapInArrow(_sum_places, "piece int, level binary").collect()
-    out = np.zeros(PLACES, np.uint8)
+    out = np.zeros(PLACES, np.uint16)
     step = PLACES // _PIECES
     for r in levels:
-        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(zlib.decompress(r["level"]), np.uint8)
+        out[r["piece"] * step : (r["piece"] + 1) * step] = np.frombuffer(zlib.decompress(r["level"]), np.uint16)
     return out
 
 
@@ -134,21 +138,22 @@ def _describe(level, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        table = np.frombuffer(zlib.decompress(level.value), np.uint8)
+        table = np.frombuffer(zlib.decompress(level.value), np.uint16)
         for batch in batches:
             for part in text_slices(batch):
                 sets = shingle_sets(part.column("text"), n)
                 sizes = np.fromiter(map(len, sets), np.int64, len(sets))
                 keys = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
                 k = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-                doc = np.repeat(np.arange(len(sets)), sizes)
-                order = np.lexsort((flat, table[flat >> _SHIFT], doc))
-                place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                first = place < prefix_length(sizes, percent)[doc]
-                counts = np.minimum(prefix_length(sizes, percent), sizes)
+                prefixes = []
+                for own in sets:
+                    # By level; within one the sets' own order, by hash.
+                    order = np.argsort(table[own >> _SHIFT], kind="stable")[: prefix_length(len(own), percent)]
+                    prefixes.append(own[order])
+                counts = np.fromiter(map(len, prefixes), np.int64, len(prefixes))
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-                prefix = pa.ListArray.from_arrays(offsets, pa.array(flat[order][first].view(np.int64)))
+                flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.uint64)
+                prefix = pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy()), prefix], [x.split()[0] for x in INFO.split(", ")])
 
     return run
@@ -314,7 +319,7 @@ def _sets(n: int):
         for batch in batches:
             for part in text_slices(batch):
                 own = [s.tobytes() for s in shingle_sets(part.column("text"), n)]
-                yield pa.RecordBatch.from_arrays([part.column("node"), part.column("block"), part.column("chunks"), pa.array(own, pa.binary())], ["node", "block", "chunks", "own"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own, pa.binary())], [*part.schema.names[:-1], "own"])
 
     return run
 
@@ -336,19 +341,23 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
     grams = standing.select(F.explode("prefix").alias("gram"), F.col("doc_id").alias("node"))
     chained = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "node").mapInArrow(_chains, "a long, b long")
     blocks = materialise(components(chained).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
-    # A block's chunks: none is over half of block_grams but for its last set.
+    # Chunks of a block by ascending size, so that many pairs of chunks have sizes too far apart to link.
     sized = blocks.join(keyed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    chunks = sized.groupBy("block").agg(F.sum("n_shingles").alias("_s")).select("block", F.when(F.col("_s") <= block_grams, 1).otherwise(F.ceil(F.col("_s") * 2 / block_grams)).cast("int").alias("chunks"))
-    members = materialise(sized.join(chunks, "block").select(F.col("doc_id").alias("node"), "block", "chunks"), "members")
-    found = members.count()
-    side = F.broadcast(members) if found <= BROADCAST_CLASSES else members
+    ahead = F.sum("n_shingles").over(Window.partitionBy("block").orderBy("n_shingles", "doc_id")) - 1
+    totals = sized.groupBy("block").agg(F.sum("n_shingles").alias("_s"))
+    chunk = F.when(F.col("_s") <= block_grams, 0).otherwise(F.floor(F.col("_a") * 2 / block_grams)).cast("int")
+    members = sized.withColumn("_a", ahead).join(totals, "block").select(F.col("doc_id").alias("node"), "block", chunk.alias("chunk"), F.col("n_shingles").alias("size"))
+    members = materialise(members, "members")
+    chunks = members.groupBy("block", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    i, j = (chunks.select("block", *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "low", "high"))) for x in "ij")
+    pairs = i.join(j, "block").where(f"chunk_i <= chunk_j AND 100 * high_i >= {percent} * low_j")
+    # Alone a chunk is one side; in a pair it is one of two.
+    tasks = pairs.select("block", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), F.explode(F.when(F.col("chunk_i") == F.col("chunk_j"), F.array("chunk_i")).otherwise(F.array("chunk_i", "chunk_j"))).alias("chunk"))
+    tasks = materialise(members.select("node", "block", "chunk").join(tasks, ["block", "chunk"]).select("node", "block", "i", "j", (F.col("chunk") != F.col("i")).cast("int").alias("side")), "tasks")
+    found = tasks.count()
+    side = F.broadcast(tasks) if found <= BROADCAST_CLASSES else tasks
     texts = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
-    whole = texts.join(side, F.col("doc_id") == F.col("node")).select("node", "block", "chunks", "text").mapInArrow(_sets(n), "node long, block long, chunks int, own binary")
-    # Chunk c goes to the tasks (0, c) to (c, last); alone in (c, c), and on one of two sides in the others.
-    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("_o")
-    dealt = whole.withColumn("_c", chunk).select("node", "block", "_c", "own", other)
-    dealt = dealt.select("block", F.least("_c", "_o").alias("i"), F.greatest("_c", "_o").alias("j"), "node", F.when(F.col("_c") > F.col("_o"), 1).otherwise(0).alias("side"), "own")
+    dealt = texts.join(side, F.col("doc_id") == F.col("node")).select("block", "i", "j", "node", "side", "text").mapInArrow(_sets(n), "block long, i int, j int, node long, side int, own binary")
     tasks = dealt.repartition(partitions(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
     linked = materialise(tasks.mapInArrow(_blocks(n, percent), "a long, b long, links long"), "linked")
     joined = components(linked.select("a", "b"))
@@ -364,6 +373,13 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
     )
 
 
+def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all their columns, without those that are linked to a document with a smaller doc_id."""
+    found = jaccard_classes(docs, n, percent)
+    drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+
+
 def _repeats(rows: DataFrame) -> bool:
     """Whether an id occurs twice; only then texts are shuffled to drop repeated rows."""
     return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
