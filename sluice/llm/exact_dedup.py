@@ -41,21 +41,23 @@ def _rank(id_column: str, text: str) -> Column:
     return (length * F.lit(str(_STEP)).cast("decimal(21,0)") + (F.lit(_LAST).cast("decimal(19,0)") - own)).cast("decimal(38,0)")
 
 
-def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", salts: int = SALTS, digest_bits: int = 256) -> DataFrame:
+def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", salts: int = SALTS, digest_bits: int = 256, carry: bool = False) -> DataFrame:
     """One row per row of docs: id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256``.
 
-    digest_bits: how much of the digest groups rows; less than 256 only to test digests that collide.
+    digest_bits: how much of the digest groups rows; less than 256 only to test digests that collide. carry: also ``_row``,
+    a structure of the row's own columns.
     """
+    own = [F.struct(*docs.columns).alias("_row")] if carry else []
     exact = digest_bits >= 256
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_column).cast("long").alias("_id"), _rank(id_column, text).alias("_rank"), normalised(text).alias("_norm"))
+    rows = docs.select(F.col(id_column).cast("long").alias("_id"), _rank(id_column, text).alias("_rank"), normalised(text).alias("_norm"), *own)
     rows = rows.withColumn("text_sha256", F.sha2(F.col("_norm").cast("binary"), 256)).withColumn("_digest", F.substring("text_sha256", 1, digest_bits // 4))
     salt = F.pmod(F.xxhash64("_id", "_rank"), F.lit(salts))
     salted = rows.groupBy("_digest", salt.alias("_salt"), "_norm").agg(F.max("_rank").alias("_rank"), F.count(F.lit(1)).alias("_n"))
     best = salted.repartition(n, "_digest").groupBy("_digest", "_norm").agg(F.max("_rank").alias("_best"), F.sum("_n").alias("group_size"))
     if exact:
         found = best.select("_digest", "_best", "group_size")
-        joined = rows.select("_id", "_rank", "text_sha256", "_digest").join(found, "_digest")
+        joined = rows.select("_id", "_rank", "text_sha256", "_digest", *(["_row"] if carry else [])).join(found, "_digest")
     else:
         joined = rows.join(best, ["_digest", "_norm"])
     # Repeated rows of one id: the first alone is kept.
@@ -67,9 +69,15 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         F.col("group_size").cast("long").alias("group_size"),
         ((F.col("_rank") == F.col("_best")) & (F.col("_k") == 1)).alias("kept"),
         "text_sha256",
+        *(["_row"] if carry else []),
     )
 
 
+def deduplicated(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return exact_groups(docs, id_column, text, carry=True).where("kept").select("_row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
