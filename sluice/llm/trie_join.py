@@ -6,8 +6,8 @@ smallest doc_id stands for. Classes link when ``100 * shared >= percent * united
 1. One order of all n-grams holds everywhere: by how often their place in a table of 2**24 counts over hashes occurs (a
    fixed size; n-grams may share a place), then by hash. Two sets that link share one of the first
    ``size - ceil(percent * size / 100) + 1`` members of each in that order, which are mostly the rarest.
-2. Classes that share such a member are chained to one another, and the chains' components are *blocks*: sets of two
-   blocks cannot link. Members that occur in one class only, and classes without shared ones, drop out there.
+2. Classes that share such a member are chained by size, as far as neighbours' sizes are near enough to link, and the
+   chains' components are *blocks*: sets of two blocks cannot link. Members that occur in one class only, and classes without shared ones, drop out there.
 3. Each block's whole sets go to one task; a block with over ``BLOCK_GRAMS`` members is cut into chunks by size, and each
    pair of chunks with sizes near enough to link is a task of its own, so that no task holds more than two chunks.
 4. A task lays its sets in a trie, by the block's own order with its commonest n-grams first, so that near copies share
@@ -96,7 +96,7 @@ def _count_places(n: int):
                 own = shingle_sets(part.column("text"), n)
                 held += own
                 size += sum(map(len, own))
-                if held and size >= 4_000_000:
+                if held and size >= 2_000_000:
                     add()
                     held, size = [], 0
         if size:
@@ -159,24 +159,24 @@ def _describe(level, n: int, percent: int):
     return run
 
 
-def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows by gram and class in order: each class of a gram with the gram's first class."""
-    last = first = None
-    for batch in batches:
-        gram, node = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "node"))
-        if not len(gram):
-            continue
-        new = np.concatenate([[last is None or gram[0] != last], gram[1:] != gram[:-1]])
-        at = np.flatnonzero(new)
-        heads = node[at]
-        if not new[0]:
-            heads = np.concatenate([[first], heads])
-        mine = heads[np.cumsum(new) - (0 if not new[0] else 1)]
-        last, first = gram[-1], mine[-1]
-        links = mine != node
-        if links.any():
-            pairs = np.unique(np.stack([node[links], mine[links]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def _chains(percent: int):
+    """From rows by gram, size and class in order: each class with the next one of its gram, if their sizes may link.
+
+    Where two classes of a gram may link, so may all neighbours between them, so chains hold every pair together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = np.empty((3, 0), np.int64)
+        for batch in batches:
+            rows = np.concatenate([last, np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "size", "node")])], 1)
+            last = rows[:, -1:]
+            gram, size, node = rows
+            link = (gram[1:] == gram[:-1]) & (100 * size[:-1] >= percent * size[1:]) & (node[1:] != node[:-1])
+            if link.any():
+                pairs = np.unique(np.stack([node[:-1][link], node[1:][link]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
 
 
 class Trie:
@@ -338,8 +338,8 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
     classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
     standing = keyed.select("doc_id", "n_shingles", "prefix").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
     standing = standing.dropDuplicates(["doc_id"])
-    grams = standing.select(F.explode("prefix").alias("gram"), F.col("doc_id").alias("node"))
-    chained = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "node").mapInArrow(_chains, "a long, b long")
+    grams = standing.select(F.explode("prefix").alias("gram"), F.col("n_shingles").alias("size"), F.col("doc_id").alias("node"))
+    chained = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_chains(percent), "a long, b long")
     blocks = materialise(components(chained).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
     # Chunks of a block by ascending size, so that many pairs of chunks have sizes too far apart to link.
     sized = blocks.join(keyed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
@@ -376,7 +376,9 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
 def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
     """The rows of docs, with all their columns, without those that are linked to a document with a smaller doc_id."""
     found = jaccard_classes(docs, n, percent)
-    drop = found.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct()
+    drop = materialise(found.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct(), "linked-away")
+    if drop.count() <= BROADCAST_CLASSES:
+        drop = F.broadcast(drop)
     return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
 
 
