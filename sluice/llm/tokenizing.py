@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 HELD = 800_000
 #: Characters of a piece that is held.
 PIECE = 64
+#: Marks that may follow a word; none is a letter, a number or white space to a vocabulary.
+MARKS = ",.!?;:#$%&*|"
 #: Pieces that are encoded at once.
 TOGETHER = 512
 
@@ -53,16 +55,28 @@ class Pieces(dict):
         """Encodes those of the pieces that aren't held; alone: those that don't keep apart in a text."""
         if len(self) >= HELD:
             self.clear()
-        missing = [x for x in wanted if x not in self]
-        if self.gap:  # white space within a piece would hide where it ends
-            alone = [x for x in missing if not x or not x.isascii() and x.split() != [x]]
-            if alone:
-                odd = set(alone)
-                missing = [x for x in missing if x not in odd]
+        alone = {x for x in alone if x not in self}
+        together: dict[str, None] = {}
+        compound = []
+        for x in wanted:
+            if x not in self:
+                stem = x.rstrip(MARKS)
+                # Letters and the marks after them are pretokens of their own.
+                if len(stem) < len(x) <= PIECE and stem.lstrip(" ").isalpha():
+                    compound.append((x, stem, x[len(stem) :]))
+                    together[stem] = None
+                    alone.add(x[len(stem) :])
+                elif self.gap and (not x or not x.isascii() and x.split() != [x]):
+                    alone.add(x)  # white space within a piece would hide where it ends
+                else:
+                    together[x] = None
+        missing = [x for x in together if x not in self]
         for a in range(0, len(missing), TOGETHER):
             self._learn(missing[a : a + TOGETHER])
         if missing := [x for x in alone if x not in self]:
             self.update((x, _packed(e.ids)) for x, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True))
+        for x, stem, marks in compound:
+            self[x] = self[stem] + self[marks]
 
     def _learn(self, missing: list[str]) -> None:
         text, parts = self.gap.join(missing), missing
@@ -111,7 +125,9 @@ def _plain(part: str) -> bool:
 def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
     """Offsets of each text's pieces, their numbers, and the distinct pieces: those that keep apart, and the others."""
     if split == "words":
-        lists = pc.ascii_split_whitespace(texts)
+        # These vocabularies lower-case; only special tokens, which have "<|", tell cases apart.
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()
+        lists = pc.ascii_split_whitespace(texts if special else pc.ascii_lower(texts))
     elif split == "spaces":
         lists = pc.split_pattern(texts, " ")
     else:
