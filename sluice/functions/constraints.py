@@ -131,7 +131,7 @@ def checked(cell: Column, raw: Column, door: Door, rules: Constraints, kind: str
                 broken.append((index.isNull(), "enum"))
             span, length, cast = F.lit(0), F.octet_length(raw), c["value"]
         keyword = _first(broken)
-        found = F.struct(keyword.alias("keyword"), delivered.cast(kind).alias("delivered"), adjusted.alias("adjusted"), index.alias("index"))
+        found = F.struct(keyword.alias("keyword"), delivered.try_cast(kind).alias("delivered"), adjusted.alias("adjusted"), index.alias("index"))
         return let(
             F.when(ok, found),
             lambda k: F.struct(

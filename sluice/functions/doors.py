@@ -63,7 +63,7 @@ def _result(t: Column, door: Door, value: Column, faults: Sequence[tuple[Column,
     for when, reason, detail, start, n in faults:
         found = found.when(when, fault(reason, detail, start, n))
     found = found.when(value.isNull(), fault("malformed", "notRecognized"))
-    return F.struct(value.cast(kind or SPARK_TYPE[door]).alias("value"), found.alias("fault"))
+    return F.struct(value.try_cast(kind or SPARK_TYPE[door]).alias("value"), found.alias("fault"))
 
 
 def _door(judge: Callable[..., Column]) -> Callable[..., Column]:

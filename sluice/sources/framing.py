@@ -61,7 +61,7 @@ def transcode(data: bytes, encoding: str) -> tuple[bytes, int | None]:
 def _pattern(dialect: Dialect) -> re.Pattern[bytes]:
     s = re.escape(dialect.separator.encode())
     bare = rb"[^" + s + rb"\r\n]*"
-    cell = rb'"((?:[^"]|"")*)"(' + bare + rb")|(" + bare + rb")" if dialect.quoting else rb"()()(" + bare + rb")"
+    cell = rb'"((?:[^"]|"")*+)"(' + bare + rb")|(" + bare + rb")" if dialect.quoting else rb"()()(" + bare + rb")"
     return re.compile(rb"(?:" + cell + rb")(" + s + rb"|\r\n|\r|\n|\Z)")
 
 

@@ -1,0 +1,82 @@
+"""Small workbooks for tests and queries, with the standard library: a sheet ``Data`` of text, numbers, booleans and dates."""
+
+from __future__ import annotations
+
+import io
+import zipfile
+from collections.abc import Sequence
+from datetime import date, datetime
+from xml.sax.saxutils import escape, quoteattr
+
+
+def letters(n: int) -> str:
+    """Column letters from 0 on."""
+    out = ""
+    n += 1
+    while n:
+        n, r = divmod(n - 1, 26)
+        out = chr(65 + r) + out
+    return out
+
+
+def serial(d: date) -> float:
+    days = (date(d.year, d.month, d.day) - date(1899, 12, 30)).days
+    return days + (d.hour * 3600 + d.minute * 60 + d.second) / 86400 if isinstance(d, datetime) else float(days)
+
+
+def _xlsx_cell(ref: str, v: object) -> str:
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return f'<c r="{ref}" t="b"><v>{int(v)}</v></c>'
+    if isinstance(v, date):
+        return f'<c r="{ref}" s="1"><v>{serial(v)!r}</v></c>'
+    if isinstance(v, (int, float)):
+        return f'<c r="{ref}"><v>{v!r}</v></c>'
+    return f'<c r="{ref}" t="inlineStr"><is><t xml:space="preserve">{escape(str(v))}</t></is></c>'
+
+
+def xlsx_bytes(rows: Sequence[Sequence[object]], sheets: Sequence[tuple[str, str]] = (), raw: str | None = None, date1904: bool = False, strings: Sequence[str] = ()) -> bytes:
+    """raw: the sheet's rows as XML instead of rows. sheets: further empty ones with their states."""
+    body = raw if raw is not None else "".join(f'<row r="{i}">' + "".join(_xlsx_cell(f"{letters(j)}{i}", v) for j, v in enumerate(row)) + "</row>" for i, row in enumerate(rows, 1))
+    every = [("Data", "visible"), *sheets]
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    package = "http://schemas.openxmlformats.org/package/2006/relationships"
+    n = len(every)
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>')
+        z.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="r" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><workbookPr date1904="{int(date1904)}"/><sheets>' + "".join(f'<sheet name={quoteattr(s)} sheetId="{i}" state="{state}" r:id="rId{i}"/>' for i, (s, state) in enumerate(every, 1)) + "</sheets></workbook>")
+        links = "".join(f'<Relationship Id="rId{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, n + 1))
+        links += f'<Relationship Id="st" Type="{rel}/styles" Target="styles.xml"/>' + (f'<Relationship Id="ss" Type="{rel}/sharedStrings" Target="sharedStrings.xml"/>' if strings else "")
+        z.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}">{links}</Relationships>')
+        z.writestr("xl/styles.xml", f'<styleSheet xmlns="{main}"><numFmts count="1"><numFmt numFmtId="164" formatCode="[hh]:mm"/></numFmts><cellXfs count="4"><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="20"/><xf numFmtId="164"/></cellXfs></styleSheet>')
+        if strings:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si>{s}</si>" for s in strings) + "</sst>")
+        for i in range(1, n + 1):
+            z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body if i == 1 else ""}</sheetData></worksheet>')
+    return out.getvalue()
+
+
+def _ods_cell(v: object) -> str:
+    if v is None:
+        return "<table:table-cell/>"
+    if isinstance(v, bool):
+        return f'<table:table-cell office:value-type="boolean" office:boolean-value="{str(v).lower()}"><text:p>{v}</text:p></table:table-cell>'
+    if isinstance(v, date):
+        return f'<table:table-cell office:value-type="date" office:date-value="{v.isoformat()}"><text:p>{v}</text:p></table:table-cell>'
+    if isinstance(v, (int, float)):
+        return f'<table:table-cell office:value-type="float" office:value="{v!r}"><text:p>{v}</text:p></table:table-cell>'
+    return f'<table:table-cell office:value-type="string"><text:p>{escape(str(v))}</text:p></table:table-cell>'
+
+
+def ods_bytes(rows: Sequence[Sequence[object]], raw: str | None = None) -> bytes:
+    body = raw if raw is not None else "".join("<table:table-row>" + "".join(map(_ods_cell, row)) + "</table:table-row>" for row in rows)
+    names = " ".join(f'xmlns:{p}="urn:oasis:names:tc:opendocument:xmlns:{p}:1.0"' for p in ("office", "table", "text"))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("mimetype", "application/vnd.oasis.opendocument.spreadsheet")
+        z.writestr("content.xml", f'<office:document-content {names}><office:body><office:spreadsheet><table:table table:name="Data">{body}</table:table></office:spreadsheet></office:body></office:document-content>')
+    return out.getvalue()
