@@ -13,7 +13,7 @@ at its candidates once, so each one comes with what stands before and behind it.
 
 The forest is trained on labelled findings (``FINDINGS`` rows at most). There is no such table among the inputs, so
 ``labelled_findings`` makes one by rule: assigned keys and passwords in several alphabets and lengths as true ones; long
-words, card and telephone numbers, file paths, commit hashes, checksums, UUIDs and placeholders as false ones.
+words (in capitals too), card and telephone numbers, file paths, commit hashes, checksums, UUIDs and placeholders as false ones.
 
 Defined cases: null and empty texts have no candidates; repeated rows have their findings each; null sources and ids are
 kept as they are; the length of a text and the number of its candidates are not bounded; an empty table gives no rows.
@@ -134,10 +134,12 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
             F.concat(F.lit("your_"), word(3), F.lit("_key_example_"), F.substring(more, 1, 6)),
             F.concat(F.repeat(F.lit("x"), 20), F.substring(more, 1, 2)),
             F.initcap(F.concat(word(3), word(7), word(11), word(15))),
+            F.upper(F.concat(word(3), word(7), word(11), word(15))),
+            F.substring(F.concat(word(3), word(7), word(11), word(15), word(19)), 2, 18),
         ),
-        pick(13, 11) + 1,
+        pick(13, 13) + 1,
     )
-    kind = pick(13, 11)
+    kind = pick(13, 13)
     led = F.when(kind.isin(6, 7), F.element_at(F.array(*map(F.lit, ["commit ", "sha256: ", "checksum=", "md5 = "])), pick(17, 4) + 1)).when(kind == 5, "uuid: ").when(kind.isin(8, 9), F.concat(name, sign))
     is_true = pick(21, 2) == 1
     other = F.concat(word(23), F.lit(" "), word(27), F.lit(" "))

@@ -4,7 +4,7 @@ The kernel of two strings sums, over all pairs of equal subsequences of ``ORDER`
 letters that both skip. Characters that aren't letters are no part of a unit, so ``i.d.i.o.t`` is ``idiot``; inserted, left
 out or changed letters thin subsequences out or cost some of them.
 
-*Units* are the words of a text in lower case; runs of three and more single-letter words are one unit, and words of more
+*Units* are the words of a text in lower case; a sentence's runs of three and more single-letter words are one unit, and words of more
 than ``WINDOW`` characters give overlapping windows, so that texts are covered whole. *Landmarks* are strings of 4 to 12
 letters that training documents marked toxic have and others lack, chosen one after another by how many toxic documents
 each adds. A sentence's vector has the largest normalised kernel values of each landmark with spans of its units (from one
@@ -76,7 +76,7 @@ def units_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     if single.any():
         edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
         for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            for c, d in _within(doc, a, b):
+            for c, d in _within(sentence, a, b):
                 if d - c >= 3:
                     joined = "".join(strings[k][0] for k in index[c:d].tolist())
                     for e in range(0, len(joined), WINDOW // 2):
@@ -89,9 +89,9 @@ def units_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return strings, index, sentence, text_of
 
 
-def _within(doc: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Parts of a run that lie in one text each."""
-    cuts = [a, *(a + 1 + np.flatnonzero(np.diff(doc[a:b]))).tolist(), b]
+def _within(sentence: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Parts of a run that lie in one sentence each."""
+    cuts = [a, *(a + 1 + np.flatnonzero(np.diff(sentence[a:b]))).tolist(), b]
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
