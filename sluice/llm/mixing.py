@@ -23,6 +23,8 @@ gives no rows; other columns aren't read.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,14 +42,16 @@ WHOLE_CELLS = 200_000
 _BITS = 48
 
 
+#: What a text of a licence has.
+LEGAL = ("Licensed ", "licensed ", "LICENSED ", "License ", "Copyright", "copyright", "COPYRIGHT")
+MAIL, PHONE = r"[A-Za-z0-9.]@[A-Za-z0-9]+\.[A-Za-z]", r"\(\d{3}\) \d{3}-\d{4}"
+
+
 def topic_of(text: Column) -> Column:
-    """What a text is about as far as its form tells; the first that fits."""
-    return (
-        F.when(text.rlike(r"(?i)\blicen[sc]ed? |copyright"), "legal")
-        .when(text.contains(" | "), "tabular")
-        .when(text.rlike(r"[A-Za-z0-9.]+@[A-Za-z0-9]+\.[A-Za-z]|\(\d{3}\) \d{3}-\d{4}"), "contact")
-        .otherwise("prose")
-    )
+    """What a text is about as far as its form tells; the first that fits. Patterns look at texts with their fixed parts only."""
+    legal = reduce(or_, (text.contains(x) for x in LEGAL))
+    contact = (text.contains("@") & text.rlike(MAIL)) | (text.contains(") ") & text.rlike(PHONE))
+    return F.when(legal, "legal").when(text.contains(" | "), "tabular").when(contact, "contact").otherwise("prose")
 
 
 def n_words(text: Column) -> Column:
@@ -147,8 +151,8 @@ def oracle() -> str:
     """The same steps in SQL, one common table for each."""
     steps = [
         rf"""d AS (SELECT doc_id, lang, source, len(regexp_extract_all(coalesce(text, ''), '[^{SPACE}]+')) AS n_words,
-  CASE WHEN regexp_matches(coalesce(text, ''), '\blicen[sc]ed? |copyright', 'i') THEN 'legal' WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular'
-  WHEN regexp_matches(coalesce(text, ''), '[A-Za-z0-9.]+@[A-Za-z0-9]+\.[A-Za-z]|\(\d{{3}}\) \d{{3}}-\d{{4}}') THEN 'contact' ELSE 'prose' END AS topic FROM documents)""",
+  CASE WHEN {" OR ".join(f"contains(coalesce(text, ''), '{x}')" for x in LEGAL)} THEN 'legal' WHEN contains(coalesce(text, ''), ' | ') THEN 'tabular'
+  WHEN regexp_matches(coalesce(text, ''), '{MAIL}') OR regexp_matches(coalesce(text, ''), '{PHONE}') THEN 'contact' ELSE 'prose' END AS topic FROM documents)""",
         "c0 AS (SELECT source, lang, topic, sum(n_words)::DOUBLE AS mass FROM d GROUP BY ALL)",
     ]
     last = "c0"
