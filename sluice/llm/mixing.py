@@ -117,10 +117,12 @@ def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
     return cells.withColumn("_p", p).drop("_r", "_l")
 
 
-def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """All columns of docs with ``_topic``, ``_n_words``, ``_weight`` (fitted over own share), ``_p``, ``_selected``."""
-    topic, n = topic_of(F.coalesce(F.col("text"), F.lit(""))), n_words(F.col("text"))
-    masses = docs.select("source", "lang", topic.alias("topic"), n.alias("_n")).groupBy(*DIMENSIONS).agg(F.sum("_n").alias("_mass"))
+def _mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
+    """Rows of docs as ``_row``, with ``_topic``, ``_n_words``, ``_weight``, ``_p``, ``_selected``."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"))
+    topic, n = topic_of(F.coalesce(F.col("_row.text"), F.lit(""))), n_words(F.col("_row.text"))
+    rows = rows.select("_row", F.col("_row.source").alias("source"), F.col("_row.lang").alias("lang"), topic.alias("topic"), n.alias("_n"))
+    masses = docs.select("source", "lang", topic_of(F.coalesce(F.col("text"), F.lit(""))).alias("topic"), n_words(F.col("text")).alias("_n")).groupBy(*DIMENSIONS).agg(F.sum("_n").alias("_mass"))
     cells = materialise(masses, "cells")
     count = cells.count()
     if count <= WHOLE_CELLS:
@@ -131,15 +133,21 @@ def mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] =
     side = fitted.select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), "_weight", "_p")
     if count <= WHOLE_CELLS:
         side = F.broadcast(side)
-    rows = docs.withColumn("_topic", topic).withColumn("_n_words", n)
-    on = F.col("source").eqNullSafe(F.col("_c_source")) & F.col("lang").eqNullSafe(F.col("_c_lang")) & F.col("_topic").eqNullSafe(F.col("_c_topic"))
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    return rows.join(side, on).drop(*(f"_c_{d}" for d in DIMENSIONS)).withColumn("_selected", uniform(key, seed) < F.col("_p"))
+    on = F.col("source").eqNullSafe(F.col("_c_source")) & F.col("lang").eqNullSafe(F.col("_c_lang")) & F.col("topic").eqNullSafe(F.col("_c_topic"))
+    key = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))
+    return rows.join(side, on).select("_row", F.col("topic").alias("_topic"), F.col("_n").alias("_n_words"), "_weight", "_p", (uniform(key, seed) < F.col("_p")).alias("_selected"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """Columns of docs with ``_topic``, ``_n_words``, ``_weight`` (fitted over own share), ``_p``, ``_selected``; those replace docs' own."""
+    out = _mixed(docs, **how)
+    new = out.columns[1:]
+    return out.select(*(F.col(f"_row.`{c}`") for c in docs.columns if c not in new), *new)
 
 
 def sampled(docs: DataFrame, **how) -> DataFrame:
     """The documents that the mixture takes, with their own columns."""
-    return mixed(docs, **how).where("_selected").select(*docs.columns)
+    return _mixed(docs, **how).where("_selected").select("_row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

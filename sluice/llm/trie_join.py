@@ -281,7 +281,7 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray
                 stack.append((child, overlap, alive[reach], depth))
 
 
-def _block(rows: list[tuple], n: int, percent: int) -> pa.RecordBatch:
+def _block(rows: list[tuple], percent: int) -> pa.RecordBatch:
     """A task's classes with the smallest class that each is linked to, and each one's number of links."""
     nodes = np.array([r[0] for r in rows], np.int64)
     side = np.array([r[1] for r in rows], np.int64)
@@ -298,18 +298,18 @@ def _block(rows: list[tuple], n: int, percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(degree)], ["a", "b", "links"])
 
 
-def _blocks(n: int, percent: int):
+def _blocks(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
             for block, i, j, node, side, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (block, i, j) != key and held:
-                    yield _block(held, n, percent)
+                    yield _block(held, percent)
                     held = []
                 key = (block, i, j)
                 held.append((node, side, own))
         if held:
-            yield _block(held, n, percent)
+            yield _block(held, percent)
 
     return run
 
@@ -359,7 +359,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
     texts = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
     dealt = texts.join(side, F.col("doc_id") == F.col("node")).select("block", "i", "j", "node", "side", "text").mapInArrow(_sets(n), "block long, i int, j int, node long, side int, own binary")
     tasks = dealt.repartition(partitions(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    linked = materialise(tasks.mapInArrow(_blocks(n, percent), "a long, b long, links long"), "linked")
+    linked = materialise(tasks.mapInArrow(_blocks(percent), "a long, b long, links long"), "linked")
     joined = components(linked.select("a", "b"))
     degree = linked.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("_links"))
     reached = classes.join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
@@ -379,7 +379,7 @@ def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT) -> Data
     drop = materialise(found.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct(), "linked-away")
     if drop.count() <= BROADCAST_CLASSES:
         drop = F.broadcast(drop)
-    return docs.join(drop, F.col("doc_id").cast("long") == F.col("_drop"), "left_anti")
+    return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
 
 
 def _repeats(rows: DataFrame) -> bool:

@@ -99,7 +99,7 @@ def test_links_against_all_pairs(spark, block):
 
 def test_repeated_and_null_ids(spark):
     text = " ".join(f"w{k}" for k in range(20))
-    docs = spark.createDataFrame([(1, text), (1, text), (None, text), (2, text + " more")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, text, 0), (1, text, 0), (None, text, 0), (2, text + " more", 0)], "doc_id long, text string, _drop int")
     got = sorted((r["doc_id"], r["component_id"]) for r in trie_join.jaccard_classes(docs).collect())
     assert got == [(1, 1), (1, 1), (2, 1)]
     assert sorted(str(r["doc_id"]) for r in trie_join.representatives(docs).collect()) == ["1", "1", "None"]

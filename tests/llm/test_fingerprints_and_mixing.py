@@ -85,13 +85,14 @@ def test_raking_and_calibration(spark):
 
 def test_mixture_of_odd_rows(spark):
     rows = [(k, "w " * (k % 30), ["en", "de", None][k % 3], f"s{k % 4}") for k in range(600)] + [(700, None, None, None), (701, "", "en", "s1"), (5, "again", "en", "s0")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("topic", F.lit(1)).repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"topic": F.lit(1), "_p": F.lit("own"), "_row": F.lit(2)}).repartition(3)
     out = mixing.mixed(docs, fraction=0.5)
     got = out.collect()
     assert len(got) == len(rows)
     assert all(r["_n_words"] == len((r["text"] or "").split()) for r in got)
     assert sum(r["_n_words"] for r in got if r["_selected"]) == pytest.approx(0.5 * sum(r["_n_words"] for r in got), rel=0.15)
     assert mixing.sampled(docs).columns == docs.columns
+    assert {r["_p"] for r in mixing.sampled(docs).collect()} == {"own"}
     assert mixing.mixed(docs.where("false")).count() == 0
     again = {(r["doc_id"], r["text"]): r["_selected"] for r in mixing.mixed(docs, fraction=0.5).collect()}
     assert all(again[r["doc_id"], r["text"]] == r["_selected"] for r in got)
