@@ -38,11 +38,6 @@ class Record:
     quoted: list[bool]
 
 
-class Broken(Exception):
-    def __init__(self, at: int):
-        self.at = at
-
-
 def transcode(data: bytes, encoding: str) -> tuple[bytes, int | None]:
     """UTF-8, and the byte of the original where it isn't that encoding (with what stands ahead of it)."""
     if encoding == "utf-8":
@@ -124,12 +119,13 @@ def frame(data: bytes, dialect: Dialect) -> Iterator[Record | Failure | list[byt
     width: int | None = None
     waiting = dialect.has_header
     discard = dialect.header_row
-    limit = len(data)
+    last, lines = -1, 1
     for r in records(data, dialect, start):
         if isinstance(r, Failure):
             yield Failure("encoding", r.record, line + r.line, bad) if bad is not None else Failure(r.kind, r.record, line + r.line, r.byte)
             return
         number, at = r.number, line + r.line
+        last, lines = number, r.line + 1
         if len(r.cells) == 1 and not r.cells[0] and not r.quoted[0] and dialect.skip_blank_lines:
             continue
         if sum(map(len, r.cells)) > dialect.longest_record:
@@ -154,8 +150,8 @@ def frame(data: bytes, dialect: Dialect) -> Iterator[Record | Failure | list[byt
     if waiting:
         yield []
     if bad is not None:
-        yield Failure("encoding", -1, -1, bad)
-    assert limit == len(data)
+        # Every record ahead of the bad byte is intact; it lies past the last one's start.
+        yield Failure("encoding", last + 1, line + lines, bad)
 
 
 def _utf8(cell: bytes) -> bool:

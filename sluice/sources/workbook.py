@@ -1,4 +1,4 @@
-"""Workbooks (XLSX and ODS) as DataFrames: a task reads a sheet's XML as a stream, the plan's expressions judge its cells.
+"""Workbooks (XLSX, ODS and Numbers) as DataFrames: a task reads a sheet's XML as a stream, the plan's expressions judge its cells.
 
 The format is told by the package, not by its name. A cell has a kind: text, number, bool, wall (date and time), clock, span,
 error, or none; a formula whose result wasn't stored is uncached.
@@ -25,6 +25,7 @@ from sluice.operators.verdicts import Typed
 from sluice.plans.columns import Column, Header, bind
 from sluice.sources import serials
 from sluice.sources.framing import Failure
+from sluice.sources.numbers_document import Damaged, NumbersDocument
 from sluice.types import INTEGERS, DeclarationError, Door, NoSheet
 
 WIDEST = 16_384
@@ -112,7 +113,14 @@ class Book:
         if any(i.flag_bits & 1 for i in self.zip.infolist()):
             raise Package("encrypted")
         self.strings: list[str] | None = None
-        if "content.xml" in self.names:
+        if "index/document.iwa" in self.names:
+            self.format, self.epoch = "numbers", 1900
+            try:
+                self.numbers = NumbersDocument(self.zip, self.names)
+            except Damaged as e:
+                raise Package(e.kind) from None
+            self.sheets = [(name, hidden) for name, hidden, _ in self.numbers.tables]
+        elif "content.xml" in self.names:
             self.format = "ods"
             self.epoch = 1900
             self.sheets = [(_attribute(t, "name") or "", False) for t in self._tables()]
@@ -193,7 +201,14 @@ class Book:
 
     def rows(self, which: int | str) -> Iterator[tuple[int, int, dict[int, dict]]]:
         """Row number from 1, how often it repeats, and its cells by column from 1."""
-        return (self._xlsx if self.format == "xlsx" else self._ods)(self.sheet(which))
+        return {"xlsx": self._xlsx, "ods": self._ods, "numbers": self._numbers}[self.format](self.sheet(which))
+
+    def _numbers(self, which: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
+        try:
+            for row, cells in self.numbers.rows(which):
+                yield row, 1, {c: cell(*v) for c, v in cells.items()}
+        except Damaged as e:
+            raise Package(e.kind) from None
 
     def _number(self, x: float, style: str) -> dict:
         if style == serials.ELAPSED:
