@@ -11,8 +11,9 @@ each adds. A sentence's vector has the largest normalised kernel values of each
 letter less than the landmark to two more), at most 1, then turned by the inverse square root of the landmarks' kernel matrix. Pairs that lack over a quarter of a
 landmark's letters in order have a value of 0 without being computed.
 
-A linear machine is trained on sentences: those of toxic documents that are nearest to a landmark, and again after each
-round those that the machine ranks first, with bent landmarks (a letter more or less), against those of clean documents. A document's margin is its largest
+A linear machine is trained on sentences, by powers of these values: those of toxic documents that have a landmark or are
+nearest to one, and again those that the machine ranks first, with bent landmarks (a letter more or less), against those
+of clean documents. A document's margin is its largest
 sentence's; a logistic curve fitted on the training documents makes a score from 0 to 1.
 
 The fit takes at most ``LABELLED`` labelled documents, by the order of their ids' hashes; everything else covers all rows.
@@ -224,6 +225,10 @@ class Landmarks:
                     out[at] = np.maximum(out[at], self.kernel(span, self.codes[k[at]]) / np.sqrt(np.maximum(own, 1e-9)))
         return np.minimum(out, 1.0)
 
+    def features(self, vectors: np.ndarray) -> np.ndarray:
+        """Squared values, turned, and their twelfth powers, which little but a landmark itself keeps."""
+        return np.hstack([vectors**2 @ self.turn, vectors**12])
+
     def sentences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of the sentences with a value, and the text of each."""
         strings, index, sentence, text_of = units_of(column)
@@ -296,7 +301,10 @@ def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[s
             break
         chosen.append(names[best])
         left[has[best] > 0] *= 0.3
-        open_ &= np.array([x not in names[best] and names[best] not in x for x in names])
+        # Of strings that hold one another, another one goes on only where it is cleaner.
+        related = np.array([x in names[best] or names[best] in x for x in names])
+        open_ &= ~related | (cost < cost[best])
+        open_[best] = False
     return chosen
 
 
@@ -351,7 +359,7 @@ class Model:
         out = np.full(len(column), bias)
         vectors, text = _known(tuple(self.landmarks)).sentences(column)
         if len(text):  # sentences without a value have the bias alone
-            turned = vectors @ _known(tuple(self.landmarks)).turn
+            turned = _known(tuple(self.landmarks)).features(vectors)
             np.maximum.at(out, text, turned @ self.weights[:-1] + bias)
         return out
 
@@ -390,19 +398,21 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     marks = _known(tuple(chosen))
     column = pa.array(texts, pa.large_string())
     vectors, text = marks.sentences(column)
-    turned = np.vstack([vectors @ marks.turn, np.zeros((1, len(chosen)))])
+    turned = np.vstack([marks.features(vectors), np.zeros((1, 2 * len(chosen)))])
     text = np.append(text, -1)  # the sentence without any landmark is clean
     bad = np.flatnonzero(np.isin(text, np.flatnonzero(toxic)))
     good = np.flatnonzero(~np.isin(text, np.flatnonzero(toxic)))
     bent, row = marks.sentences(pa.array([v for m in chosen for v in variants(m)], pa.large_string()))
-    bent = bent @ marks.turn
+    bent = marks.features(bent)
     rank = vectors.max(1)
+    whole = bad[rank[bad] > 0.99]
     # Clean sentences often have the same vector; one of each does.
     good = good[np.unique(turned[good].round(6), axis=0, return_index=True)[1]]
     model = Model(chosen)
-    for _ in range(3):
+    for _ in range(2):
         order = bad[np.lexsort((-rank[bad], text[bad]))]
         first = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])] if len(order) else order
+        first = np.union1d(first, whole)
         rows = np.concatenate([first, good])
         sure = np.arange(len(rows) + len(bent)) < len(first)
         sure[len(rows) :] = True
