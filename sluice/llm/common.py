@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,8 +13,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch; with texts of 100 kB each, 200 MB.
-BATCH_ROWS = 2000
+#: Rows in an Arrow batch; Spark's own limit of bytes in a batch (64 MB by default) holds besides.
+BATCH_ROWS = 2500
 #: Bytes of text that a worker turns into arrays at once.
 SLICE_BYTES = 8 << 20
 #: White space of every contract here, as a regular expression class.
@@ -68,16 +69,26 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that no part has much over SLICE_BYTES of text; a single longer text stays whole."""
+def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that no part has much over ``most`` bytes of text; a single longer text stays whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(sizes, dtype=np.int64)
     start = 0
     while start < batch.num_rows:
         base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+        give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system: idle workers of earlier stages would hold it beside the busy ones."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def filled(column: pa.Array) -> pa.Array:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm.common import bounded_batches, documents, filled, text_slices
-from sluice.llm.tokenizing import encode
+from sluice.llm.tokenizing import SLICE, encode
 
 LENGTH = 2048
 OPEN_BINS = 1024
@@ -79,7 +79,7 @@ def _pack(path: str, split: str, end: int, length: int, open_bins: int, with_ids
 
         bins = Bins(length, open_bins, TaskContext.get().partitionId() << 40)
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 ids, counts = encode(filled(part.column("text")), path, split, end, np.uint32)
                 raw, at = memoryview(ids.astype("<u4").tobytes()), 0
                 rows: list[tuple] = []

@@ -25,13 +25,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sluice.llm.common import bounded_batches, documents, filled, materialise, partitions, text_slices, work_path
-from sluice.llm.tokenizing import encode
+from sluice.llm.tokenizing import SLICE, encode
 
 #: Ids that a block gathers before it is closed; documents are never cut.
 BLOCK_IDS = 1 << 18
 
 #: Lengths of the four ids of each control byte.
-LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.int64)
+LENGTHS = np.array([[(c >> 2 * k & 3) + 1 for k in range(4)] for c in range(256)], np.uint8)
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -48,21 +48,25 @@ def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
 
 def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     length = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
-    ends = np.cumsum(length)
+    ends = np.cumsum(length, dtype=np.int32 if n < 1 << 29 else np.int64)
     if n and ends[-1] != len(data):
         raise ValueError(f"a block of {n} ids has {len(data)} bytes, not {ends[-1]}")
-    at, raw = ends - length, np.frombuffer(data, np.uint8)
-    out = raw[at].astype(np.uint32) if n else np.empty(0, np.uint32)
+    raw = np.frombuffer(data, np.uint8)
+    at = ends - length
+    out = raw[at].astype(np.uint32)
+    more = np.flatnonzero(length > 1)
     for k in (1, 2, 3):
-        more = np.flatnonzero(length > k)
+        if not len(more):
+            break
         out[more] |= raw[at[more] + k].astype(np.uint32) << np.uint32(8 * k)
+        more = more[length[more] > k + 1]
     return out
 
 
 def _tokens(path: str, split: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, most=SLICE):
                 ids, counts = encode(filled(part.column("text")), path, split, end, np.uint16)
                 places = np.concatenate([[0], np.cumsum(counts)])
                 raw = ids.tobytes()

@@ -17,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces held by a worker; the table starts anew beyond.
-HELD = 800_000
+#: Pieces held by a worker; beyond, those of the last slice stay.
+HELD = 350_000
+#: Bytes of text to encode at once: the more, the fewer distinct pieces in all.
+SLICE = 8 << 20
 #: Characters of a piece that is held.
 PIECE = 64
 #: Marks that may follow a word; none is a letter, a number or white space to a vocabulary.
@@ -53,16 +55,17 @@ class Pieces(dict):
 
     def learn(self, wanted: Iterable[str], alone: Iterable[str] = ()) -> None:
         """Encodes those of the pieces that aren't held; alone: those that don't keep apart in a text."""
-        if len(self) >= HELD:
-            self.clear()
         alone = {x for x in alone if x not in self}
         together: dict[str, None] = {}
         compound = []
         for x in wanted:
             if x not in self:
+                if x.isalpha():
+                    together[x] = None
+                    continue
                 stem = x.rstrip(MARKS)
                 # Letters and the marks after them are pretokens of their own.
-                if len(stem) < len(x) <= PIECE and stem.lstrip(" ").isalpha():
+                if len(stem) < len(x) <= PIECE and (stem.isalpha() or stem[1:].isalpha() and stem[0] == " "):
                     compound.append((x, stem, x[len(stem) :]))
                     together[stem] = None
                     alone.add(x[len(stem) :])
@@ -91,8 +94,12 @@ class Pieces(dict):
         else:
             self.update((x, _packed(e.ids)) for x, e in zip(missing, self.encode(missing, add_special_tokens=False), strict=True))
 
-    def forget(self, wanted: Iterable[str]) -> None:
-        for x in wanted:
+    def forget(self, used: list[str], ids: list[bytes]) -> None:
+        """Long pieces go, and all that weren't used if there are too many."""
+        if len(self) >= HELD:
+            self.clear()
+            self.update(zip(used, ids, strict=True))
+        for x in used:
             if len(x) > PIECE:
                 self.pop(x, None)
 
@@ -135,7 +142,7 @@ def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str]
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets -= offsets[0]
     coded = lists.flatten().dictionary_encode()
-    index, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    index, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
     if split == "words":
         return offsets, index, distinct, []
     plain = np.fromiter(map(_plain, distinct), bool, len(distinct))
@@ -148,7 +155,7 @@ def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str]
     number = lambda x: more.setdefault(x, len(distinct) + len(more))
     index[firsts] = [number(distinct[k][1:] if plain[k] else distinct[k]) for k in index[firsts].tolist()]
     if own:
-        pieces_of = [np.array([number(x) for x in own[i]], np.int64) if i in own else index[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+        pieces_of = [np.array([number(x) for x in own[i]], np.int32) if i in own else index[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
         offsets, index = np.concatenate([[0], np.cumsum([len(x) for x in pieces_of])]), np.concatenate(pieces_of)
     used = np.zeros(len(distinct), bool)
     used[index[index < len(distinct)]] = True
@@ -165,20 +172,24 @@ def encode(texts: pa.Array, path: str, split: str, end: int, dtype: type) -> tup
     table, distinct = pieces(path, split), apart + others
     table.learn(apart, others)
     held = [table[x] for x in distinct]
-    table.forget(distinct)
-    sizes = np.fromiter(map(len, held), np.int64, len(held)) // 4
+    table.forget(distinct, held)
+    sizes = np.fromiter(map(len, held), np.int32, len(held)) // 4
     flat = np.frombuffer(b"".join(held), np.uint32)
     if len(flat) and flat.max() > np.iinfo(dtype).max:
         raise OverflowError(f"ids up to {flat.max()} don't fit {np.dtype(dtype)}")
-    starts = np.cumsum(sizes) - sizes
+    # A slice's ids are far fewer than 2**31.
+    starts = np.cumsum(sizes, dtype=np.int32) - sizes
+    length = sizes[index]
+    before = np.zeros(len(length) + 1, np.int32)
+    np.cumsum(length, out=before[1:])
+    counts = (before[offsets[1:]] - before[offsets[:-1]]).astype(np.int64) + 1
     # Every text's pieces, then one place for its end id.
-    take, length = starts[index], sizes[index]
-    before = np.concatenate([[0], np.cumsum(length)])
-    counts = before[offsets[1:]] - before[offsets[:-1]] + 1
-    out = np.empty(int(counts.sum()), dtype)
     ends = np.cumsum(counts) - 1
+    place = np.repeat(starts[index] - before[:-1], length)
+    place += np.arange(before[-1], dtype=np.int32)
+    out = np.empty(int(counts.sum()), dtype)
     body = np.ones(len(out), bool)
     body[ends] = False
     out[ends] = end
-    out[body] = flat[np.repeat(take - before[:-1], length) + np.arange(before[-1])]
+    out[body] = flat[place]
     return out, counts
