@@ -14,7 +14,7 @@ landmark's letters in order have a value of 0 without being computed.
 A linear machine is trained on sentences, by powers of these values: those of toxic documents that have a landmark or are
 nearest to one, and again those that the machine ranks first, with bent landmarks (a letter more or less), against those
 of clean documents. A document's margin is its largest
-sentence's; a logistic curve fitted on the training documents makes a score from 0 to 1.
+sentence's; a logistic curve fitted on the training documents and the bent landmarks makes a score from 0 to 1.
 
 The fit takes at most ``LABELLED`` labelled documents, by the order of their ids' hashes; everything else covers all rows.
 
@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, documents, text_slices, words
+from sluice.llm.common import bounded_batches, documents, give_back, text_slices, words
 
 ORDER, DECAY = 3, 0.85
 LABELLED = 4000
@@ -418,7 +418,8 @@ def fit(texts: list[str], labels: list[int]) -> Model:
         sure[len(rows) :] = True
         model.weights = _machine(np.vstack([turned[rows], bent]), np.where(sure, 1.0, -1.0))
         rank = turned[:-1] @ model.weights[:-1]
-    model.slope, model.shift = _curve(model.margins(column), toxic.astype(float))
+    near = bent @ model.weights[:-1] + model.weights[-1]
+    model.slope, model.shift = _curve(np.concatenate([model.margins(column), near]), np.concatenate([toxic.astype(float), np.ones(len(near))]))
     return model
 
 
@@ -435,8 +436,23 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = LABELL
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_fold(folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = sorted(own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").limit(2 * most).collect())
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
+    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").limit(2 * most)
+    found = rows.repartition(1).mapInArrow(_fit, "landmarks array<string>, weights array<double>, slope double, shift double, flat double").first()
+    if found is None:  # no row, so no task
+        return Model([])
+    return Model(found["landmarks"], np.array(found["weights"]) if found["weights"] else None, found["slope"], found["shift"], found["flat"])
+
+
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The fit in one task, whose rows the bound holds, so that the driver never has the texts."""
+    rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    model = fit([text for *_, text in rows], [label for _, label, _ in rows])
+    weights = None if model.weights is None else model.weights.tolist()
+    values = [model.landmarks, weights, model.slope, model.shift, model.flat]
+    types = [pa.list_(pa.string()), pa.list_(pa.float64()), pa.float64(), pa.float64(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], ["landmarks", "weights", "slope", "shift", "flat"])
+    del rows
+    give_back()
 
 
 def _score(model: Model):

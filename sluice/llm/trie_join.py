@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.common import bounded_batches, documents, extend, materialise, partitions, text_slices, word_hashes, words
+from sluice.llm.common import bounded_batches, documents, extend, give_back, materialise, partitions, text_slices, word_hashes, words
 from sluice.llm.components import components
 
 N, PERCENT = 5, 80
@@ -310,6 +310,8 @@ def _blocks(percent: int):
                 held.append((node, side, own))
         if held:
             yield _block(held, percent)
+        held = []
+        give_back()
 
     return run
 
@@ -333,6 +335,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
     level = spark.sparkContext.broadcast(zlib.compress(commonness(rows, n).tobytes(), 1))
+    give_back()
     info = materialise(rows.mapInArrow(_describe(level, n, percent), INFO), "shingles")
     keyed = info.where("n_shingles > 0")
     classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
