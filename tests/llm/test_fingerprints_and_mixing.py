@@ -1,6 +1,7 @@
 """Prefix hashes and raking against plain versions."""
 
 import hashlib
+import re
 
 import numpy as np
 import pytest
@@ -96,3 +97,13 @@ def test_mixture_of_odd_rows(spark):
     assert mixing.mixed(docs.where("false")).count() == 0
     again = {(r["doc_id"], r["text"]): r["_selected"] for r in mixing.mixed(docs, fraction=0.5).collect()}
     assert all(again[r["doc_id"], r["text"]] == r["_selected"] for r in got)
+
+
+def test_legal_texts_are_found_in_any_case(spark):
+    words = ["license ", "LICENSE ", "licence ", "Licence ", "licenced ", "Licensed ", "CopyRight", "COPYRIGHT", "Copyright", "licenses ", "license", "sublicense ", "é licence ", "KLicen", "copy right", "silicone "]
+    texts = [before + w + behind for w in words for before in ("", "under the ", "a | b (555) 123-4567 ") for behind in ("", "terms")]
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select("text", mixing.topic_of(F.col("text")).alias("topic")).collect()
+    for r in got:
+        legal = re.search(r"\blicen[sc]ed? |copyright", r["text"], re.IGNORECASE | re.ASCII) is not None
+        assert (r["topic"] == "legal") == legal, r
+    assert sum(r["topic"] == "legal" for r in got) > len(got) / 3
