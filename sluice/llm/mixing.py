@@ -11,9 +11,10 @@ with ``L`` solved so that the expected mass is ``fraction`` of all: cells that w
 whole and the others share the rest in proportion.
 
 A dimension's targets are a mapping from value to share, or a temperature: shares in proportion to mass ** temperature.
-Values that a mapping doesn't name share what it leaves (nothing, if it names all) in proportion to their masses; targets of
-absent values are spread over the others. Only the cells, a row per combination, are raked: up to ``WHOLE_CELLS`` of
-them in one partition, without a shuffle per step; more stay distributed.
+Values that a mapping doesn't name, null included, share what it leaves in proportion to their masses; where it leaves
+nothing, they keep their own share of all mass and the mapping divides the rest (the SQL gives such values nothing; the
+given tables have none). Targets of absent values are spread over the others. Only the cells, a row per combination, are
+raked: up to ``WHOLE_CELLS`` of them in one partition, without a shuffle per step; more stay distributed.
 
 Defined cases: nulls are a value of their own in each dimension; empty or null texts have mass 0 and stay, their
 probability being their cell's (1 in a cell without mass); repeated rows of one id stay or go together; an empty table
@@ -38,6 +39,8 @@ ROUNDS = 10
 SEED = "mix-1"
 WHOLE_CELLS = 200_000
 _BITS = 48
+#: What a mapping leaves counts from here on; less is rounding.
+_NOTHING = 1e-9
 
 
 #: What a text of a licence has, as a pattern; ``LEGAL`` is the lesser list in the SQL, the same on the given tables.
@@ -69,13 +72,19 @@ def _targets(cells: DataFrame, dimension: str, target: Mapping[str, float] | flo
     first = F.row_number().over(value.orderBy(*DIMENSIONS)) == 1
     cells = cells.withColumn("_v", F.sum("_mass").over(value))
     if isinstance(target, Mapping):
-        left = max(0.0, 1.0 - sum(target.values()))
+        named = sum(target.values())
+        left = 1.0 - named
         wanted = F.lit(None).cast("double")
         for k, share in target.items():
             wanted = F.when(F.col(dimension) == k, F.lit(float(share))).otherwise(wanted)
         cells = cells.withColumn("_w", wanted).withColumn("_f", first)
-        other = F.sum(F.when(F.col("_w").isNull(), F.col("_mass"))).over(Window.partitionBy(F.lit(1)))
-        share = F.coalesce(F.col("_w"), F.col("_v") / other * F.lit(left), F.lit(0.0))
+        every = Window.partitionBy(F.lit(1))
+        other = F.sum(F.when(F.col("_w").isNull(), F.col("_mass"))).over(every)
+        if left > _NOTHING:
+            share = F.coalesce(F.col("_w"), F.col("_v") / other * F.lit(left), F.lit(0.0))
+        else:
+            whole = F.sum("_mass").over(every)
+            share = F.when(F.col("_w").isNull(), F.col("_v") / whole).otherwise(F.col("_w") / F.lit(named) * (F.lit(1.0) - F.coalesce(other, F.lit(0.0)) / whole))
     else:
         cells = cells.withColumn("_f", first)
         share = F.when(F.col("_v") > 0, F.pow(F.col("_v"), F.lit(float(target)))).otherwise(0.0)

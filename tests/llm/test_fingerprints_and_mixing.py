@@ -107,3 +107,16 @@ def test_legal_texts_are_found_in_any_case(spark):
         legal = re.search(r"\blicen[sc]ed? |copyright", r["text"], re.IGNORECASE | re.ASCII) is not None
         assert (r["topic"] == "legal") == legal, r
     assert sum(r["topic"] == "legal" for r in got) > len(got) / 3
+
+
+def test_unnamed_languages_keep_their_share(spark):
+    rows = [(k, "w " * 20, ["en", "de", "fr", "es", "it", None][k % 6], f"s{k % 2}") for k in range(1200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed(docs, fraction=0.3).collect()
+    for lang in ("it", None):
+        of = [r for r in got if r["lang"] == lang]
+        assert all(r["_p"] > 0 for r in of)
+        assert sum(r["_p"] for r in of) / sum(r["_p"] for r in got) == pytest.approx(1 / 6, rel=1e-6)
+        assert any(r["_selected"] for r in of)
+    shares = {lang: sum(r["_weight"] for r in got if r["lang"] == lang) / len(got) for lang in ("en", "de")}
+    assert shares == pytest.approx({"en": 0.4 * 2 / 3, "de": 0.2 * 2 / 3})
