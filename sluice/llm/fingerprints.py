@@ -10,6 +10,11 @@ of the text's length. Two fingerprints tell how much of both texts agrees when t
 their ends: between neighbouring grid lengths the spans' hashes, which are differences of the prefixes', are equal or
 not. ``likeness`` is the agreeing part of the longer text, and 1 exactly when lengths and whole hashes are equal.
 
+``near_edited`` is the likeness of two fingerprints. ``near_next`` has both texts at hand: where walking them side by
+side finds more, that counts. A walk follows the longest common extension; at an edit it goes on at an anchor (a span
+of ``ANCHOR`` code points, chosen by its hash, wherever it stands) that both texts have further on, of the next ``AHEAD``
+the one that skips least. What it finds is common to both texts in one order, so it is never too much.
+
 Documents are dealt out by ranges of doc_id whose bounds are ids that occur; a range's last document needs the first
 one of the next range, so each bound's text is sent there a second time. Every text thus crosses one shuffle.
 
@@ -28,11 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, documents, partitions, text_slices
+from sluice.llm.common import GOLD, bounded_batches, documents, mix, partitions, text_slices
 
 P = np.uint64((1 << 31) - 1)
 #: Two bases under P.
 BASES = (1_103_515_245, 1_566_083_941)
+#: Code points of an anchor; one place of so many has one; those looked at for the way past an edit.
+ANCHOR, EVERY, AHEAD = 16, 4, 16
 
 
 def grid(longest: int) -> np.ndarray:
@@ -99,6 +106,61 @@ class PrefixHashes:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Texts, places and hashes of the spans of ANCHOR code points that their hashes choose, in order."""
+        out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
+        ends = self.start + self.size
+        for low in range(0, len(self.sums[0]) - 1, 1 << 20):
+            at = np.arange(low, min(low + (1 << 20), len(self.sums[0]) - 1))
+            text = np.searchsorted(ends, at, side="right")
+            whole = at + ANCHOR <= ends[text]
+            at, text = at[whole], text[whole]
+            place = at - self.start[text]
+            value = self.span(0, text, place, place + ANCHOR)
+            chosen = mix(value * GOLD) % np.uint64(EVERY) == 0
+            out.append((text[chosen], place[chosen], value[chosen]))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+    def walked(self) -> np.ndarray:
+        """For each text but the last, the code points it has in common, in one order, with the next one."""
+        m = len(self.size) - 1
+        pair, agree = np.arange(m), np.zeros(m, np.int64)
+        i, j, following = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        text, place, value = self.anchors()
+        key = text.astype(np.uint64) << np.uint64(32) | value
+        # The next texts' anchors by pair and hash, then place; of a text's own, those that the next one has.
+        later = text > 0
+        known, number = np.unique(key[later] - np.uint64(1 << 32), return_inverse=True)
+        theirs = np.sort(number.astype(np.int64) << 40 | place[later])
+        own = np.searchsorted(known, key)
+        has = own < len(known)
+        has[has] = known[own[has]] == key[has]
+        text, place, own = text[has], place[has], own[has].astype(np.int64)
+        order, stop = text << 40 | place, np.searchsorted(text, pair, side="right")
+        while len(pair):
+            n = self.extension(pair, i, pair + 1, j)
+            agree[pair] += n
+            i, j = i + n, j + n
+            following = np.maximum(following, np.searchsorted(order, pair << 40 | i))
+            on = (following < stop[pair]) & (j < self.size[pair + 1])
+            pair, i, j, following = pair[on], i[on], j[on], following[on]
+            if not len(pair):
+                break
+            ahead = following[:, None] + np.arange(AHEAD)
+            there = ahead < stop[pair][:, None]
+            ahead = np.minimum(ahead, len(own) - 1)
+            k = np.searchsorted(theirs, own[ahead] << 40 | j[:, None])
+            there &= k < len(theirs)
+            match = theirs[np.minimum(k, len(theirs) - 1)]
+            there &= match >> 40 == own[ahead]
+            to_i, to_j = place[ahead], match & ((1 << 40) - 1)
+            skipped = np.where(there, to_i - i[:, None] + to_j - j[:, None], 1 << 41)
+            rows, best = np.arange(len(pair)), skipped.argmin(1)
+            found = there.any(1)
+            i, j = np.where(found, to_i[rows, best], i), np.where(found, to_j[rows, best], j)
+            following = following + np.where(found, best + 1, AHEAD)
+        return agree
+
 
 class Fingerprints:
     """Fingerprints of many texts as arrays: sizes, whole hashes, prefix and suffix hashes at the grid's lengths."""
@@ -175,7 +237,9 @@ def compare_with_next(ids: list, texts: list[str]) -> pa.RecordBatch:
 
     edited = Fingerprints(cut + taken, edited_prefix, longest)
     text = [t[:c] + u[:k] for t, u, c, k in zip(texts[:m], texts[1:], cut.tolist(), taken.tolist(), strict=True)]
-    mine = own.take(every[:m])
+    mine, after = own.take(every[:m]), own.take(every[1:])
+    longer = np.maximum(size, following)
+    walked = np.minimum(hashes.walked() / np.maximum(longer, 1), 1 - 1 / (longer + 1.0))
     columns = [
         pa.array(ids[:m], pa.int64()),
         pa.array(size),
@@ -183,7 +247,7 @@ def compare_with_next(ids: list, texts: list[str]) -> pa.RecordBatch:
         pa.array(mine.strings()),
         pa.array(edited.strings()),
         pa.array(likeness(mine, edited)),
-        pa.array(likeness(mine, own.take(every[1:]))),
+        pa.array(np.maximum(likeness(mine, after), walked)),
     ]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 

@@ -120,3 +120,21 @@ def test_unnamed_languages_keep_their_share(spark):
         assert any(r["_selected"] for r in of)
     shares = {lang: sum(r["_weight"] for r in got if r["lang"] == lang) / len(got) for lang in ("en", "de")}
     assert shares == pytest.approx({"en": 0.4 * 2 / 3, "de": 0.2 * 2 / 3})
+
+
+@pytest.mark.parametrize("n", [200, 1000, 5000])
+def test_near_copies_with_moved_and_replaced_words_are_alike(n):
+    rng = np.random.default_rng(n)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9)))
+    words = [word() for _ in range(n)]
+    moved = [*words[: n // 20], word(), *words[n // 20 : n - n // 20], word(), *words[n - n // 20 :]]
+    replaced = ["".join(rng.choice(list("qrstuvwxyz"), len(w))) if k % 20 == 10 else w for k, w in enumerate(words)]
+    dropped = words[: n // 3] + words[n // 2 :]
+    other = [word() for _ in range(n)]
+    near = lambda a, b: fingerprints.compare_with_next([1, 2], [" ".join(a), " ".join(b)]).to_pylist()[0]["near_next"]
+    assert 0.95 < near(words, moved) < 1
+    assert 0.8 < near(words, replaced) < 0.97
+    assert 0.75 < near(words, dropped) < 0.9
+    assert 0.75 < near(dropped, words) < 0.9
+    assert near(words, other) < 0.1
+    assert near(words, words) == 1
