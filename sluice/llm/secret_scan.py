@@ -1,7 +1,9 @@
 """Secret scans with a random forest that tells real findings from false positives, in DataFrame functions only.
 
-A *candidate* is a run of at least ``SHORTEST`` characters of ``[A-Za-z0-9+/_-]`` with its trailing ``=``. A text is split
-at its candidates once, so each one comes with what stands before and behind it. The forest sees
+A *candidate* is a run of at least ``SHORTEST`` characters of ``[A-Za-z0-9+/_-]`` with its trailing ``=``, or, behind an
+assignment or a word for credentials, a run of any characters but white space and quotation marks, of ``ASSIGNED_SHORTEST``
+at least (less full stops, commas and closing brackets at its end). A text is split at its candidates once, so each one
+comes with what stands before and behind it. The forest sees
 
 * its length, and the shares of digits, capitals and hexadecimal digits,
 * its character transitions: changes between letters and digits, between small letters and capitals, repeated
@@ -31,7 +33,12 @@ from pyspark.sql.window import Window
 from sluice.llm.common import documents
 
 SHORTEST = 16
-CANDIDATE = rf"[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}"
+#: Characters of an assigned candidate.
+ASSIGNED_SHORTEST = 4
+SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|apikey|access[_\-]?key|credentials?|bearer|authorization)"
+#: What stands ahead of an assigned candidate; bounded, as a look behind has to be.
+AHEAD = rf"(?<=[\s=:\"'`])(?<=(?i:{SECRET_WORD})[\"'`]{{0,1}}[\s=:]{{1,4}}[\"'`]{{0,1}}|[A-Za-z0-9_\]\"']\s{{0,2}}=\s{{0,2}}[\"'`]{{0,1}}|:\s{{0,2}}[\"'`])"
+CANDIDATE = rf"{AHEAD}[^\s\"'`=:][^\s\"'`]{{{ASSIGNED_SHORTEST - 2},}}(?<![.,;:)\]}}])|[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}"
 #: Characters ahead of and behind a candidate that count as its neighbours.
 BEFORE, BEHIND = 40, 24
 FINDINGS = 6000
@@ -119,7 +126,16 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
     name = F.element_at(F.array(*map(F.lit, ["token", "password", "secret", "api_key", "apikey", "access_key", "Authorization: Bearer", "passwd"])), pick(1, 8) + 1)
     sign = F.element_at(F.array(*map(F.lit, [' = "', "=", ": ", ' = "', "='", ' "'])), pick(5, 6) + 1)
     close = F.when(sign.contains('"'), '" ').when(sign.contains("'"), "' ").otherwise(" ")
-    true = F.element_at(F.array(F.substring(hexes, 1, 40), F.substring(hexes, 1, 18), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(base64, 5, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 3, 36)), F.substring(hexes, 1, 32), F.substring(base64, 1, 24), F.upper(F.substring(hexes, 1, 40))), pick(9, 8) + 1)
+    # Short and with punctuation: passwords of people.
+    short = [
+        F.substring(base64, 1, 8),
+        F.substring(base64, 2, 12),
+        F.substring(hexes, 1, 10),
+        F.concat(F.substring(word(3), 1, 7), F.substring(F.translate(hexes, "abcdef", "012345"), 1, 1)),
+        F.concat(F.initcap(F.substring(base64, 1, 4)), F.lit("&"), F.substring(base64, 9, 5)),
+        F.concat(F.substring(base64, 1, 7), F.lit("."), F.substring(base64, 9, 7), F.lit("@!")),
+    ]
+    true = F.element_at(F.array(F.substring(hexes, 1, 40), F.substring(hexes, 1, 18), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(base64, 5, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 3, 36)), F.substring(hexes, 1, 32), F.substring(base64, 1, 24), F.upper(F.substring(hexes, 1, 40)), *short), pick(9, 8 + len(short)) + 1)
     digits = F.regexp_replace(F.translate(hexes, "abcdef", "012345"), "[^0-9]", "")
     false = F.element_at(
         F.array(
@@ -136,17 +152,21 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
             F.initcap(F.concat(word(3), word(7), word(11), word(15))),
             F.upper(F.concat(word(3), word(7), word(11), word(15))),
             F.substring(F.concat(word(3), word(7), word(11), word(15), word(19)), 2, 18),
+            word(3),
+            F.concat(word(3), F.lit("."), word(7)),
+            F.substring(digits, 1, 5),
+            word(3),
         ),
-        pick(13, 13) + 1,
+        pick(13, 17) + 1,
     )
-    kind = pick(13, 13)
-    led = F.when(kind.isin(6, 7), F.element_at(F.array(*map(F.lit, ["commit ", "sha256: ", "checksum=", "md5 = "])), pick(17, 4) + 1)).when(kind == 5, "uuid: ").when(kind.isin(8, 9), F.concat(name, sign))
+    kind = pick(13, 17)
+    led = F.when(kind.isin(6, 7), F.element_at(F.array(*map(F.lit, ["commit ", "sha256: ", "checksum=", "md5 = "])), pick(17, 4) + 1)).when(kind == 5, "uuid: ").when(kind.isin(8, 9), F.concat(name, sign)).when(kind.isin(13, 14, 15), F.concat(word(17), sign)).when(kind == 16, F.concat(name, F.lit(" ")))
     is_true = pick(21, 2) == 1
     other = F.concat(word(23), F.lit(" "), word(27), F.lit(" "))
     before = F.when(is_true, F.concat(other, F.when(pick(25, 10) > 0, F.concat(name, sign)).otherwise(F.lit("")))).otherwise(F.concat(other, F.coalesce(led, F.lit(""))))
     behind = F.concat(F.when(is_true, close).otherwise(F.lit(" ")), word(29))
     source = F.when(~is_true & (pick(29, 6) == 0), "tests/fixtures/data").otherwise(F.concat(F.lit("src"), pick(33, 20)))
-    return rows.select(F.when(is_true, true).otherwise(false).alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(behind, F.lit(BEHIND)).alias("behind"), source.alias("source"), is_true.cast("double").alias("label")).where(F.char_length("candidate") >= SHORTEST)
+    return rows.select(F.when(is_true, true).otherwise(false).alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(behind, F.lit(BEHIND)).alias("behind"), source.alias("source"), is_true.cast("double").alias("label")).where(F.char_length("candidate") >= ASSIGNED_SHORTEST)
 
 
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:

@@ -110,3 +110,12 @@ def test_secrets_are_found_and_others_left(spark):
     assert len(wrong) < 0.02 * len(planted), wrong
     assert not rows[-1, 7]
     assert secret_scan.scan(docs.where("false")).count() == 0
+
+
+def test_short_and_punctuated_secrets_are_candidates(spark):
+    texts = ['password = "hunter2" is', "pwd: Tr0ub4dor&3xyz, then", "api_key='a.b@c!d$e%f'", "a plain text, of words: none", 'secret="k9#Lm2"']
+    rows = spark.createDataFrame([(k, t, "src1") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["candidate"], r["start"]) for r in secret_scan.candidates(rows).collect()}
+    assert got == {0: ("hunter2", 12), 1: ("Tr0ub4dor&3xyz", 5), 2: ("a.b@c!d$e%f", 9), 4: ("k9#Lm2", 8)}
+    found = {r["doc_id"]: r["is_secret"] for r in secret_scan.scan(rows).collect()}
+    assert found.keys() == got.keys() and all(found.values())
