@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch; Spark's own limit of bytes in a batch (64 MB by default) holds besides.
 BATCH_ROWS = 2500
@@ -69,6 +70,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+    """left with right's columns and ``_copy``, null where right lacks the key; hot keys are dealt to several tasks.
+
+    right: at most one row for a key, whose ``weight`` is how many rows of left have it; rows: their sum. A key with more
+    than a quarter of a task's share is copied as often as it has such quarters; there are at most four such keys for a
+    task, so their table is broadcast. Which copy a row meets follows from the row's own values.
+    """
+    quarter = max(1, rows // (4 * partitions(left.sparkSession)))
+    hot = right.where(F.col(weight) > quarter).select(key, F.ceil(F.col(weight) / quarter).cast("int").alias("_copies"))
+    spread = F.pmod(F.xxhash64(*(c for c in left.columns if c != "_row")), F.col("_copies")).cast("int")
+    dealt = left.join(F.broadcast(hot), key, "left").withColumn("_copy", F.coalesce(spread, F.lit(0))).drop("_copies")
+    copies = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.when(F.col(weight) > quarter, F.ceil(F.col(weight) / quarter).cast("int") - 1).otherwise(0))))
+    return dealt.join(copies, [key, "_copy"], "left")
+
+
 def text_slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that no part has much over ``most`` bytes of text; a single longer text stays whole."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

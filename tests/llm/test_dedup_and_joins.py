@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from sluice.llm import components, exact_dedup, sharding, trie_join
+from sluice.llm import common, components, exact_dedup, sharding, trie_join
 
 SPACES = r"[\x20\x09-\x0D]"
 ROWS = [(1, "a b"), (2, "ab"), (3, " a\tb\n"), (4, None), (5, ""), (6, "  "), (7, "x y"), (7, "x y"), (8, "xy "), (9, "é ü"), (10, "é ü"), (11, "z" * 5000), (None, "ab"), (12, "éü")]
@@ -20,7 +20,7 @@ def plain_groups(rows):
     return groups
 
 
-@pytest.mark.parametrize("bits", [256, 4])
+@pytest.mark.parametrize("bits", [256, 8, 4])
 def test_exact_groups(spark, bits):
     docs = spark.createDataFrame([(i, t, "x") for i, t in ROWS], "doc_id long, text string, keep_id string").repartition(3)
     got = exact_dedup.exact_groups(docs, digest_bits=bits, salts=2).collect()
@@ -163,3 +163,35 @@ def test_shards(spark):
     assert all(grown[r["doc_id"]] == r["grown_shard"] for r in got)
     with pytest.raises(ValueError, match="weight"):
         sharding.rendezvous(docs, [1.0, 0.0])
+
+
+def test_a_third_of_all_rows_are_copies(spark):
+    rows = [(k, "the same text" if k % 3 == 0 else f"text {k}") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = exact_dedup.exact_groups(docs)
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert len(got) == 3000
+    assert all((r["keep_id"], r["group_size"], r["kept"]) == ((0, 1000, i == 0) if i % 3 == 0 else (i, 1, True)) for i, r in got.items())
+    # The copies' rows are dealt to many places, none of which has over a quarter of a task's share.
+    winners = spark.createDataFrame([("hot", 1000), ("cold", 10)], "k string, n long")
+    left = spark.createDataFrame([("hot", i) for i in range(1000)] + [("cold", i) for i in range(10)] + [("none", 0), (None, 1)], "k string, i long")
+    met = common.spread_join(left, winners, "k", "n", 1010).collect()
+    assert len(met) == 1012
+    assert all(r["n"] == {"hot": 1000, "cold": 10}.get(r["k"]) for r in met)
+    places = [r["_copy"] for r in met if r["k"] == "hot"]
+    assert len(set(places)) == 16 and max(places.count(p) for p in set(places)) < 1.6 * 1010 / 16
+
+
+def test_the_largest_id_can_be_kept(spark):
+    top = (1 << 63) - 1
+    docs = spark.createDataFrame([(top, "ab"), (None, "a b"), (-top - 1, "x"), (top, "x")], "doc_id long, text string")
+    got = {(r["doc_id"], r["text_sha256"][:4]): (r["keep_id"], r["kept"]) for r in exact_dedup.exact_groups(docs).collect()}
+    x, ab = (hashlib.sha256(t.encode()).hexdigest()[:4] for t in ("x", "ab"))
+    assert got == {(top, ab): (None, False), (None, ab): (None, True), (-top - 1, x): (-top - 1, True), (top, x): (-top - 1, False)}
+
+
+def test_components_with_hubs_and_odd_edges(spark):
+    edges = [(0, k) for k in range(1, 2000)] + [(10**6, k) for k in range(2000, 4000)] + [(None, 5), (7, None), (3, 3), (-9, 10**6)]
+    got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(range(2000), 0), **dict.fromkeys([10**6, -9, *range(2000, 4000)], -9)}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
