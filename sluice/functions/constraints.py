@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from decimal import Decimal, InvalidOperation
+from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal, InvalidOperation, localcontext
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +14,6 @@ from sluice.functions.doors import let, trimmed
 from sluice.types import INTEGERS, REALS, SPARK_TYPE, DeclarationError, Door
 
 ROUNDINGS = ("strict", "midpoint", "floor", "ceiling")
-_WIDE = "decimal(38,10)"
 
 
 @dataclass(frozen=True)
@@ -69,6 +69,89 @@ def _first(rules: Sequence[tuple[Column, str]]) -> Column:
     return out
 
 
+def _scale(kind: str) -> int:
+    return int(kind.rstrip(")").split(",")[1]) if kind.startswith("decimal") else 0
+
+
+def _compare(v: Column, door: Door, kind: str, bound: str) -> tuple[Column, Column, Column]:
+    """Whether a value is under, at and over a bound, both taken as the decimals that they are.
+
+    A real is the shortest decimal that reads back as it. Rounding keeps order, so a real that isn't the bound's
+    nearest one lies on the same side of the bound as of that; for the nearest one itself the two decimals are compared
+    here. Exact values lie on a grid of their scale, and so does what a finer bound is rounded to.
+    """
+    b = Decimal(bound)
+    if door in (Door.F32, Door.F64):
+        near = float(np.float32(float(b))) if door is Door.F32 else float(b)
+        shortest = Decimal(repr(float(near))) if door is Door.F64 else Decimal(str(np.float32(near))) if np.isfinite(near) else b
+        x = v.cast("double")
+        same = x == F.lit(near)
+        side = (shortest > b) - (shortest < b) if np.isfinite(near) else 0
+        return (x < F.lit(near)) | (same & F.lit(side < 0)), same & F.lit(side == 0), (x > F.lit(near)) | (same & F.lit(side > 0))
+    scale = _scale(kind)
+    step = Decimal(1).scaleb(-scale)
+    with localcontext() as exact:
+        exact.prec = 400
+        low, high = ((b / step).to_integral_value(r) * step for r in (ROUND_FLOOR, ROUND_CEILING))
+        if abs(b) >= Decimal(10) ** (38 - scale):
+            return F.lit(b > 0), F.lit(False), F.lit(b < 0)
+        number = lambda d: F.lit(f"{d:f}").cast(f"decimal(38,{scale})")
+        x = v.cast(f"decimal(38,{scale})")
+        if low == high:
+            return x < number(low), x == number(low), x > number(low)
+        return x <= number(low), F.lit(False), x >= number(high)
+
+
+def _numeric(v: Column, door: Door, rules: Constraints, kind: str) -> tuple[list[tuple[Column, str]], Column, Column, Column]:
+    """What a number breaks, what is delivered for it, whether that was moved, and its place in an enumeration.
+
+    Steps are counted in decimals of 34 digits, of which reals have 18 behind the point, others as many as the rules and the
+    type have; values that those cannot hold have the remainder of their nearest double.
+    """
+    delivered, adjusted, late = v, F.lit(False), []
+    if rules.multiple_of is not None:
+        m = Decimal(rules.multiple_of)
+        wide = f"decimal(34,{max(_scale(kind), min(18, max(0, -m.as_tuple().exponent)))})" if door not in (Door.F32, Door.F64) else "decimal(34,18)"
+        m18 = F.lit(f"{m:f}").try_cast(wide)
+        x = v.cast("string").try_cast(wide)
+        fits = x.isNotNull() & (m18 > 0) & (x.cast("double") == v.cast("double"))
+        near, step = v.cast("double"), F.lit(float(m))
+        away = F.when(fits, F.try_mod(x, m18))
+        rest = F.try_mod(near, step)
+        whole = F.when(fits, away == 0).otherwise(rest == 0)
+        if rules.rounding == "strict":
+            late.append((~whole, "multipleOf"))
+        else:
+
+            def moved(x: Column, m: Column, away: Column) -> Column:
+                low = x - F.when(away < 0, away + m).otherwise(away)
+                past = x - low
+                even = F.try_mod(F.floor(F.try_divide(low, m)), F.lit(2)) == 0
+                near = F.when(past > m - past, low + m).when(past < m - past, low).when(even, low).otherwise(low + m)
+                return {"floor": low, "ceiling": low + m, "midpoint": near}[rules.rounding]
+
+            there = F.when(fits, moved(x, m18, away).try_cast(kind)).otherwise(moved(near, step, rest).try_cast(kind))
+            delivered = F.when(whole, v).otherwise(there)
+            adjusted = ~whole
+            late.append((delivered.isNull(), "multipleOf"))
+            if door in INTEGERS:
+                a, b = INTEGERS[door]
+                late.append(((delivered < F.lit(a).cast("decimal(20,0)")) | (delivered > F.lit(b).cast("decimal(20,0)")), "multipleOf"))
+    broken = []
+    for bound, keyword, which in ((rules.minimum, "minimum", (0,)), (rules.exclusive_minimum, "exclusiveMinimum", (0, 1)), (rules.maximum, "maximum", (2,)), (rules.exclusive_maximum, "exclusiveMaximum", (1, 2))):
+        if bound is not None:
+            sides = _compare(delivered, door, kind, bound)
+            broken.append((sides[which[0]] if len(which) == 1 else sides[which[0]] | sides[which[1]], keyword))
+    broken += late
+    index = F.lit(None).cast("int")
+    if rules.enum is not None:
+        index = F.when(F.lit(False), 0)
+        for i, entry in reversed(list(enumerate(rules.enum))):
+            index = F.when(_compare(delivered, door, kind, entry)[1], i).otherwise(index)
+        broken.append((index.isNull(), "enum"))
+    return broken, delivered, adjusted, index
+
+
 def checked(cell: Column, raw: Column, door: Door, rules: Constraints, kind: str | None = None) -> Column:
     """The door's structure with ``keyword``, ``adjusted`` and ``enum_index``; of several broken rules the first in order.
 
@@ -98,40 +181,10 @@ def checked(cell: Column, raw: Column, door: Door, rules: Constraints, kind: str
             length = F.octet_length(v)
             cast = c["value"]
         else:
-            x = c["value"].cast(_WIDE)
-            number = lambda s: F.lit(s).cast(_WIDE)
-            delivered, adjusted, late = x, F.lit(False), []
-            if rules.multiple_of is not None:
-                m = number(rules.multiple_of)
-                away = F.try_mod(x, m)
-                whole = away == 0
-                if rules.rounding == "strict":
-                    late.append((~whole, "multipleOf"))
-                else:
-                    low = x - F.when(away < 0, away + m).otherwise(away)
-                    rest = x - low
-                    steps = F.floor(F.try_divide(low, m))
-                    near = F.when(rest * 2 > m, low + m).when(rest * 2 < m, low).when(F.pmod(steps, F.lit(2)) == 0, low).otherwise(low + m)
-                    moved = {"floor": low, "ceiling": F.when(whole, x).otherwise(low + m), "midpoint": near}[rules.rounding]
-                    delivered = F.when(whole, x).otherwise(moved).cast(_WIDE)
-                    adjusted = ~whole
-                    if door in INTEGERS:
-                        a, b = INTEGERS[door]
-                        late.append(((delivered < number(str(a))) | (delivered > number(str(b))), "multipleOf"))
-            broken = [(delivered < number(rules.minimum), "minimum")] if rules.minimum is not None else []
-            broken += [(delivered <= number(rules.exclusive_minimum), "exclusiveMinimum")] if rules.exclusive_minimum is not None else []
-            broken += [(delivered > number(rules.maximum), "maximum")] if rules.maximum is not None else []
-            broken += [(delivered >= number(rules.exclusive_maximum), "exclusiveMaximum")] if rules.exclusive_maximum is not None else []
-            broken += late
-            index = F.lit(None).cast("int")
-            if rules.enum is not None:
-                index = F.when(F.lit(False), 0)
-                for i, entry in reversed(list(enumerate(rules.enum))):
-                    index = F.when(delivered == number(entry), i).otherwise(index)
-                broken.append((index.isNull(), "enum"))
+            broken, delivered, adjusted, index = _numeric(c["value"], door, rules, kind)
             span, length, cast = F.lit(0), F.octet_length(raw), c["value"]
         keyword = _first(broken)
-        found = F.struct(keyword.alias("keyword"), delivered.try_cast(kind).alias("delivered"), adjusted.alias("adjusted"), index.alias("index"))
+        found = F.struct(keyword.alias("keyword"), delivered.alias("delivered"), adjusted.alias("adjusted"), index.alias("index"))
         return let(
             F.when(ok, found),
             lambda k: F.struct(

@@ -1,7 +1,11 @@
 """Doors as Catalyst expressions: a cell's text to a value or a fault, without a Python function.
 
 Each door gives ``value, reason, detail, offset, len``; reason is null where the cell is cast, and offset and len are bytes
-of the cell's text. Only ``try_`` functions appear, so a bad cell never ends a query.
+of the cell's text. What can overflow goes through ``try_`` functions or is bounded ahead, so a bad cell never ends a query.
+
+A cell first meets *lanes*: cells in a door's plainest spelling are cast by one regular expression and one cast, and
+frequent faults are told by one regular expression each, all in generated code. What no lane takes goes to the door's
+full rules, whose intermediate values are bound by higher-order functions.
 """
 
 from __future__ import annotations
@@ -189,14 +193,16 @@ def door_decimal(text: Column, form: NumFormat = INVARIANT, precision: int = 38,
 @_door
 def _decimal(t: Column, form: NumFormat, precision: int, scale: int) -> Column:
     kind = f"decimal({precision},{scale})"
+    mantissa, power = r"^-?([0-9]*)\.?([0-9]*)", r"[eE]\+?(-?[0-9]+)$"
 
     def judge(shown: Column, plain: Column, ambiguous: Column, form: NumFormat) -> Column:
-        # Nonzero digits past the scale tell that the declared type would lose something.
-        lost = plain.rlike(rf"\.[0-9]{{{scale}}}[0-9]*[1-9]") if scale else plain.rlike(r"\.0*[1-9]")
-        exponent = plain.rlike("[eE]") & ~(plain.try_cast("decimal(38,18)") == plain.try_cast(kind))
-        share = shown.contains(form.percent)
-        value = F.when(share, F.try_divide(plain.try_cast(kind), F.lit(100)).cast(kind)).otherwise(plain.try_cast(kind))
-        known = F.struct(shown.rlike(form.pattern(percent=True)).alias("fits"), value.alias("value"), (lost | F.coalesce(exponent, F.lit(False))).alias("lost"))
+        whole, part = F.regexp_extract(plain, mantissa, 1), F.regexp_extract(plain, mantissa, 2)
+        digits = F.ltrim(F.concat(whole, part), F.lit("0"))
+        # Digits behind the point once the exponent and a percent sign have moved it, less zeros at the end.
+        e = F.coalesce(F.regexp_extract(plain, power, 1).try_cast("int"), F.lit(0)) - F.when(shown.contains(form.percent), 2).otherwise(0)
+        left = F.char_length(part) - e - (F.char_length(digits) - F.char_length(F.rtrim(digits, F.lit("0"))))
+        value = F.when(digits == "", F.lit(0).cast(kind)).when(e.between(-60, 60), F.concat(F.regexp_extract(plain, mantissa, 0), F.lit("e"), e.cast("string")).try_cast(kind))
+        known = F.struct(shown.rlike(form.pattern(percent=True)).alias("fits"), value.alias("value"), ((digits != "") & (left > scale)).alias("lost"))
         return let(known, lambda k: _result(t, Door.DECIMAL, F.when(~k["lost"], k["value"]), [*_numeral_faults(t, shown, form, k["fits"], ambiguous), (k["lost"], "out_of_range", "tooPrecise", None, None), (k["value"].isNull(), "out_of_range", "tooLarge", None, None)], kind))
 
     return _numeral(t, form, judge)
@@ -253,8 +259,9 @@ def door_unix(t: Column, precision: str = "s") -> Column:
     if precision not in per:
         raise DeclarationError(f"no such precision: {precision}")
     fits = t.rlike(r"^[+-]?[0-9]+$")
-    n = t.try_cast("decimal(38,0)")
-    micros = F.floor(n * F.lit(1_000_000) / F.lit(per[precision])).try_cast("bigint") if per[precision] > 1_000_000 else (n.try_cast("decimal(28,0)") * F.lit(1_000_000 // per[precision])).try_cast("bigint")
+    # 22 digits hold every instant in nanoseconds.
+    n = F.when(F.char_length(t) <= 23, t.try_cast("decimal(22,0)"))
+    micros = (F.floor(n / F.lit(1000)) if precision == "ns" else n * F.lit(1_000_000 // per[precision])).try_cast("bigint")
     # Years 1 to 9999.
     inside = micros.between(-62_135_596_800_000_000, 253_402_300_799_999_999)
     value = F.when(inside, F.timestamp_micros(F.when(inside, micros)))
@@ -368,11 +375,14 @@ def door_duration(t: Column) -> Column:
     """Nanoseconds of an ISO 8601 duration of weeks, days, hours, minutes and seconds; years and months have no fixed length."""
     shape = r"^([+-]?)P(?=[0-9T])(?:([0-9]+)W)?(?:([0-9]+)D)?(?:T(?=[0-9])(?:([0-9]+)H)?(?:([0-9]+)M)?(?:([0-9]+)(?:\.([0-9]{1,9}))?S)?)?$"
     fits = t.rlike(shape)
-    part = lambda k: F.coalesce(F.regexp_extract(t, shape, k).try_cast("decimal(18,0)"), F.lit(0))
+    group = lambda k: F.regexp_extract(t, shape, k)
+    # A group that isn't there is 0; one of more digits than 64-bit nanoseconds can have is null.
+    part = lambda k: F.when(group(k) == "", F.lit(0).cast("decimal(18,0)")).otherwise(group(k).try_cast("decimal(18,0)"))
     seconds = part(2) * 604_800 + part(3) * 86_400 + part(4) * 3600 + part(5) * 60 + part(6)
-    fraction = F.rpad(F.coalesce(F.regexp_extract(t, shape, 7), F.lit("")), 9, "0").try_cast("bigint")
-    sign = F.when(F.regexp_extract(t, shape, 1) == "-", -1).otherwise(1)
-    value = F.when(fits, (sign * (seconds.cast("decimal(28,0)") * 1_000_000_000 + fraction)).try_cast("bigint"))
+    seconds = F.when(seconds <= 10_000_000_000, seconds).try_cast("decimal(11,0)")
+    fraction = F.rpad(group(7), 9, "0").try_cast("bigint")
+    sign = F.when(group(1) == "-", -1).otherwise(1)
+    value = F.when(fits, (sign * (seconds * F.lit(1_000_000_000) + fraction)).try_cast("bigint"))
     calendar = t.rlike(r"^[+-]?P.*[0-9][YM]") & ~t.rlike(r"T[0-9HMS.]*$")
     return _result(t, Door.DURATION, value, [(~fits & calendar, "malformed", "unknownUnit", None, None), (~fits, "malformed", "unexpectedCharacter", None, None), (value.isNull(), "out_of_range", "tooLarge", None, None)])
 
@@ -387,12 +397,127 @@ def door_text(raw: Column) -> Column:
     return F.struct(value.alias("value"), reason.alias("reason"), detail.alias("detail"), F.when(reason == "empty", 0).when(reason.isNotNull(), bad).cast("int").alias("offset"), F.when(reason == "empty", 0).when(reason.isNotNull(), 1).cast("int").alias("len"))
 
 
-def door(kind: Door, raw: Column, **how: object) -> Column:
-    """The door of this kind on a cell's bytes (or text)."""
+def _digits_lane(s: Column, kind: Door, form: NumFormat) -> Column:
+    low, high = INTEGERS[kind]
+    most = len(str(high)) - (1 if kind in (Door.I64, Door.U64) else 0)
+    sign = "-?" if form.minus == "-" and low < 0 else ""
+    return F.when(s.rlike(rf"\A{sign}[0-9]{{1,{most}}}\z"), F.when(s.try_cast("bigint").between(low, min(high, (1 << 63) - 1)), s.try_cast("bigint")).try_cast(SPARK_TYPE[kind]))
+
+
+def _point_lane(form: NumFormat, whole: int, behind: int) -> str | None:
+    """The plain spelling of a number with a fraction, where the notation leaves no doubt."""
+    if form.has(SEPARATOR_DETECT) or form.decimal not in (".", ","):
+        return None
+    sign = "-?" if form.minus == "-" else ""
+    return rf"\A{sign}[0-9]{{1,{whole}}}(?:[{form.decimal}][0-9]{{1,{behind}}})?\z" if behind else rf"\A{sign}[0-9]{{1,{whole}}}\z"
+
+
+_EDGES = rf"\A{SPACE}|{SPACE}\z"
+_TWO = "[0-9]{2}"
+
+
+def _lanes(kind: Door, s: Column, **how: object) -> tuple[Column | None, list[tuple[Column, str, str, Column | None, Column | None]]]:
+    """The value of a cell in the door's plainest spelling, else null; and frequent faults: when, reason, detail, span."""
+    form = how.get("form") or INVARIANT
+    tidy = (F.octet_length(s) > 0) & ~s.rlike(_EDGES)
+    faults: list[tuple[Column, str, str, Column | None, Column | None]] = []
+    numeric = form.zero == "0" and not form.has(SEPARATOR_DETECT)
+    if numeric and (kind in INTEGERS or kind in (Door.F32, Door.F64, Door.DECIMAL)):
+        # Radix prefixes may be of letters alone; all else needs a digit.
+        faults.append((tidy & ~s.rlike("[0-9]|\\A&"), "malformed", "noDigits", None, None))
+    if kind in INTEGERS:
+        if numeric and form.decimal == "." and form.group != "." and form.minus == "-":
+            point = F.instr(s, ".") - 1
+            faults.append((s.rlike(r"\A-?[0-9]{1,15}\.[0-9]{1,15}\z"), "malformed", "fractionNotAllowed", point, F.octet_length(s) - point))
+        return _digits_lane(s, kind, form), faults
+    if kind in (Door.F32, Door.F64):
+        plain = _point_lane(form, 15, 15)
+        text = s if form.decimal == "." else F.replace(s, F.lit(form.decimal), F.lit("."))
+        return (F.when(s.rlike(plain), (text.try_cast("double") + F.lit(0.0)).try_cast(SPARK_TYPE[kind])) if plain else None), faults
+    if kind is Door.DECIMAL:
+        precision, scale = how.get("precision", 38), how.get("scale", 10)
+        plain = _point_lane(form, precision - scale, scale)
+        text = s if form.decimal == "." else F.replace(s, F.lit(form.decimal), F.lit("."))
+        return (F.when(s.rlike(plain), text.try_cast(f"decimal({precision},{scale})")) if plain else None), faults
+    if kind is Door.BOOL:
+        low = F.lower(s)
+        value = F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False)
+        return value, [(tidy, "malformed", "notRecognized", None, None)]
+    if kind is Door.UUID:
+        h = "[0-9a-fA-F]"
+        bare = F.concat_ws("-", *(F.substring(F.lower(s), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+        value = F.when(s.rlike(rf"\A{h}{{8}}-{h}{{4}}-{h}{{4}}-{h}{{4}}-{h}{{12}}\z"), F.lower(s)).when(s.rlike(rf"\A{h}{{32}}\z"), bare)
+        return value, [(tidy & ~F.char_length(s).isin(32, 36), "malformed", "wrongLength", None, None), (tidy, "malformed", "unexpectedCharacter", None, None)]
+    if kind in (Door.DATE, Door.DATE_ORDERED):
+        value = F.when(s.rlike(rf"\A[0-9]{{4}}-{_TWO}-{_TWO}\z") & ~s.startswith("0000"), s.try_cast("date"))
+        options, order = how.get("options") or STRICT, how.get("order") or YMD
+        if kind is Door.DATE_ORDERED and order != YMD:
+            shape = r"\A([0-9]{1,2})([-/. ])([0-9]{1,2})\2([0-9]{4})\z"
+            iso = F.regexp_replace(s, shape, "$4-$1-$3" if order == MDY else "$4-$3-$1")
+            value = F.coalesce(value, F.when(s.rlike(shape) & ~s.endswith("0000"), iso.try_cast("date")))
+        plainly = kind is Door.DATE and COMPACT_DATE not in options.flags or kind is Door.DATE_ORDERED and not options.months
+        if plainly:  # without two digits a cell has no date's shape
+            faults.append((tidy & ~s.rlike("[0-9][-/. ]" if kind is Door.DATE_ORDERED else rf"\A[0-9]{{4}}-{_TWO}-{_TWO}\z"), "malformed", "unexpectedCharacter", None, None))
+        return value, faults
+    if kind is Door.TIMESTAMP:
+        clock = rf"{_TWO}:{_TWO}:{_TWO}(?:\.[0-9]{{1,6}})?"
+        return F.when(s.rlike(rf"\A[0-9]{{4}}-{_TWO}-{_TWO}T{clock}(?:Z|[+-]{_TWO}:{_TWO})\z"), s.try_cast("timestamp")), [(tidy & ~s.rlike("[0-9]:[0-9]"), "malformed", "unexpectedCharacter", None, None)]
+    if kind is Door.DATETIME:
+        return F.when(s.rlike(rf"\A[0-9]{{4}}-{_TWO}-{_TWO}[T ](?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{{1,6}})?\z") & ~s.startswith("0000"), s.try_cast("timestamp_ntz")), []
+    if kind is Door.TIME:
+        number = lambda at: F.substring(s, at, 2).try_cast("bigint")
+        nanos = ((number(1) * 60 + number(4)) * 60 + number(7)) * 1_000_000_000 + F.rpad(F.substring(s, 10, 9), 9, "0").try_cast("bigint")
+        return F.when(s.rlike(r"\A(?:[01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9](?:\.[0-9]{1,9})?\z"), nanos), [(tidy & ~s.rlike("[0-9]:[0-9]"), "malformed", "unexpectedCharacter", None, None)]
+    if kind is Door.UNIX:
+        per = {"s": 1_000_000, "ms": 1000, "us": 1}.get(how.get("precision") or "s")
+        micros = s.try_cast("bigint") * per if per else F.floor(s.try_cast("bigint") / 1000).cast("bigint")
+        most = {"s": 11, "ms": 14, "us": 17, "ns": 15}[how.get("precision") or "s"]
+        value = F.when(s.rlike(rf"\A[0-9]{{1,{most}}}\z"), F.when(micros <= 253_402_300_799_999_999, F.timestamp_micros(micros)))
+        return value, [(tidy & ~s.rlike("[0-9]"), "malformed", "unexpectedCharacter", None, None)]
+    if kind is Door.EXCEL_SERIAL:
+        return F.when(s.rlike(r"\A[0-9]{1,7}(?:\.[0-9]{1,12})?\z"), serial_timestamp(s.try_cast("double"), how.get("epoch") or 1900)), []
+    return None, faults
+
+
+FIELDS = ("value", "reason", "offset", "len", "detail")
+
+
+def _leaf(value: Column, reason: Column, offset: Column, n: Column, detail: Column) -> Column:
+    return F.struct(value.alias("value"), reason.alias("reason"), detail.alias("detail"), offset.alias("offset"), n.alias("len"))
+
+
+def judged(kind: Door, raw: Column, leaf: Callable[..., Column] = _leaf, **how: object) -> Column:
+    """leaf(value, reason, offset, len, detail) of the door's verdict, which is never computed twice."""
     options: Mapping = {k: v for k, v in how.items() if v is not None}
+    target = f"decimal({options.get('precision', 38)},{options.get('scale', 10)})" if kind is Door.DECIMAL else SPARK_TYPE[kind]
+    none = lambda t: F.lit(None).cast(t)
+    good = lambda v: leaf(v.cast(target), none("string"), none("int"), none("int"), none("string"))
+    bytes_ = raw.cast("binary")
     if kind is Door.TEXT:
-        return door_text(raw.cast("binary"))
-    text = F.make_valid_utf8(raw.cast("binary"))
+        plain = (F.octet_length(bytes_) > 0) & F.is_valid_utf8(bytes_)
+        return F.when(plain, good(bytes_.cast("string"))).otherwise(let(door_text(bytes_), lambda x: leaf(*(x[f] for f in FIELDS))))
+    s = bytes_.cast("string")
+    value, faults = _lanes(kind, s, **options)
+    out = None
+    if value is not None:
+        out = F.when(value.isNotNull(), good(value))
+    for when, reason, detail, start, n in faults:
+        bad = leaf(none(target), F.lit(reason), (F.lit(0) if start is None else start).cast("int"), (F.octet_length(s) if n is None else n).cast("int"), F.lit(detail))
+        # The lanes' faults tell places in the bytes as they are, so these have to be text.
+        when = F.is_valid_utf8(bytes_) & when
+        out = F.when(when, bad) if out is None else out.when(when, bad)
+    full = let(_door_of(kind, bytes_, options), lambda x: leaf(*(x[f] for f in FIELDS)))
+    return full if out is None else out.otherwise(full)
+
+
+def door(kind: Door, raw: Column, **how: object) -> Column:
+    """The door of this kind on a cell's bytes (or text)."""
+    return judged(kind, raw, **how)
+
+
+def _door_of(kind: Door, raw: Column, options: Mapping) -> Column:
+    """The door's full rules."""
+    text = F.make_valid_utf8(raw)
     if kind in INTEGERS:
         return door_integer(text, kind, **options)
     if kind in (Door.F32, Door.F64):

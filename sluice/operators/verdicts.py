@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.functions.constraints import checked
-from sluice.functions.doors import door, let
+from sluice.functions.doors import FIELDS, door, judged, let
 from sluice.plans.columns import Column
 from sluice.types import CheckedColumn, Door
 
@@ -20,29 +20,24 @@ def verdict(cell: SparkColumn, column: Column, tokens: Sequence[str] = ()) -> Sp
     """The structure of one cell: a null cell is padded, a token stands for no value, the door judges the rest."""
     tokens = column.tokens if column.tokens is not None else tuple(tokens)
     raw = cell["raw"]
-    padded = cell.isNull()
-    token = ~cell["quoted"] & raw.isin(*(t.encode() for t in tokens)) if tokens else F.lit(False)
-    routed = F.when(padded | F.coalesce(token, F.lit(False)), F.lit(None).cast("binary")).otherwise(raw)
-    judged = door(column.door, routed, **column.options())
-    if column.constraints is not None:
-        judged = checked(judged, routed, column.door, column.constraints, column.spark_type)
-    origin = F.when(padded, "padded").when(F.coalesce(token, F.lit(False)), "token").otherwise("cell")
-    fields = ["value", "reason", "offset", "len", "detail"] + (["keyword", "adjusted", "enum_index"] if column.constraints is not None else [])
-
-    def told(x: SparkColumn) -> SparkColumn:
-        v, o = x["v"], x["o"]
-        asked = o == "cell"
-        out = []
-        for f in fields:
-            if f == "reason":
-                out.append(F.when(asked, v[f]).otherwise("empty").alias(f))
-            elif f in ("offset", "len"):
-                out.append(F.when(asked, v[f]).otherwise(0).cast("int").alias(f))
-            else:
-                out.append(F.when(asked, v[f]).alias(f))
-        return F.struct(*out, o.alias("origin"), raw.alias("raw"))
-
-    return let(F.struct(judged.alias("v"), origin.alias("o")), told)
+    none = lambda t: F.lit(None).cast(t)
+    extra = {"keyword": "string", "adjusted": "boolean", "enum_index": "int"} if column.constraints is not None else {}
+
+    def told(value: SparkColumn, reason: SparkColumn, offset: SparkColumn, n: SparkColumn, detail: SparkColumn, origin: str = "cell", more: Sequence[SparkColumn] = ()) -> SparkColumn:
+        more = more or [none(t) for t in extra.values()]
+        return F.struct(value.alias("value"), reason.alias("reason"), offset.alias("offset"), n.alias("len"), detail.alias("detail"), *(m.alias(k) for m, k in zip(more, extra, strict=True)), F.lit(origin).alias("origin"), raw.alias("raw"))
+
+    def unasked(origin: str) -> SparkColumn:
+        return told(none(column.spark_type), F.lit("empty"), F.lit(0), F.lit(0), none("string"), origin)
+
+    if column.constraints is None:
+        asked = judged(column.door, raw, told, **column.options())
+    else:
+        asked = let(checked(door(column.door, raw, **column.options()), raw, column.door, column.constraints, column.spark_type), lambda v: told(*(v[f] for f in FIELDS), more=[v[k] for k in extra]))
+    out = F.when(cell.isNull(), unasked("padded"))
+    if tokens:
+        out = out.when(~cell["quoted"] & raw.isin(*(t.encode() for t in tokens)), unasked("token"))
+    return out.otherwise(asked)
 
 
 class Typed:
@@ -51,7 +46,9 @@ class Typed:
     def __init__(self, records: DataFrame, plan: Sequence[Column], tokens: Sequence[str] = (), long_rows: str = "reject", cell_at=None):
         self.plan, self.long_rows = list(plan), long_rows
         at = cell_at or (lambda i: F.when(F.lit(i) < F.least(F.col("_width"), F.col("_expected")), F.get("cells", F.lit(i))))
-        self.frame = records.select(*ROW, *(verdict(at(c.source), c, tokens).alias(c.name) for c in self.plan))
+        # Two steps, so that a cell is taken out of its record once.
+        cells = records.select(*ROW, *(at(c.source).alias(f"_cell {i}") for i, c in enumerate(self.plan)))
+        self.frame = cells.select(*ROW, *(verdict(F.col(f"`_cell {i}`"), c, tokens).alias(c.name) for i, c in enumerate(self.plan)))
 
     def _column(self, name: str) -> Column:
         return next(c for c in self.plan if c.name == name)
