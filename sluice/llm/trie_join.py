@@ -8,8 +8,10 @@ smallest doc_id stands for. Classes link when ``100 * shared >= percent * united
    ``size - ceil(percent * size / 100) + 1`` members of each in that order, which are mostly the rarest.
 2. Classes that share such a member are chained by size, as far as neighbours' sizes are near enough to link, and the
    chains' components are *blocks*: sets of two blocks cannot link. Members that occur in one class only, and classes without shared ones, drop out there.
-3. Each block's whole sets go to one task; a block with over ``BLOCK_GRAMS`` members is cut into chunks by size, and each
-   pair of chunks with sizes near enough to link is a task of its own, so that no task holds more than two chunks.
+3. Classes are sorted over all tasks by block and by their rarest member, and cut into *chunks* of at most ``BLOCK_GRAMS / 2``
+   members and ``BLOCK_SETS / 2`` classes. A chunk's whole sets go to one task. Where a block has several chunks, a task
+   besides takes each two of them in which one of the shared members occurs with sizes near enough to link; no other two
+   can have a link between them. So no task holds more than two chunks, and none holds a block for being one.
 4. A task lays its sets in a trie, by the block's own order with its commonest n-grams first, so that near copies share
    long paths. It goes down once for all sets: a node keeps how much of its path every set has (one vector, shared by
    all sets below), and drops sets that cannot reach the overlap that they need, even if all that remains of the longer
@@ -20,8 +22,9 @@ smallest doc_id stands for. Classes link when ``100 * shared >= percent * united
 Nothing is dropped or capped: the table of counts and the order only decide how many candidates are looked at.
 
 Defined cases: a text of fewer than ``n`` words but one at least has its whole sequence as its one n-gram; null, empty and
-blank texts have an empty set and link with nothing; repeated rows are one class; null ids are left out; an empty table
-gives no rows.
+blank texts have an empty set and link with nothing; repeated rows are one class; rows that share an id but not a text
+are documents of their own, so an id may have several classes; null ids are left out; an empty table gives no rows. A
+class and a component are named by their smallest id. Columns other than id and text aren't read.
 """
 
 from __future__ import annotations
@@ -33,9 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from sluice.llm.common import bounded_batches, documents, extend, give_back, materialise, partitions, text_slices, word_hashes, words
+from sluice.llm.common import bounded_batches, documents, extend, give_back, materialise, partitions, spread_join, text_slices, word_hashes, words
 from sluice.llm.components import components
 
 N, PERCENT = 5, 80
@@ -43,8 +45,8 @@ N, PERCENT = 5, 80
 PLACES = 1 << 24
 _SHIFT = np.uint64(64 - 24)
 _PIECES = 64
-#: Members of a block that one task takes whole; chunks of larger blocks have half of it.
-BLOCK_GRAMS = 2_000_000
+#: Members and classes that one task takes; a chunk has half of each.
+BLOCK_GRAMS, BLOCK_SETS = 2_000_000, 8192
 #: Rows of classes and tasks up to this number go to executors as a broadcast table of five numbers each.
 BROADCAST_CLASSES = 1_000_000
 
@@ -259,26 +261,27 @@ def trie_links(sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     root = Trie.of([np.sort(ranks[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
     root.measure(sizes)
-    every = np.arange(len(sets))
-    stack = [(root, np.zeros(len(sets), np.int64), every, 0)]
+    # A node's children share its arrays; which sets can reach a child is told when the child is taken up.
+    stack = [(root, np.zeros(len(sets), np.int32), np.arange(len(sets)), 0)]
     while stack:
         node, overlap, alive, depth = stack.pop()
+        # What a set may still share is bounded by what remains of it and by what remains of the longest path.
+        size, known = sizes[alive], overlap[alive]
+        low = np.maximum(node.least, -(-percent * size // 100))
+        reach = (known + np.minimum(size - known, node.most - depth) >= needed(size, low, percent)) & (low <= np.minimum(node.most, size * 100 // percent))
+        if not reach.any():
+            continue
+        alive = alive[reach]
         depth += len(node.run)
         if len(node.run):
             a, b = starts[node.run], starts[node.run + 1]
             count = b - a
             at = np.repeat(a - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-            overlap = overlap + np.bincount(by_rank[at], minlength=len(sets))
+            overlap = overlap + np.bincount(by_rank[at], minlength=len(sets)).astype(np.int32)
         for i in node.ends:
             found = alive[overlap[alive] >= needed(sizes[alive], sizes[i], percent)]
             yield i, found[(found != i) & (True if side is None else side[found] != side[i])]
-        for child in node.children:
-            # What a set may still share is bounded by what remains of it and by what remains of the longest path.
-            rest = np.minimum(sizes[alive] - overlap[alive], child.most - depth)
-            low = np.maximum(child.least, -(-percent * sizes[alive] // 100))
-            reach = (overlap[alive] + rest >= needed(sizes[alive], low, percent)) & (low <= np.minimum(child.most, sizes[alive] * 100 // percent))
-            if reach.any():
-                stack.append((child, overlap, alive[reach], depth))
+        stack += [(child, overlap, alive, depth) for child in node.children]
 
 
 def _block(rows: list[tuple], percent: int) -> pa.RecordBatch:
@@ -298,15 +301,15 @@ def _block(rows: list[tuple], percent: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label]), pa.array(degree)], ["a", "b", "links"])
 
 
-def _blocks(percent: int):
+def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
         for batch in batches:
-            for block, i, j, node, side, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (block, i, j) != key and held:
+            for i, j, node, side, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (i, j) != key and held:
                     yield _block(held, percent)
                     held = []
-                key = (block, i, j)
+                key = (i, j)
                 held.append((node, side, own))
         if held:
             yield _block(held, percent)
@@ -326,43 +329,99 @@ def _sets(n: int):
     return run
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS) -> DataFrame:
+def _chunks(grams: int, most: int):
+    """From classes by block and rarest member in order: each one's chunk, which ends with its block or at its bounds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, last, held, n = TaskContext.get().partitionId() << 32, None, 0, 0
+        for batch in batches:
+            out = []
+            for block, size in zip(batch.column("block").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if n and (block != last or held + size > grams or n == most):
+                    chunk, held, n = chunk + 1, 0, 0
+                last, held, n = block, held + size, n + 1
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("block"), batch.column("size"), pa.array(out, pa.int64())], ["node", "block", "size", "chunk"])
+
+    return run
+
+
+def _tasks(members: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
+    """``chunk, i, j, side``: every chunk alone, and the pairs of chunks of a block that a prefix member holds together."""
+    # Alone a chunk is one side; in a pair it is one of two.
+    alone = members.select("chunk").distinct().select("chunk", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"))
+    several = members.groupBy("block").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low < high").select("block")
+    cut = materialise(members.join(several, "block", "left_semi").select(F.col("node").alias("doc_id"), "chunk", "size"), "cut")
+    found = cut.count()
+    if not found:
+        return alone
+    cut = F.broadcast(cut) if found <= BROADCAST_CLASSES else cut
+    shared = keyed.select("doc_id", "prefix").join(cut, "doc_id").select(F.explode("prefix").alias("gram"), "chunk", "size")
+    shared = shared.groupBy("gram", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    i, j = (shared.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "low", "high"))) for x in "ij")
+    near = f"chunk_i < chunk_j AND 100 * high_i >= {percent} * low_j AND 100 * high_j >= {percent} * low_i"
+    pairs = i.join(j, "gram").where(near).select(F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j")).distinct()
+    sides = F.explode(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))).alias("s")
+    return alone.unionByName(pairs.select("i", "j", sides).select("s.chunk", "i", "j", "s.side"))
+
+
+CLASSES = "doc_id, n_shingles, class_id, links, component_id"
+
+
+def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_grams: int = BLOCK_GRAMS, block_sets: int = BLOCK_SETS) -> DataFrame:
     """One row per row of docs with an id: doc_id, ``n_shingles``, ``class_id``, ``links``, ``component_id``.
 
     ``class_id`` is the smallest doc_id with the same set, ``links`` the number of other classes that it links with.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    if not _repeats(rows):
+        return _classes(rows, n, percent, block_grams, block_sets).selectExpr(*CLASSES.split(", "))
+    own = materialise(rows.select(F.monotonically_increasing_id().alias("_n"), F.col("doc_id").alias("_id"), "text"), "numbered")
+    return _numbered(own, n, percent, block_grams, block_sets).withColumnRenamed("_id", "doc_id").selectExpr(*CLASSES.split(", "))
+
+
+def _repeats(rows: DataFrame) -> bool:
+    """Whether an id occurs twice."""
+    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
+
+
+def _numbered(own: DataFrame, n: int, percent: int, block_grams: int = BLOCK_GRAMS, block_sets: int = BLOCK_SETS) -> DataFrame:
+    """For rows with numbers of their own (``_n``) beside ids that repeat: classes and components go by their smallest ids."""
+    found = _classes(own.select(F.col("_n").alias("doc_id"), "text"), n, percent, block_grams, block_sets)
+    found = materialise(own.select("_n", "_id").join(found, F.col("_n") == F.col("doc_id")).select("_n", "_id", *CLASSES.split(", ")[1:]), "numbered-classes")
+    count = found.count()
+    for name in ("class_id", "component_id"):
+        least = found.groupBy(name).agg(F.min("_id").alias(f"_{name}"), F.count(F.lit(1)).alias("_rows"))
+        found = spread_join(found, least, name, "_rows", count).drop(name, "_copy", "_rows").withColumnRenamed(f"_{name}", name)
+    return found
+
+
+def _classes(rows: DataFrame, n: int, percent: int, block_grams: int, block_sets: int) -> DataFrame:
+    """For ids that occur once."""
+    spark = rows.sparkSession
+    bounded_batches(spark)
+    tasks_at_once = partitions(spark)
     level = spark.sparkContext.broadcast(zlib.compress(commonness(rows, n).tobytes(), 1))
     give_back()
     info = materialise(rows.mapInArrow(_describe(level, n, percent), INFO), "shingles")
     keyed = info.where("n_shingles > 0")
     classes = keyed.groupBy("k1", "k2").agg(F.min("doc_id").alias("class_id"))
-    standing = keyed.select("doc_id", "n_shingles", "prefix").join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    standing = standing.dropDuplicates(["doc_id"])
+    standing = keyed.select("doc_id", "n_shingles", "prefix").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     grams = standing.select(F.explode("prefix").alias("gram"), F.col("n_shingles").alias("size"), F.col("doc_id").alias("node"))
-    chained = grams.repartition(partitions(spark), "gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_chains(percent), "a long, b long")
-    blocks = materialise(components(chained).select(F.col("node").alias("doc_id"), F.col("component").alias("block")), "blocks")
-    # Chunks of a block by ascending size, so that many pairs of chunks have sizes too far apart to link.
-    sized = blocks.join(keyed.select("doc_id", "n_shingles").dropDuplicates(["doc_id"]), "doc_id")
-    ahead = F.sum("n_shingles").over(Window.partitionBy("block").orderBy("n_shingles", "doc_id")) - 1
-    totals = sized.groupBy("block").agg(F.sum("n_shingles").alias("_s"))
-    chunk = F.when(F.col("_s") <= block_grams, 0).otherwise(F.floor(F.col("_a") * 2 / block_grams)).cast("int")
-    members = sized.withColumn("_a", ahead).join(totals, "block").select(F.col("doc_id").alias("node"), "block", chunk.alias("chunk"), F.col("n_shingles").alias("size"))
-    members = materialise(members, "members")
-    chunks = members.groupBy("block", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    i, j = (chunks.select("block", *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "low", "high"))) for x in "ij")
-    pairs = i.join(j, "block").where(f"chunk_i <= chunk_j AND 100 * high_i >= {percent} * low_j")
-    # Alone a chunk is one side; in a pair it is one of two.
-    tasks = pairs.select("block", F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j"), F.explode(F.when(F.col("chunk_i") == F.col("chunk_j"), F.array("chunk_i")).otherwise(F.array("chunk_i", "chunk_j"))).alias("chunk"))
-    tasks = materialise(members.select("node", "block", "chunk").join(tasks, ["block", "chunk"]).select("node", "block", "i", "j", (F.col("chunk") != F.col("i")).cast("int").alias("side")), "tasks")
+    chained = grams.repartition(tasks_at_once, "gram").sortWithinPartitions("gram", "size", "node").mapInArrow(_chains(percent), "a long, b long")
+    blocks = components(chained).select(F.col("node").alias("doc_id"), F.col("component").alias("block"))
+    sized = materialise(blocks.join(keyed.select("doc_id", F.col("n_shingles").alias("size"), F.col("prefix")[0].alias("rarest")), "doc_id").withColumnRenamed("doc_id", "node"), "blocks")
+    sized = sized.repartitionByRange(tasks_at_once, "block", "rarest", "node").sortWithinPartitions("block", "rarest", "node")
+    members = materialise(sized.select("node", "block", "size").mapInArrow(_chunks(block_grams // 2, max(1, block_sets // 2)), "node long, block long, size long, chunk long"), "members")
+    tasks = members.select("node", "chunk").join(_tasks(members, keyed, percent), "chunk").select("node", "i", "j", "side")
+    tasks = materialise(tasks, "tasks")
     found = tasks.count()
     side = F.broadcast(tasks) if found <= BROADCAST_CLASSES else tasks
-    texts = rows.dropDuplicates(["doc_id"]) if _repeats(rows) else rows
-    dealt = texts.join(side, F.col("doc_id") == F.col("node")).select("block", "i", "j", "node", "side", "text").mapInArrow(_sets(n), "block long, i int, j int, node long, side int, own binary")
-    tasks = dealt.repartition(partitions(spark), "block", "i", "j").sortWithinPartitions("block", "i", "j")
-    linked = materialise(tasks.mapInArrow(_blocks(percent), "a long, b long, links long"), "linked")
+    dealt = rows.join(side, F.col("doc_id") == F.col("node")).select("i", "j", "node", "side", "text").mapInArrow(_sets(n), "i long, j long, node long, side int, own binary")
+    sets = dealt.repartition(tasks_at_once, "i", "j").sortWithinPartitions("i", "j")
+    linked = materialise(sets.mapInArrow(_linked(percent), "a long, b long, links long"), "linked")
     joined = components(linked.select("a", "b"))
     degree = linked.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("_links"))
     reached = classes.join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")
@@ -377,19 +436,26 @@ def jaccard_classes(docs: DataFrame, n: int = N, percent: int = PERCENT, block_g
 
 
 def representatives(docs: DataFrame, n: int = N, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all their columns, without those that are linked to a document with a smaller doc_id."""
-    found = jaccard_classes(docs, n, percent)
-    drop = materialise(found.where("component_id != doc_id").select(F.col("doc_id").alias("_drop")).distinct(), "linked-away")
+    """The rows of docs, with all their columns, without those that are linked to a document with a smaller doc_id.
+
+    Rows without an id stay; of rows that share an id each goes or stays by its own links.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL")
+    again = _repeats(rows)
+    if again:
+        kept = materialise(docs.select(F.monotonically_increasing_id().alias("_n"), F.struct(*docs.columns).alias("_row")), "numbered")
+        own = kept.select("_n", F.col("_row.doc_id").cast("long").alias("_id"), F.col("_row.text").alias("text")).where("_id IS NOT NULL")
+        drop = _numbered(own, n, percent).where("component_id != _id").select(F.col("_n").alias("_drop"))
+    else:
+        drop = jaccard_classes(docs, n, percent).where("component_id != doc_id").select(F.col("doc_id").alias("_drop"))
+    drop = materialise(drop, "linked-away")
     if drop.count() <= BROADCAST_CLASSES:
         drop = F.broadcast(drop)
+    if again:
+        return kept.join(drop, kept["_n"] == drop["_drop"], "left_anti").select("_row.*")
     return docs.join(drop, docs["doc_id"].cast("long") == drop["_drop"], "left_anti")
 
 
-def _repeats(rows: DataFrame) -> bool:
-    """Whether an id occurs twice; only then texts are shuffled to drop repeated rows."""
-    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(documents(spark, sf_dir))
 

@@ -82,12 +82,12 @@ def near_copies(seed, groups=6, size=30, words=80):
     return rows + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A  b"), (9004, "a"), (9005, "a b c d e f " * 400), (9006, "A b c d e f " * 700)]
 
 
-@pytest.mark.parametrize("block", [2_000_000, 3000, 500])
-def test_links_against_all_pairs(spark, block):
+@pytest.mark.parametrize(("block", "most"), [(2_000_000, 8192), (3000, 8192), (500, 8192), (2_000_000, 4), (1, 1)])
+def test_links_against_all_pairs(spark, block, most):
     rows = near_copies(block % 7)
     want = plain_components(rows)
     docs = spark.createDataFrame([(i, t, 0) for i, t in rows], "doc_id long, text string, block long").repartition(3)
-    got = {r["doc_id"]: r for r in trie_join.jaccard_classes(docs, block_grams=block).collect()}
+    got = {r["doc_id"]: r for r in trie_join.jaccard_classes(docs, block_grams=block, block_sets=most).collect()}
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     classes = {}
     for i, t in rows:
@@ -105,6 +105,28 @@ def test_repeated_and_null_ids(spark):
     assert sorted(str(r["doc_id"]) for r in trie_join.representatives(docs).collect()) == ["1", "1", "None"]
 
 
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(30)) for x in "ab")
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b + " more"), (0, a + " more"), (5, a), (5, "quite another text that stands alone")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["class_id"], r["links"], r["component_id"]) for r in trie_join.jaccard_classes(docs).collect())
+    assert got == [(0, 27, 0, 1, 0), (1, 26, 1, 1, 0), (1, 26, 1, 1, 1), (2, 27, 2, 1, 1), (5, 2, 5, 0, 5), (5, 26, 1, 1, 0)]
+    assert sorted((r["doc_id"], r["text"][:1]) for r in trie_join.representatives(docs).collect()) == [(0, "a"), (1, "b"), (5, "q")]
+
+
+def test_trie_memory_is_linear_in_sets():
+    """Many short sets below one path, without any link."""
+    import tracemalloc
+
+    peaks = []
+    for n in (2000, 8000):
+        sets = [np.sort(np.concatenate([np.arange(8), [100 + 2 * k, 101 + 2 * k]])).astype(np.uint64) for k in range(n)]
+        tracemalloc.start()
+        assert not any(len(found) for _, found in trie_join.trie_links(sets, 80))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] and peaks[1] < 100 << 20
+
+
 def test_trie_finds_all_links():
     rng = np.random.default_rng(8)
     for _ in range(60):
