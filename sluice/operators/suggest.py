@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from sluice.functions.doors import DMY, MDY, YMD, door, trimmed
 from sluice.functions.numbers import EUROZONE, INVARIANT, NumFormat
 from sluice.plans.columns import Column
-from sluice.types import Door
+from sluice.types import Door, StructuralFailure
 
 SAMPLE, MOST = 1000, 4096
 #: Integer doors by preference, then the real one; each in the notation with a decimal point and the one with a comma.
@@ -35,64 +36,92 @@ def _ok(cell: SparkColumn, kind: Door, **how: object) -> SparkColumn:
     return door(kind, cell, **how)["reason"].isNull()
 
 
-def _tally(text: SparkColumn, name: str, declared: NumFormat | None) -> list[SparkColumn]:
-    """Counts for a column's text; blank cells don't count."""
+def _tally(text: SparkColumn, name: str, declared: NumFormat | None, cell: SparkColumn | None = None) -> list[SparkColumn]:
+    """Counts for a column's text; blank cells don't count.
+
+    cell: the workbook cell that the text is of; a typed number there fits every notation by its value, and other typed
+    cells fit no number door.
+    """
     t = trimmed(text)
     full = text.isNotNull() & (t != "")
-    numeric = full
+    numeric, typed, by_value = full, F.lit(False), None
+    if cell is not None:
+        from sluice.sources.workbook import typed_door
+
+        typed = F.coalesce(cell["kind"] != "text", F.lit(False))
+        by_value = lambda kind: (cell["kind"] == "number") & typed_door(cell, Column(0, kind))["reason"].isNull()
     count = lambda when, key: F.count_if(F.coalesce(when, F.lit(False))).alias(f"{name}|{key}")
-    # A digit after a leading zero is an identifier's, and an integer past 64 bits loses digits as a real.
-    if declared is None:
-        numeric = full & ~t.rlike(r"^[+-]?\(?0[0-9]")
-    long = t.rlike(r"^[+-]?[0-9.,]+$") & (F.char_length(F.regexp_replace(t, "[^0-9]", "")) > 18) & t.try_cast("bigint").isNull() & ~t.rlike(r"^[+-]?[0-9]*[.,][0-9]{1,2}$")
     out = [count(full, "sampled"), count(full & F.is_valid_utf8(text), "text"), count(full & _ok(text, Door.BOOL), "bool")]
     for key, form in NOTATIONS.items() if declared is None else (("declared", declared),):
+        # A digit after a leading zero is an identifier's, and a whole number that 64 bits don't hold loses digits as a real.
+        numeric = full & ~form.digits(t).rlike(rf"^[^0-9{re.escape(form.decimal)}]*0[0-9]")
+        long = _past_64_bits(t, form)
         for kind in NUMBERS:
             fits = numeric & _ok(text, kind, form=form)
-            if kind is Door.F64:
-                fits = fits & ~long
-            out.append(count(fits, f"{kind.value}|{key}"))
+            fits = fits & ~long if kind is Door.F64 else fits
+            out.append(count(fits if by_value is None else F.when(typed, full & by_value(kind)).otherwise(fits), f"{kind.value}|{key}"))
     out += [count(full & _ok(text, Door.DATE), "date")]
     out += [count(full & _ok(text, Door.DATE_ORDERED, order=o), o) for o in (YMD, MDY, DMY)]
     out += [count(full & _ok(text, Door.TIMESTAMP), "timestamp"), count(full & _ok(text, Door.UUID), "uuid")]
-    return [*out, count(full & text.contains(","), "comma"), count(full & text.contains("."), "dot")]
+    seen = full & ~typed & F.lit(declared is None)
+    return [*out, count(seen & text.contains(","), "comma"), count(seen & text.contains("."), "dot")]
+
+
+def _past_64_bits(t: SparkColumn, form: NumFormat) -> SparkColumn:
+    """Whether a cell is a whole number of this notation, without an exponent, past 64 bits."""
+    shown = form.digits(t)
+    whole = shown.rlike(form.pattern(fraction=False)) & ~shown.rlike("[0-9][eE]")
+    digits = F.ltrim(F.regexp_replace(shown, "[^0-9]", ""), F.lit("0"))
+    top = F.when(form.plain(shown).startswith("-"), F.lit(str(1 << 63))).otherwise(F.lit(str((1 << 63) - 1)))
+    return whole & ((F.char_length(digits) > 19) | ((F.char_length(digits) == 19) & (digits > top)))
+
+
+def suggest_typed(frame: DataFrame, columns: Sequence[str]) -> dict[str, Suggestion]:
+    """A suggestion for each column of workbook cells of a frame that is a sample."""
+    cells = [(n, F.col(f"`{n}`")) for n in columns]
+    asked = [c for n, cell in cells for c in _tally(F.when(cell["kind"] != "empty", cell["raw"].cast("string")), n, None, cell)]
+    counts = frame.agg(*asked).first().asDict() if asked else {}
+    return {name: _judge(_of(counts, name), None) for name in columns}
+
+
+def _of(counts: Mapping[str, int], name: str) -> dict[str, int]:
+    return {k[len(name) + 1 :]: v for k, v in counts.items() if k.startswith(f"{name}|")}
 
 
 def _judge(n: Mapping[str, int], declared: NumFormat | None) -> Suggestion:
     total = n["sampled"]
-    if not total:
-        return Suggestion(Door.TEXT, "resolved", 0, 0)
+    doors = {k: v for k, v in n.items() if k not in ("sampled", "text", "comma", "dot")}
+    best = max(doors.values(), default=0)
+    resolved = lambda kind, *param: Suggestion(kind, "resolved", total, total, param)
     all_of = lambda key: n[key] == total
-    if all_of("bool"):
-        return Suggestion(Door.BOOL, "resolved", total, total)
-    for kind in NUMBERS:
+    number_of = lambda key: next((kind for kind in NUMBERS if f"{kind.value}|{key}" in n and all_of(f"{kind.value}|{key}")), None)
+    if total:
+        if all_of("bool"):
+            return resolved(Door.BOOL)
         if declared is not None:
-            if all_of(f"{kind.value}|declared"):
-                return Suggestion(kind, "resolved", total, total, ("declared",))
-            continue
-        point, comma = all_of(f"{kind.value}|point"), all_of(f"{kind.value}|comma")
-        if point and comma and (n["comma"] or n["dot"]):
-            return Suggestion(kind, "ambiguous", total, total, ("point", "comma"))
-        if point:
-            return Suggestion(kind, "resolved", total, total, ("point",) if n["comma"] else ())
-        if comma:
-            return Suggestion(kind, "resolved", total, total, ("comma",))
-    if all_of("date"):
-        return Suggestion(Door.DATE, "resolved", total, total)
-    if all_of(YMD):
-        return Suggestion(Door.DATE_ORDERED, "resolved", total, total, (YMD,))
-    orders = tuple(o for o in (MDY, DMY) if all_of(o))
-    if orders:
-        return Suggestion(Door.DATE_ORDERED, "resolved" if len(orders) == 1 else "ambiguous", total, total, orders)
-    for kind in (Door.TIMESTAMP, Door.UUID):
-        if all_of(kind.value):
-            return Suggestion(kind, "resolved", total, total)
-    doors = {k: v for k, v in n.items() if k not in ("sampled", "text", "comma", "dot")}
-    if n["text"] == total and not any(doors.values()):
-        return Suggestion(Door.TEXT, "resolved", total, total)
-    best = max(doors, key=lambda k: (doors[k], k)) if doors else "text"
-    kind = Door(best.split("|")[0]) if best not in (YMD, MDY, DMY) else Door.DATE_ORDERED
-    return Suggestion(kind if doors[best] else Door.TEXT, "unresolved", doors[best], total)
+            # The declared notation is the whole rule: nothing is left open.
+            if kind := number_of("declared"):
+                return resolved(kind, "declared")
+        else:
+            point, comma = number_of("point"), number_of("comma")
+            if point and comma and (n["comma"] or n["dot"]):
+                return Suggestion(point, "ambiguous", total, total, ("point", "comma"))
+            if point:
+                return resolved(point, *(["point"] if n["comma"] else []))
+            if comma:
+                return resolved(comma, "comma")
+        if all_of("date"):
+            return resolved(Door.DATE)
+        if all_of(YMD):
+            return resolved(Door.DATE_ORDERED, YMD)
+        if orders := tuple(o for o in (MDY, DMY) if all_of(o)):
+            return Suggestion(Door.DATE_ORDERED, "resolved" if len(orders) == 1 else "ambiguous", total, total, orders)
+        for kind in (Door.TIMESTAMP, Door.UUID):
+            if all_of(kind.value):
+                return resolved(kind)
+        if not best and all_of("text"):
+            return resolved(Door.TEXT)
+    return Suggestion(Door.TEXT, "unresolved", best, total)
 
 
 def tally(frame: DataFrame, columns: Sequence[str], formats: Mapping[str, NumFormat] | None = None) -> DataFrame:
@@ -101,14 +130,36 @@ def tally(frame: DataFrame, columns: Sequence[str], formats: Mapping[str, NumFor
     return frame.agg(*(c for name in columns for c in _tally(F.col(f"`{name}`"), name, formats.get(name))))
 
 
-def suggest(frame: DataFrame, columns: Sequence[str] | None = None, rows: int = SAMPLE, formats: Mapping[str, NumFormat] | None = None) -> tuple[dict[str, Suggestion], bool]:
-    """A suggestion for each text column of frame's first rows, and whether rows lie past them."""
-    columns = list(columns or frame.columns)
+def suggest(frame: DataFrame, columns: Sequence[str] | None = None, rows: int = SAMPLE, formats: Mapping[str, NumFormat] | None = None, order: Sequence[str] = ()) -> tuple[dict[str, Suggestion], bool]:
+    """A suggestion for each text column of frame's first rows, and whether rows lie past them.
+
+    The sample is taken once, at most MOST rows; ``order`` names the columns that put the rows in order, without which
+    the first rows are those of frame's own order.
+    """
+    columns = list(columns or [c for c in frame.columns if c not in order])
+    rows = min(max(1, rows), MOST)
+    first = (frame.orderBy(*order) if order else frame).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).limit(rows + 1).collect()  # at most MOST + 1 rows
+    sample = frame.sparkSession.createDataFrame([tuple(r) for r in first[:rows]], ", ".join(f"`{c}` string" for c in columns))
+    counts = tally(sample, columns, formats).first().asDict()
+    return {name: _judge(_of(counts, name), (formats or {}).get(name)) for name in columns}, len(first) > rows
+
+
+def suggest_source(reader, rows: int = SAMPLE, formats: Mapping[str, NumFormat] | None = None) -> tuple[dict[str, Suggestion], bool]:
+    """For the first records of the first source of a delimited reader without a plan; a failure among them raises, one past them doesn't."""
     rows = min(max(1, rows), MOST)
-    more = frame.limit(rows + 1).count() > rows
-    counts = tally(frame.limit(rows), columns, formats).first().asDict()
-    split = {name: {k.split("|", 1)[1]: v for k, v in counts.items() if k.split("|", 1)[0] == name} for name in columns}
-    return {name: _judge(split[name], (formats or {}).get(name)) for name in columns}, more
+    names = reader.header().names
+    first = reader.records(first=True).orderBy("_record").limit(rows + 1).collect()  # at most MOST + 1 rows
+    if broken := next((r for r in first[:rows] if r["failure"] is not None), None):
+        raise StructuralFailure(str(broken["failure"].asDict()))
+    cells = [[c["raw"] for c in r["cells"]] for r in first[:rows]]
+    width = len(names) or max(map(len, cells), default=0)
+    names = names or [f"c{i}" for i in range(width)]
+    keys = [str(i) for i in range(width)]
+    frame = reader.sources.sparkSession.createDataFrame([tuple([*c, *[None] * width][:width]) for c in cells], ", ".join(f"`{k}` binary" for k in keys) or "none string")
+    frame = frame.select(*(F.col(f"`{k}`").cast("string").alias(k) for k in keys))
+    given = {str(i): formats[n] for i, n in enumerate(names) if formats and n in formats}
+    counts = tally(frame, keys, given).first().asDict() if keys else {}
+    return {n: _judge(_of(counts, str(i)), given.get(str(i))) for i, n in enumerate(names)}, len(first) > rows
 
 
 def plan_of(found: Mapping[str, Suggestion], order: str | None = None) -> list[Column]:

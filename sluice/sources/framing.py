@@ -17,6 +17,9 @@ from sluice.plans.dialect import Dialect
 _OPEN_1252 = (0x81, 0x8D, 0x8F, 0x90, 0x9D)
 
 
+_LINE_END = re.compile(rb"\r\n|\r|\n")
+
+
 @dataclass(frozen=True)
 class Failure:
     kind: str
@@ -60,47 +63,74 @@ def _pattern(dialect: Dialect) -> re.Pattern[bytes]:
     return re.compile(rb"(?:" + cell + rb")(" + s + rb"|\r\n|\r|\n|\Z)")
 
 
+def one_record(data: bytes, dialect: Dialect, at: int, match=None) -> tuple[list[bytes], list[bool], int, bool]:
+    """The cells of the record from a byte on, which of them are quoted, where it ends, and whether it does: the last cell of one that doesn't is what there is of it."""
+    separator = dialect.separator.encode()
+    match = match or _pattern(dialect).match
+    end = len(data)
+    cells: list[bytes] = []
+    quoted: list[bool] = []
+    while True:
+        m = match(data, at)
+        inner, rest, bare, stop = m.groups()
+        if bare is None:
+            cells.append(inner.replace(b'""', b'"') + rest)
+            quoted.append(True)
+        elif dialect.quoting and bare.startswith(b'"'):
+            cells.append(data[at + 1 :].replace(b'""', b'"'))
+            quoted.append(True)
+            return cells, quoted, end, False
+        else:
+            cells.append(bare)
+            quoted.append(False)
+        at = m.end()
+        if stop != separator:
+            return cells, quoted, at, True
+        if at == end:  # a separator at the very end opens an empty cell
+            cells.append(b"")
+            quoted.append(False)
+            return cells, quoted, at, True
+
+
+def rest_of_record(data: bytes, dialect: Dialect) -> tuple[list[bytes], int, bool]:
+    """For data that begins inside a quoted cell: the rest of that cell and the record's further cells, where it ends, and whether it does."""
+    cells, _, end, done = one_record(b'"' + data, dialect, 0)
+    return cells, end - 1, done
+
+
 def records(data: bytes, dialect: Dialect, start: int = 0) -> Iterator[Record | Failure]:
     """All records from a byte on, without any policy; lines and numbers from 1 and 0 there."""
     separator = dialect.separator.encode()
     at, number, line = start, 0, 1
     if not dialect.quoting or b'"' not in data:
         # No cell can hold a line's end.
-        for whole in data[start:].splitlines(keepends=True):
+        for whole in (data[start:] if start else data).splitlines(keepends=True):
             body = whole.rstrip(b"\r\n")
             cells = body.split(separator)
             yield Record(number, line, at, cells, [False] * len(cells))
             number, line, at = number + 1, line + 1, at + len(whole)
         return
     match = _pattern(dialect).match
+    # A line without a quote is a record of its own.
+    plain = re.compile(rb'[^"\r\n]*(?:\r\n|\r|\n|\Z)').match
     end = len(data)
     while at < end:
-        first, lines = at, 0
-        cells: list[bytes] = []
-        quoted: list[bool] = []
-        while True:
-            m = match(data, at)
-            inner, rest, bare, stop = m.groups()
-            if bare is None:
-                cells.append(inner.replace(b'""', b'"') + rest)
-                quoted.append(True)
-                if b"\n" in inner or b"\r" in inner:
-                    lines += len(re.findall(rb"\r\n|\r|\n", inner))
-            elif bare.startswith(b'"'):
-                yield Failure("unclosed_quote", number, line, first)
-                return
-            else:
-                cells.append(bare)
-                quoted.append(False)
+        first = at
+        if m := plain(data, at):
             at = m.end()
-            if stop != separator:
-                break
-            if at == end:  # a separator at the very end opens an empty cell
-                cells.append(b"")
-                quoted.append(False)
-                break
+            cells = m[0].rstrip(b"\r\n").split(separator)
+            yield Record(number, line, first, cells, [False] * len(cells))
+            number, line = number + 1, line + 1
+            continue
+        cells, quoted, at, done = one_record(data, dialect, at, match)
+        if not done:
+            yield Failure("unclosed_quote", number, line, first)
+            return
         yield Record(number, line, first, cells, quoted)
-        number, line = number + 1, line + lines + 1
+        number, line = number + 1, line + 1
+        if any(b"\n" in c or b"\r" in c for c, q in zip(cells, quoted, strict=True) if q):
+            # Line ends in cells, of which the record's own is none.
+            line += len(_LINE_END.findall(data, first, at)) - (data[at - 1] in b"\r\n")
 
 
 def frame(data: bytes, dialect: Dialect) -> Iterator[Record | Failure | list[bytes]]:

@@ -6,6 +6,7 @@ sheet is listed as a sheet.
 
 from __future__ import annotations
 
+import re
 import struct
 import zipfile
 from collections.abc import Iterator
@@ -145,22 +146,33 @@ def objects(part: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 
 def decimal(raw: bytes) -> float:
-    """A 128-bit decimal: a sign, an exponent over 6176, and 113 bits of digits."""
+    """A 128-bit decimal: a sign, an exponent over 6176, and 113 bits of digits; infinities are no number either."""
     whole = int.from_bytes(raw, "little")
+    # Four set bits behind the sign tell an infinity, five no number.
+    if whole >> 123 & 0xF == 0xF:
+        return float("nan")
     exponent = (whole >> 113 & 0x3FFF) - 0x1820
     digits = whole & ((1 << 113) - 1)
     return float(f"{'-' if whole >> 127 else ''}{digits}e{exponent}")
 
 
+# The letters that fields of date patterns have in Unicode's locale data (UTS 35, date field symbols), by
+# the table's groups of fields.
+FIELDS_OF_DATES = {"era": "G", "year": "yYuUr", "quarter": "Qq", "month": "MLl", "week": "wW", "day": "dDFg", "weekday": "Eec"}
+FIELDS_OF_TIMES = {"period": "abB", "hour": "hHKkjJC", "minute": "m", "second": "sSA", "zone": "zZOvVXx"}
+
+
 def shows_time_only(form: Message) -> bool:
-    """Whether a date's format has letters of times outside of quotes, and none of dates."""
+    """Whether a cell's format shows a clock without a day: a field of times and no field of dates."""
     if form.int(1) not in DATE_FORMATS:
         return False
     if form.int(12):
         return True
     pattern = (form.bytes(14) or form.bytes(18)).decode("utf-8", "replace")
-    shown = "".join(pattern.split("'")[::2])
-    return not set(shown) & set("GyYuUQqMLwWdDFgEec") and bool(set(shown) & set("ahHkKmsSAzZvVOXx"))
+    # What stands between apostrophes is text.
+    letters = set(re.sub("'[^']*(?:'|$)", "", pattern))
+    shown = {name for table in (FIELDS_OF_DATES, FIELDS_OF_TIMES) for name, of in table.items() if letters.intersection(of)}
+    return bool(shown) and shown.isdisjoint(FIELDS_OF_DATES)
 
 
 class NumbersDocument:

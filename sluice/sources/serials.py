@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from datetime import date, datetime, timedelta
 
@@ -59,10 +60,12 @@ def from_serial(serial: float, epoch: int) -> tuple[date, int] | None:
 
 
 def number_text(x: float) -> str:
-    """A number's shortest text: whole ones plain below 1e16, exponents outside of 1e-4 to 1e16."""
+    """A number's shortest text: whole ones plain below 1e16, exponents without plus or leading zeros outside of 1e-4 to 1e16."""
+    if not math.isfinite(x):
+        return "NaN" if math.isnan(x) else "inf" if x > 0 else "-inf"
     if x == int(x) and abs(x) < 1e16:
         return str(int(x))
-    return repr(x)
+    return re.sub(r"e([+-])0*", lambda m: "e" + m[1].strip("+"), repr(x))
 
 
 def clock_text(ns: int) -> str:

@@ -7,6 +7,7 @@ error, or none; a formula whose result wasn't stored is uncached.
 from __future__ import annotations
 
 import io
+import math
 import re
 import zipfile
 import zlib
@@ -21,19 +22,24 @@ from pyspark.sql import functions as F
 
 from sluice.functions.constraints import checked
 from sluice.functions.doors import door, let, serial_timestamp
+from sluice.operators.suggest import MOST, SAMPLE, Suggestion, suggest_typed
 from sluice.operators.verdicts import Typed
 from sluice.plans.columns import Column, Header, bind
 from sluice.sources import serials
 from sluice.sources.framing import Failure
 from sluice.sources.numbers_document import Damaged, NumbersDocument
-from sluice.types import INTEGERS, DeclarationError, Door, NoSheet
+from sluice.types import INTEGERS, DeclarationError, Door, NoSheet, StructuralFailure
 
 WIDEST = 16_384
 CELL = "struct<kind: string, raw: binary, quoted: boolean, num: double, day: date, nanos: long, uncached: boolean>"
-RECORDS = f"_source string, _record long, _line long, _width int, _expected int, cells array<{CELL}>, failure struct<kind: string, record: long, line: long, byte: long, expected: int, found: int>"
+RECORDS = f"_source string, _record long, _line long, _width int, _expected int, _epoch int, cells array<{CELL}>, failure struct<kind: string, record: long, line: long, byte: long, expected: int, found: int>"
 _CELL = pa.struct([("kind", pa.string()), ("raw", pa.binary()), ("quoted", pa.bool_()), ("num", pa.float64()), ("day", pa.date32()), ("nanos", pa.int64()), ("uncached", pa.bool_())])
 _FAILURE = pa.struct([("kind", pa.string()), ("record", pa.int64()), ("line", pa.int64()), ("byte", pa.int64()), ("expected", pa.int32()), ("found", pa.int32())])
 
+#: Bytes of a package that a task takes whole; Spark's files as rows end there too.
+LARGEST = (1 << 31) - 1
+
+# The spellings of errors in cells.
 ERRORS = ("#NULL!", "#DIV/0!", "#VALUE!", "#REF!", "#NAME?", "#NUM!", "#N/A", "#GETTING_DATA")
 
 
@@ -124,6 +130,8 @@ class Book:
             self.format = "ods"
             self.epoch = 1900
             self.sheets = [(_attribute(t, "name") or "", False) for t in self._tables()]
+        elif "xl/workbook.bin" in self.names:
+            raise Package("not_a_workbook")  # the binary kind of workbook
         elif "[content_types].xml" in self.names or "xl/workbook.xml" in self.names:
             self.format = "xlsx"
             self._workbook()
@@ -211,6 +219,8 @@ class Book:
             raise Package(e.kind) from None
 
     def _number(self, x: float, style: str) -> dict:
+        if not math.isfinite(x):
+            raise ValueError(x)
         if style == serials.ELAPSED:
             ns = round(x * 86_400_000_000_000) if abs(x) < 100_000 else None
             return cell("span", serials.span_text(ns), x, nanos=ns) if ns is not None else cell("number", serials.number_text(x), x)
@@ -293,7 +303,7 @@ class Book:
                             if _local(c.tag) in ("table-cell", "covered-table-cell"):
                                 wide = int(_attribute(c, "number-columns-repeated") or 1)
                                 value = _ods_cell(c)
-                                if value is not None:
+                                if value is not None and (value["kind"] != "empty" or value["uncached"]):
                                     for k in range(column + 1, min(column + wide, WIDEST) + 1):
                                         cells[k] = value
                                 column += wide
@@ -339,6 +349,8 @@ def _ods_cell(c: ET.Element) -> dict | None:
     if kind in ("float", "currency", "percentage"):
         value = _attribute(c, "value")
         try:
+            if value and not math.isfinite(float(value)):
+                return cell("text", value)
             return cell("number", serials.number_text(float(value)), float(value)) if value else cell("empty", uncached=formula is not None)
         except ValueError:
             return cell("text", value)
@@ -358,12 +370,16 @@ def _ods_cell(c: ET.Element) -> dict | None:
     return cell("error", text) if text in ERRORS and formula is not None else cell("text", text) if text or kind == "string" else None
 
 
-def _reading(data: bytes, which: int | str, options: SheetOptions) -> Iterator[tuple[int, int, list[dict | None]] | list[str] | Failure]:
-    """The header, then delivered rows (number, row, cells), then a failure if the package broke."""
+def _reading(data: bytes | None, which: int | str, options: SheetOptions) -> Iterator[tuple[int, int, list[dict | None]] | list[str] | Failure | int]:
+    """The date system, the header, then delivered rows (number, row, cells), then a failure if the package broke."""
     area, number, header = options.range, 0, options.has_header
     skip, discard = options.skip, options.header_row
+    if data is None:
+        yield Failure("too_large", 0, 0, 0)
+        return
     try:
         book = Book(data)
+        yield book.epoch
         for row, times, cells in book.rows(which):
             if area.last_row and row > area.last_row:
                 break
@@ -379,17 +395,17 @@ def _reading(data: bytes, which: int | str, options: SheetOptions) -> Iterator[t
                 continue
             width = max(inside, default=-1) + 1
             line = [inside.get(c) for c in range(width)]
+            # Repeats that no row comes of are counted, not walked.
+            passed = min(skip, last - first + 1)
+            skip, first = skip - passed, first + passed
+            passed = min(discard, last - first + 1)
+            discard, first = discard - passed, first + passed
+            if header and first <= last:
+                header, first = False, first + 1
+                yield [v["raw"].decode() if v else "" for v in line]
             for k in range(first, last + 1):
-                if skip:
-                    skip -= 1
-                elif discard:
-                    discard -= 1
-                elif header:
-                    header = False
-                    yield [v["raw"].decode() if v else "" for v in line]
-                else:
-                    yield number, k, line
-                    number += 1
+                yield number, k, line
+                number += 1
         if header:
             yield []
     except Package as e:
@@ -403,85 +419,110 @@ def _reading(data: bytes, which: int | str, options: SheetOptions) -> Iterator[t
 
 
 def _sheet_reader(which: int | str, options: SheetOptions):
-    def batch(source: str, rows: list, expected: int, failure: Failure | None) -> pa.RecordBatch:
+    def batch(source: str, rows: list, epoch: int, failure: Failure | None) -> pa.RecordBatch:
         n = len(rows)
-        columns = [[source] * n, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [max(expected, len(r[2])) for r in rows], [[c if c else NOTHING for c in r[2]] for r in rows], [None] * n]
+        columns = [[source] * n, [r[0] for r in rows], [r[1] for r in rows], [len(r[2]) for r in rows], [len(r[2]) for r in rows], [epoch] * n, [[c if c else NOTHING for c in r[2]] for r in rows], [None] * n]
         if failure is not None:
-            for c, v in zip(columns, [source, failure.record, failure.line, None, None, None, failure.__dict__], strict=True):
+            for c, v in zip(columns, [source, failure.record, failure.line, None, None, epoch, None, failure.__dict__], strict=True):
                 c.append(v)
-        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(_CELL), _FAILURE]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_source", "_record", "_line", "_width", "_expected", "cells", "failure"])
+        types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(_CELL), _FAILURE]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["_source", "_record", "_line", "_width", "_expected", "_epoch", "cells", "failure"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for source, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows, failure = [], None
-                for r in _reading(data or b"", which, options):
+                rows, failure, epoch = [], None, 1900
+                for r in _reading(data, which, options):
                     if isinstance(r, Failure):
                         failure = r
+                    elif isinstance(r, int):
+                        epoch = r
                     elif not isinstance(r, list):
                         rows.append(r)
                         if len(rows) == 4096:
-                            yield batch(source, rows, 0, None)
+                            yield batch(source, rows, epoch, None)
                             rows = []
                 if rows or failure is not None:
-                    yield batch(source, rows, 0, failure)
+                    yield batch(source, rows, epoch, failure)
 
     return run
 
 
-def typed_door(c: SparkColumn, column: Column, epoch: int = 1900) -> SparkColumn:
-    """The cast matrix: text cells go through the door, typed ones by their kind; what has no place in it is malformed."""
+def _snapped(days: SparkColumn) -> SparkColumn:
+    """Nanoseconds of a serial's fraction of a day: of the times that store as the same double, the roundest."""
+    whole = F.floor(days)
+    exact = (days - whole) * F.lit(86_400.0)
+    rounds = [F.round(exact, k) for k in range(10)]
+    found = F.coalesce(*(F.when(whole + r / F.lit(86_400.0) == days, r) for r in rounds), rounds[-1])
+    return F.round(found * F.lit(1e9), 0).try_cast("bigint")
+
+
+def typed_door(c: SparkColumn, column: Column, epoch: int | SparkColumn = 1900) -> SparkColumn:
+    """The cast matrix: text cells go through the door, typed ones by their kind; what has no place in it is malformed.
+
+    A number is the shortest decimal that reads back as it; ``raw`` has it as text.
+    """
     d, kind, num, ns = column.door, c["kind"], c["num"], c["nanos"]
     refused = lambda reason, detail=None: F.struct(F.lit(reason).alias("reason"), F.lit(detail).cast("string").alias("detail"))
     good = F.lit(None).cast("struct<reason: string, detail: string>")
     target = column.spark_type
-    whole = num == F.floor(num)
+    shown = c["raw"].cast("string")
+    # Numbers documents may have cells without a number, which no door takes.
+    is_number = (kind == "number") & ~F.isnan(F.coalesce(num, F.lit(0.0)))
+    whole = is_number & (num % F.lit(1.0) == 0)
+    # Below 10**38 decimals of 38 digits have every whole number that a double can be.
+    exact = F.when(whole & (F.abs(num) < F.lit(1e38)), shown.try_cast("decimal(38,0)"))
     bad = refused("malformed")
     judged = door(d, F.when(kind == "text", c["raw"]), **column.options())
     wall = F.timestamp_micros(F.unix_date(c["day"]) * F.lit(86_400_000_000) + F.floor(ns / 1000).cast("bigint"))
+    day_number = F.when((num >= 0) & (num < F.lit(1e7)), num)
     value, fault = F.lit(None).cast(target), F.when(F.lit(True), bad)
     if d in INTEGERS:
         low, high = (F.lit(str(x)).cast("decimal(20,0)") for x in INTEGERS[d])
-        exact = num.try_cast("decimal(38,0)")
-        fits = exact.between(low, high)
-        value = F.when((kind == "number") & whole & fits, exact)
-        fault = F.when((kind == "number") & ~whole, refused("malformed", "fractionNotAllowed")).when((kind == "number") & ~fits, refused("out_of_range", "tooLarge"))
-        fault = fault.when(kind != "number", bad)
+        value = F.when(exact.between(low, high), exact)
+        negative = refused("out_of_range", "negativeNotAllowed" if INTEGERS[d][0] == 0 else "tooSmall")
+        fault = F.when(~is_number, bad).when(~whole, refused("malformed", "fractionNotAllowed")).when(value.isNull() & (num < 0), negative).when(value.isNull(), refused("out_of_range", "tooLarge"))
     elif d in (Door.F32, Door.F64):
-        value = F.when(kind == "number", num)
-        fault = F.when(kind != "number", bad)
+        top = 3.4028234663852886e38 if d is Door.F32 else 1.7976931348623157e308
+        value = F.when(is_number & (F.abs(num) <= F.lit(top)), num + F.lit(0.0))
+        fault = F.when(~is_number, bad).when(value.isNull(), refused("out_of_range", "tooLarge"))
     elif d is Door.DECIMAL:
-        value = F.when(kind == "number", c["raw"].cast("string").try_cast(target))
-        fault = F.when(kind != "number", bad).when(value.isNull(), refused("out_of_range", "tooLarge"))
+        read = door(d, F.when(is_number, c["raw"]), precision=column.decimal[0], scale=column.decimal[1])
+        value = read["value"]
+        fault = F.when(~is_number, bad).when(value.isNull(), F.struct(read["reason"].alias("reason"), read["detail"].alias("detail")))
     elif d is Door.BOOL:
         value = F.when(kind.isin("bool", "number") & num.isin(0.0, 1.0), num == 1)
         fault = F.when(value.isNull(), bad)
     elif d in (Door.TIMESTAMP, Door.EXCEL_SERIAL, Door.DATE, Door.DATE_ORDERED):
-        serial = serial_timestamp(F.when((num >= 0) & (num < 1e7), num), epoch)
-        instant = F.when(kind == "wall", wall).when(kind == "number", serial)
+        if isinstance(epoch, int):
+            serial = serial_timestamp(day_number, epoch)
+        else:
+            serial = F.when(epoch == 1904, serial_timestamp(day_number, 1904)).otherwise(serial_timestamp(day_number, 1900))
+        instant = F.when(kind == "wall", wall).when(is_number, serial)
         value = instant.cast("date") if d in (Door.DATE, Door.DATE_ORDERED) else instant
-        fault = F.when((kind == "number") & (num < 0), refused("malformed", "negativeNotAllowed")).when((kind == "number") & instant.isNull(), refused("out_of_range", "dateFieldOutOfRange")).when(~kind.isin("wall", "number"), bad)
+        fault = F.when(is_number & (num < 0), refused("malformed", "negativeNotAllowed")).when(is_number & instant.isNull(), refused("out_of_range", "dateFieldOutOfRange")).when(~kind.isin("wall", "number"), bad)
     elif d is Door.TIME:
         day = 86_400_000_000_000
-        part = F.round((num - F.floor(num)) * F.lit(86_400_000_000.0)).cast("bigint") * 1000
-        value = F.when(kind.isin("wall", "clock"), ns).when((kind == "span") & ns.between(0, day - 1), ns).when((kind == "number") & (num >= 0), part)
-        fault = F.when((kind == "span") & value.isNull(), refused("out_of_range", "timeFieldOutOfRange")).when(value.isNull(), bad)
+        part = F.when(day_number < 2_958_466, _snapped(day_number))
+        value = F.when(kind.isin("wall", "clock"), ns).when((kind == "span") & ns.between(0, day - 1), ns).when(is_number, F.pmod(part, F.lit(day)))
+        fault = F.when(is_number & (num < 0), refused("malformed", "negativeNotAllowed")).when(kind.isin("span", "number") & value.isNull(), refused("out_of_range", "timeFieldOutOfRange")).when(value.isNull(), bad)
     elif d is Door.DURATION:
-        value = F.when(kind.isin("clock", "span"), ns).when((kind == "number") & (F.abs(num) < 100_000), F.round(num * F.lit(86_400_000_000.0)).cast("bigint") * 1000)
-        fault = F.when(value.isNull(), bad)
+        # Days in the digits that they are shown with, to the nanosecond.
+        days = F.when(is_number & (F.abs(num) < 110_000), shown.try_cast("decimal(24,18)"))
+        nanos = (F.round(days * F.lit(86_400), 9).try_cast("decimal(22,9)") * F.lit(1_000_000_000)).try_cast("bigint")
+        value = F.when(kind.isin("clock", "span"), ns).when(is_number, nanos)
+        fault = F.when(is_number & value.isNull(), refused("out_of_range", "tooLarge")).when(value.isNull(), bad)
     elif d is Door.UNIX:
-        per = {"s": 1_000_000, "ms": 1000, "us": 1, "ns": 1}[column.precision or "s"]
-        micros = (num.try_cast("decimal(20,0)") * F.lit(per)).try_cast("bigint")
-        value = F.when((kind == "number") & whole, F.timestamp_micros(F.floor(micros / 1000).cast("bigint") if column.precision == "ns" else micros))
-        fault = F.when((kind == "number") & ~whole, refused("malformed", "notWhole")).when(value.isNull(), bad)
+        read = door(d, F.when(whole, F.coalesce(exact.cast("string"), F.lit("9" * 38))), precision=column.precision or "s")
+        value = F.when(kind == "wall", wall).when(whole, read["value"])
+        fault = F.when(is_number & ~whole, refused("malformed", "notWhole")).when(is_number & value.isNull(), refused("out_of_range", "outsideWindow")).when(value.isNull(), bad)
     elif d is Door.DATETIME:
         value = F.when(kind == "wall", wall.cast("timestamp_ntz"))
         fault = F.when(kind != "wall", bad)
     elif d is Door.TEXT:
-        value = c["raw"].cast("string")
+        value = shown
         fault = F.when(F.lit(False), bad)
-    x = F.struct(judged.alias("j"), value.cast(target).alias("v"), F.coalesce(fault, good).alias("f"))
+    x = F.struct(judged.alias("j"), value.try_cast(target).alias("v"), F.coalesce(fault, good).alias("f"))
     is_text = kind == "text"
     n = F.octet_length(c["raw"])
     return let(
@@ -499,12 +540,12 @@ def typed_door(c: SparkColumn, column: Column, epoch: int = 1900) -> SparkColumn
 class TypedSheet(Typed):
     """Sheet rows under a plan; tokens meet text cells only, and a formula without a stored result is uncached."""
 
-    def __init__(self, records: DataFrame, plan: Sequence[Column], tokens: Sequence[str] = (), epoch: int = 1900):
+    def __init__(self, records: DataFrame, plan: Sequence[Column], tokens: Sequence[str] = (), epoch: int | SparkColumn = 1900):
         self.plan, self.long_rows = list(plan), "reject"
         self.frame = records.select("_source", "_record", "_line", "_width", "_expected", *(self._cell(c, tokens, epoch).alias(c.name) for c in self.plan))
 
     @staticmethod
-    def _cell(column: Column, tokens: Sequence[str], epoch: int) -> SparkColumn:
+    def _cell(column: Column, tokens: Sequence[str], epoch: int | SparkColumn) -> SparkColumn:
         tokens = column.tokens if column.tokens is not None else tuple(tokens)
         c = F.coalesce(F.get("cells", F.lit(column.source)), F.struct(*(F.lit(None).cast(t).alias(n) for n, t in (p.split(": ") for p in CELL[7:-1].split(", ")))))
 
@@ -524,6 +565,21 @@ class TypedSheet(Typed):
         return let(c, judged)
 
 
+def _listed(data: bytes | None) -> list[tuple]:
+    """Index, name, hidden, format, date system and failure of each sheet."""
+    if data is None:
+        return [(None, None, None, None, None, "too_large")]
+    try:
+        book = Book(data)
+    except Package as e:
+        return [(None, None, None, None, None, e.kind)]
+    except ET.ParseError:
+        return [(None, None, None, None, None, "xml")]
+    except (zlib.error, zipfile.BadZipFile, EOFError):
+        return [(None, None, None, None, None, "deflate")]
+    return [(i, name, hidden, book.format, book.epoch, None) for i, (name, hidden) in enumerate(book.sheets)]
+
+
 class Workbook:
     """Workbooks of one shape: a row per package with its name and its bytes."""
 
@@ -531,49 +587,76 @@ class Workbook:
         self.sources = sources
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str | Sequence[str]) -> Workbook:
-        return cls(spark.read.format("binaryFile").load(path).select(F.col("path").alias("_source"), F.col("content").alias("_bytes")))
+    def open(cls, spark: SparkSession, path: str | Sequence[str], most: int = LARGEST) -> Workbook:
+        """Packages over ``most`` bytes aren't read; their failure is ``too_large``."""
+        if not 0 < most <= LARGEST:
+            raise DeclarationError(f"a package has from 1 to {LARGEST} bytes")
+        files = spark.read.format("binaryFile").load(path)
+        small = files.where(F.col("length") <= most).select(F.col("path").alias("_source"), F.col("content").alias("_bytes"))
+        large = files.where(F.col("length") > most).select(F.col("path").alias("_source"), F.lit(None).cast("binary").alias("_bytes"))
+        return cls(small.unionByName(large))
 
     @classmethod
     def from_bytes(cls, spark: SparkSession, data: bytes | dict[str, bytes]) -> Workbook:
         return cls(spark.createDataFrame(list((data if isinstance(data, dict) else {"bytes": data}).items()), "_source string, _bytes binary"))
 
     def sheets(self) -> DataFrame:
-        """A row per sheet: source, index, name, hidden, and the package's format and date system."""
+        """A row per sheet: source, index, name, hidden, and the package's format and date system; a row with ``failure`` for a package that cannot be read."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for source, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                    try:
-                        book = Book(data)
-                    except (Package, ET.ParseError):
-                        continue
-                    n = len(book.sheets)
-                    yield pa.RecordBatch.from_pydict({"_source": [source] * n, "sheet": pa.array(range(n), pa.int32()), "name": [s for s, _ in book.sheets], "hidden": [h for _, h in book.sheets], "format": [book.format] * n, "epoch": pa.array([book.epoch] * n, pa.int32())})
+                    found = _listed(data)
+                    columns = list(zip(*found, strict=True)) if found else [()] * 6
+                    types = [pa.int32(), pa.string(), pa.bool_(), pa.string(), pa.int32(), pa.string()]
+                    yield pa.RecordBatch.from_arrays([pa.array([source] * len(found), pa.string()), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["_source", "sheet", "name", "hidden", "format", "epoch", "failure"])
 
-        return self.sources.mapInArrow(run, "_source string, sheet int, name string, hidden boolean, format string, epoch int")
+        return self.sources.mapInArrow(run, "_source string, sheet int, name string, hidden boolean, format string, epoch int, failure string")
 
     def header(self, which: int | str = 0, options: SheetOptions = SheetOptions()) -> Header:
+        """The header of the first package by name; a package that breaks ahead of it raises."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for data in b.column(1).to_pylist():
-                    first = next(_reading(data, which, options), [])
-                    yield pa.RecordBatch.from_arrays([pa.array([first if isinstance(first, list) else []], pa.list_(pa.string()))], ["names"])
+                    first = next((x for x in _reading(data, which, options) if not isinstance(x, int)), [])
+                    broken = first.kind if isinstance(first, Failure) else None
+                    yield pa.RecordBatch.from_arrays([pa.array([first if isinstance(first, list) else []], pa.list_(pa.string())), pa.array([broken], pa.string())], ["names", "failure"])
 
-        row = self.sources.orderBy("_source").limit(1).mapInArrow(run, "names array<string>").first()
+        row = self.sources.orderBy("_source").limit(1).mapInArrow(run, "names array<string>, failure string").first()
+        if row and row["failure"]:
+            raise StructuralFailure(row["failure"])
         return Header(row["names"] if row and options.has_header else [])
 
+    def suggest(self, which: int | str = 0, options: SheetOptions = SheetOptions(), rows: int = SAMPLE) -> tuple[dict[str, Suggestion], bool]:
+        """A suggestion for each of the header's columns (by ordinal without one) from the sheet's first rows, and whether rows lie past them.
+
+        Text cells are judged as in delimited text; typed numbers fit every notation by their value, other typed cells
+        their own doors. A failure among the rows looked at raises.
+        """
+        if rows < 0 or rows > MOST:
+            raise DeclarationError(f"a sample has up to {MOST} rows")
+        names = self.header(which, options).names
+        first = self.records(which, options).orderBy("_source", "_record").limit(max(1, rows) + 1)
+        first = first.select("_source", "_record", "_width", "cells", "failure").collect()  # at most MOST + 1 rows
+        if broken := next((r for r in first[: max(1, rows)] if r["failure"] is not None), None):
+            raise StructuralFailure(str(broken["failure"].asDict()))
+        sample = [r["cells"] for r in first[: max(1, rows)]]
+        width = len(names) or max(map(len, sample), default=0)
+        names = names or [f"c{i}" for i in range(width)]
+        cells = [[c[i].asDict() if i < len(c) else None for i in range(width)] for c in sample]
+        frame = self.sources.sparkSession.createDataFrame([tuple(r) for r in cells], ", ".join(f"`{i}` {CELL}" for i in range(width)) or "none string")
+        found = suggest_typed(frame, [str(i) for i in range(width)])
+        return {n: found[str(i)] for i, n in enumerate(names)}, len(first) > max(1, rows)
+
     def records(self, which: int | str = 0, options: SheetOptions = SheetOptions()) -> DataFrame:
         return self.sources.mapInArrow(_sheet_reader(which, options), RECORDS)
 
     def read(self, which: int | str, plan: Sequence[Column], options: SheetOptions = SheetOptions(), epoch: int | None = None) -> TypedSheet:
-        """epoch: the date system for numbers on date columns; the first package's own where it isn't given."""
+        """epoch: the date system for numbers on date columns; each package's own where it isn't given."""
         by_name = any(isinstance(c.source, str) for c in plan)
         bound = bind(plan, self.header(which, options) if by_name else None)
-        if epoch is None:
-            first = self.sheets().orderBy("_source").first()
-            epoch = first["epoch"] if first else 1900
-        return TypedSheet(self.records(which, options).where("failure IS NULL"), bound, options.tokens, epoch)
+        return TypedSheet(self.records(which, options).where("failure IS NULL"), bound, options.tokens, F.col("_epoch") if epoch is None else epoch)
 
     def failures(self, which: int | str = 0, options: SheetOptions = SheetOptions()) -> DataFrame:
         return self.records(which, options).where("failure IS NOT NULL").select("_source", "failure.*")
