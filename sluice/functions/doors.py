@@ -10,6 +10,7 @@ full rules, whose intermediate values are bound by higher-order functions.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import wraps
@@ -397,19 +398,18 @@ def door_text(raw: Column) -> Column:
     return F.struct(value.alias("value"), reason.alias("reason"), detail.alias("detail"), F.when(reason == "empty", 0).when(reason.isNotNull(), bad).cast("int").alias("offset"), F.when(reason == "empty", 0).when(reason.isNotNull(), 1).cast("int").alias("len"))
 
 
-def _digits_lane(s: Column, kind: Door, form: NumFormat) -> Column:
-    low, high = INTEGERS[kind]
-    most = len(str(high)) - (1 if kind in (Door.I64, Door.U64) else 0)
-    sign = "-?" if form.minus == "-" and low < 0 else ""
-    return F.when(s.rlike(rf"\A{sign}[0-9]{{1,{most}}}\z"), F.when(s.try_cast("bigint").between(low, min(high, (1 << 63) - 1)), s.try_cast("bigint")).try_cast(SPARK_TYPE[kind]))
+def _plain(s: Column, form: NumFormat, behind: int) -> tuple[Column, Column] | None:
+    """Whether a cell is in the notation's plainest spelling with up to so many decimals, and it in digits, sign and point.
 
-
-def _point_lane(form: NumFormat, whole: int, behind: int) -> str | None:
-    """The plain spelling of a number with a fraction, where the notation leaves no doubt."""
-    if form.has(SEPARATOR_DETECT) or form.decimal not in (".", ","):
+    None for notations that leave a doubt about that spelling.
+    """
+    if form.has(SEPARATOR_DETECT) or form.minus != "-" or form.plus != "+" or form.zero != "0":
         return None
-    sign = "-?" if form.minus == "-" else ""
-    return rf"\A{sign}[0-9]{{1,{whole}}}(?:[{form.decimal}][0-9]{{1,{behind}}})?\z" if behind else rf"\A{sign}[0-9]{{1,{whole}}}\z"
+    fraction = rf"(?:{re.escape(form.decimal)}[0-9]{{1,{behind}}})?" if behind else ""
+    text = F.replace(s, F.lit(form.group), F.lit("")) if form.group else s
+    if form.decimal != "." and behind:
+        text = F.replace(text, F.lit(form.decimal), F.lit("."))
+    return s.rlike(rf"\A-?{form.whole()}{fraction}\z"), text
 
 
 _EDGES = rf"\A{SPACE}|{SPACE}\z"
@@ -421,24 +421,30 @@ def _lanes(kind: Door, s: Column, **how: object) -> tuple[Column | None, list[tu
     form = how.get("form") or INVARIANT
     tidy = (F.octet_length(s) > 0) & ~s.rlike(_EDGES)
     faults: list[tuple[Column, str, str, Column | None, Column | None]] = []
-    numeric = form.zero == "0" and not form.has(SEPARATOR_DETECT)
-    if numeric and (kind in INTEGERS or kind in (Door.F32, Door.F64, Door.DECIMAL)):
-        # Radix prefixes may be of letters alone; all else needs a digit.
-        faults.append((tidy & ~s.rlike("[0-9]|\\A&"), "malformed", "noDigits", None, None))
-    if kind in INTEGERS:
-        if numeric and form.decimal == "." and form.group != "." and form.minus == "-":
-            point = F.instr(s, ".") - 1
-            faults.append((s.rlike(r"\A-?[0-9]{1,15}\.[0-9]{1,15}\z"), "malformed", "fractionNotAllowed", point, F.octet_length(s) - point))
-        return _digits_lane(s, kind, form), faults
-    if kind in (Door.F32, Door.F64):
-        plain = _point_lane(form, 15, 15)
-        text = s if form.decimal == "." else F.replace(s, F.lit(form.decimal), F.lit("."))
-        return (F.when(s.rlike(plain), (text.try_cast("double") + F.lit(0.0)).try_cast(SPARK_TYPE[kind])) if plain else None), faults
-    if kind is Door.DECIMAL:
-        precision, scale = how.get("precision", 38), how.get("scale", 10)
-        plain = _point_lane(form, precision - scale, scale)
-        text = s if form.decimal == "." else F.replace(s, F.lit(form.decimal), F.lit("."))
-        return (F.when(s.rlike(plain), text.try_cast(f"decimal({precision},{scale})")) if plain else None), faults
+    if kind in INTEGERS or kind in (Door.F32, Door.F64, Door.DECIMAL):
+        scale = 0 if kind in INTEGERS else how.get("scale", 10) if kind is Door.DECIMAL else 15
+        plain = _plain(s, form, scale)
+        if plain is None:
+            return None, faults
+        fits, text = plain
+        if not form.currency:
+            # Radix prefixes may be of letters alone; all else needs a digit. Letters but for an exponent's are in no numeral,
+            # nor is what stands between two digits here.
+            faults.append((tidy & ~s.rlike(r"[0-9]|\A&"), "malformed", "noDigits", None, None))
+            faults.append((tidy & s.rlike(r"\A[A-DF-Za-df-z][^()]*\z"), "malformed", "unexpectedCharacter", F.lit(0), F.lit(1)))
+            ahead = F.octet_length(F.regexp_extract(s, r"\A-?[0-9]+", 0))
+            faults.append((tidy & s.rlike(r"\A-?(?!0[xXbB])[0-9]+[-A-DF-Za-df-z:/_][^()]*[0-9A-Za-z]\z"), "malformed", "unexpectedCharacter", ahead, F.lit(1)))
+        if kind in INTEGERS:
+            if form.decimal == ".":
+                point = F.instr(s, ".") - 1
+                faults.append((s.rlike(rf"\A-?{form.whole()}\.[0-9]{{1,15}}\z"), "malformed", "fractionNotAllowed", point, F.octet_length(s) - point))
+            low, high = INTEGERS[kind]
+            value = text.try_cast("bigint")
+            return F.when(fits & (~s.startswith("-") if low == 0 else F.lit(True)), F.when(value.between(max(low, -(1 << 63)), min(high, (1 << 63) - 1)), value).try_cast(SPARK_TYPE[kind])), faults
+        if kind is Door.DECIMAL:
+            return F.when(fits, text.try_cast(f"decimal({how.get('precision', 38)},{scale})")), faults
+        value = text.try_cast("double") + F.lit(0.0)
+        return F.when(fits & (F.char_length(s) < 30), value.try_cast(SPARK_TYPE[kind])), faults
     if kind is Door.BOOL:
         low = F.lower(s)
         value = F.when(low.isin(*TRUE), True).when(low.isin(*FALSE), False)

@@ -54,6 +54,10 @@ class NumFormat:
             return rf"(?:[0-9]+|[1-9][0-9]?(?:{g}[0-9]{{2}})*{g}[0-9]{{3}})"
         return rf"(?:[0-9]+|[1-9][0-9]{{0,2}}(?:{g}[0-9]{{3}})+)"
 
+    def whole(self) -> str:
+        """A pattern of the whole part, with groups where they are allowed."""
+        return self._integer(self.group)
+
     def _signs(self) -> str:
         return rf"(?:{re.escape(self.plus)}|{re.escape(self.minus)})"
 
