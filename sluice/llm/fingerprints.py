@@ -4,16 +4,18 @@
 2**31 - 1 for two bases. Any span's hash comes from two of its entries; spans at different places are compared after
 multiplication by a power; the longest common extension of two places is found by binary search.
 
-A fingerprint has the text's number of code points, the whole text's hash, and the hashes of its prefixes and of its
-suffixes at the lengths of ``GRID`` (1, 2, 3 and so on, then in steps of an eighth). Its size grows with the logarithm
-of the text's length. Two fingerprints tell how much of both texts agrees when they are aligned at their starts or at
-their ends: between neighbouring grid lengths the spans' hashes, which are differences of the prefixes', are equal or
-not. ``likeness`` is the agreeing part of the longer text, and 1 exactly when lengths and whole hashes are equal.
-
-``near_edited`` is the likeness of two fingerprints. ``near_next`` has both texts at hand: where walking them side by
-side finds more, that counts. A walk follows the longest common extension; at an edit it goes on at an anchor (a span
-of ``ANCHOR`` code points, chosen by its hash, wherever it stands) that both texts have further on, of the next ``AHEAD``
-the one that skips least. What it finds is common to both texts in one order, so it is never too much.
+A fingerprint has the text's number of code points, the whole text's hash, and the 62-bit hashes (both bases) of its
+prefixes and of its suffixes at the lengths of ``GRID`` (1, 2, 3 and so on, then in steps of an eighth). Its size grows with
+the logarithm of the text's length. Two fingerprints tell how much of both texts agrees when they are aligned at their
+starts or at their ends: the longest grid lengths at which prefixes and suffixes agree are found by binary search, and
+between neighbouring grid lengths the spans' hashes, which are differences of the prefixes', are equal or not.
+``likeness`` is the agreeing part of the longer text, and 1 exactly when lengths and whole hashes are equal.
+
+``near_edited`` and ``near_next`` are the likeness of two fingerprints; where walking the two texts, which are at hand, side
+by side finds more, that counts. What starts and ends have in common is found by binary search over the prefix arrays.
+A walk follows the longest common extension in the same way; at an edit it goes on at an anchor (a span of ``ANCHOR`` code points, chosen by its hash, wherever it stands) that
+both texts have further on, of the next ``AHEAD`` the one that skips least. What it finds is common to both texts in one
+order, so it is never too much.
 
 Documents are dealt out by ranges of doc_id whose bounds are ids that occur; a range's last document needs the first
 one of the next range, so each bound's text is sent there a second time. Every text thus crosses one shuffle.
@@ -25,6 +27,7 @@ table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -38,6 +41,8 @@ from sluice.llm.common import GOLD, bounded_batches, documents, mix, partitions,
 P = np.uint64((1 << 31) - 1)
 #: Two bases under P.
 BASES = (1_103_515_245, 1_566_083_941)
+#: Bytes of text whose prefix arrays are held at once.
+SLICE = 4 << 20
 #: Code points of an anchor; one place of so many has one; those looked at for the way past an edit.
 ANCHOR, EVERY, AHEAD = 16, 4, 16
 
@@ -106,6 +111,15 @@ class PrefixHashes:
             low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
         return low
 
+    def tail(self, text_a, text_b) -> np.ndarray:
+        """How many code points agree up to the ends of two texts."""
+        low, high = np.zeros(len(text_a), np.int64), np.minimum(self.size[text_a], self.size[text_b])
+        while (low < high).any():
+            middle = (low + high + 1) // 2
+            same = self.equal(text_a, self.size[text_a] - middle, text_b, self.size[text_b] - middle, middle)
+            low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+        return low
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Texts, places and hashes of the spans of ANCHOR code points that their hashes choose, in order."""
         out = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64))]
@@ -121,11 +135,11 @@ class PrefixHashes:
             out.append((text[chosen], place[chosen], value[chosen]))
         return tuple(map(np.concatenate, zip(*out, strict=True)))
 
-    def walked(self) -> np.ndarray:
-        """For each text but the last, the code points it has in common, in one order, with the next one."""
+    def walked(self, every: int = 1) -> np.ndarray:
+        """For each text but the last, the code points it has in common, in one order, with the next one; for every second one with 2."""
         m = len(self.size) - 1
-        pair, agree = np.arange(m), np.zeros(m, np.int64)
-        i, j, following = np.zeros(m, np.int64), np.zeros(m, np.int64), np.zeros(m, np.int64)
+        pair, agree = np.arange(0, m, every), np.zeros(m, np.int64)
+        i, j, following = (np.zeros(len(pair), np.int64) for _ in range(3))
         text, place, value = self.anchors()
         key = text.astype(np.uint64) << np.uint64(32) | value
         # The next texts' anchors by pair and hash, then place; of a text's own, those that the next one has.
@@ -136,7 +150,7 @@ class PrefixHashes:
         has = own < len(known)
         has[has] = known[own[has]] == key[has]
         text, place, own = text[has], place[has], own[has].astype(np.int64)
-        order, stop = text << 40 | place, np.searchsorted(text, pair, side="right")
+        order, stop = text << 40 | place, np.searchsorted(text, np.arange(m), side="right")
         while len(pair):
             n = self.extension(pair, i, pair + 1, j)
             agree[pair] += n
@@ -159,62 +173,84 @@ class PrefixHashes:
             found = there.any(1)
             i, j = np.where(found, to_i[rows, best], i), np.where(found, to_j[rows, best], j)
             following = following + np.where(found, best + 1, AHEAD)
-        return agree
+        return agree[::every]
 
 
 class Fingerprints:
-    """Fingerprints of many texts as arrays: sizes, whole hashes, prefix and suffix hashes at the grid's lengths."""
+    """Fingerprints of many texts as arrays: sizes, whole hashes, and under each base the prefix and suffix hashes at the grid's lengths."""
 
     def __init__(self, size: np.ndarray, prefix_at, longest: int):
         """prefix_at(k, n): hashes of the prefixes of n code points; n has a row for every text."""
         self.grid, self.size = grid(longest), size
-        whole = [prefix_at(k, size[:, None])[:, 0] for k in range(2)]
-        self.whole = whole[0] << np.uint64(31) | whole[1]
+        whole = [prefix_at(k, size[:, None]) for k in range(2)]
+        self.whole = (whole[0] << np.uint64(31) | whole[1])[:, 0]
         self.there = self.grid[None, :] <= size[:, None]
         n = np.where(self.there, self.grid[None, :], 0)
-        self.prefix = np.where(self.there, prefix_at(0, n), 0)
         rest = size[:, None] - n
-        inverse = _INVERSE[0].upto(longest)
-        self.suffix = np.where(self.there, (whole[0][:, None] + P - prefix_at(0, rest)) % P * inverse[rest] % P, 0)
+        self.prefix, self.suffix = [], []
+        for k in range(2):
+            self.prefix.append(np.where(self.there, prefix_at(k, n), 0))
+            self.suffix.append(np.where(self.there, (whole[k] + P - prefix_at(k, rest)) % P * _INVERSE[k].upto(longest)[rest] % P, 0))
 
     def strings(self) -> list[str]:
-        counts = self.there.sum(1)
-        pre, suf = (x.astype(">u4").tobytes() for x in (self.prefix, self.suffix))
-        width = 4 * len(self.grid)
-        return [f"{n}.{w:016x}.{pre[i * width : i * width + 4 * c].hex()}.{suf[i * width : i * width + 4 * c].hex()}" for i, (n, w, c) in enumerate(zip(self.size.tolist(), self.whole.tolist(), counts.tolist(), strict=True))]
+        """Size, whole hash, and the hashes of prefixes and of suffixes, eight bytes each, in base 64."""
+        counts, width = self.there.sum(1).tolist(), 8 * len(self.grid)
+        both = [(x[0] << np.uint64(31) | x[1]).astype(">u8").tobytes() for x in (self.prefix, self.suffix)]
+        shown = lambda x, i, c: base64.b64encode(x[i * width : i * width + 8 * c]).decode()
+        return [f"{n}.{w:016x}.{shown(both[0], i, c)}.{shown(both[1], i, c)}" for i, (n, w, c) in enumerate(zip(self.size.tolist(), self.whole.tolist(), counts, strict=True))]
 
     def take(self, rows: np.ndarray) -> Fingerprints:
         out = object.__new__(Fingerprints)
-        out.grid, out.size, out.whole, out.there, out.prefix, out.suffix = self.grid, self.size[rows], self.whole[rows], self.there[rows], self.prefix[rows], self.suffix[rows]
+        out.grid, out.size, out.whole, out.there = self.grid, self.size[rows], self.whole[rows], self.there[rows]
+        out.prefix, out.suffix = ([x[rows] for x in y] for y in (self.prefix, self.suffix))
         return out
 
 
-def _agreeing(a: np.ndarray, b: np.ndarray, both: np.ndarray, lengths: np.ndarray, powers: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Code points in agreeing spans between grid lengths, and in the run of agreeing ones from the start."""
-    zero = np.zeros((len(a), 1), np.uint64)
+def _longest(a: list[np.ndarray], b: list[np.ndarray], both: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The longest grid length at which hashes agree, by binary search: a prefix of equal prefixes is equal."""
+    rows = np.arange(len(both))
+    low, high = np.zeros(len(both), np.int64), both.sum(1)
+    while (low < high).any():
+        middle = (low + high + 1) // 2
+        at = np.maximum(middle - 1, 0)
+        same = (a[0][rows, at] == b[0][rows, at]) & (a[1][rows, at] == b[1][rows, at]) | (middle == 0)
+        low, high = np.where(same, middle, low), np.where(same, high, middle - 1)
+    return np.concatenate([[0], lengths])[low]
+
+
+def _spans(a: list[np.ndarray], b: list[np.ndarray], both: np.ndarray, lengths: np.ndarray, at_end: bool) -> np.ndarray:
+    """Code points in agreeing spans between neighbouring grid lengths."""
+    zero = np.zeros((len(both), 1), np.uint64)
     steps = np.diff(np.concatenate([[0], lengths]))
-    if powers is None:  # spans between prefixes: differences stand at the same place in both
-        same = (a + P - np.concatenate([zero, a[:, :-1]], 1)) % P == (b + P - np.concatenate([zero, b[:, :-1]], 1)) % P
-    else:  # between suffixes: the longer is new code points, then the shorter one moved by their number
-        moved = lambda x: (x + P - np.concatenate([zero, x[:, :-1]], 1) * powers[steps] % P) % P
-        same = moved(a) == moved(b)
-    same &= both
-    first = np.logical_and.accumulate((a == b) & both, axis=1)
-    return same @ steps, first @ steps
+    same = both.copy()
+    for k in range(2):
+        # A longer suffix is new code points and then the shorter one, moved by their number.
+        power = _POWERS[k].upto(int(steps.max(initial=1)))[steps] if at_end else np.ones(len(steps), np.uint64)
+        span = lambda x: (x + P - np.concatenate([zero, x[:, :-1]], 1) * power % P) % P  # noqa: B023, E731
+        same &= span(a[k]) == span(b[k])
+    return same @ steps
 
 
 def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     """0 to 1 for the rows of both, whose grids are one."""
     both = a.there & b.there
     longer = np.maximum(a.size, b.size)
-    at_start, head = _agreeing(a.prefix, b.prefix, both, a.grid, None)
-    longest_step = int(np.diff(np.concatenate([[0], a.grid])).max(initial=1))
-    at_end, tail = _agreeing(a.suffix, b.suffix, both, a.grid, _POWERS[0].upto(longest_step))
-    agree = np.maximum(np.maximum(at_start, at_end), np.minimum(head + tail, np.minimum(a.size, b.size)))
+    head, tail = _longest(a.prefix, b.prefix, both, a.grid), _longest(a.suffix, b.suffix, both, a.grid)
+    spans = np.maximum(_spans(a.prefix, b.prefix, both, a.grid, False), _spans(a.suffix, b.suffix, both, a.grid, True))
+    agree = np.maximum(spans, np.minimum(head + tail, np.minimum(a.size, b.size)))
     same = (a.size == b.size) & (a.whole == b.whole)
     return np.where(same, 1.0, np.minimum(agree / np.maximum(longer, 1), 1 - 1 / (longer + 1.0)))
 
 
+def _side_by_side(hashes: PrefixHashes, every: int) -> np.ndarray:
+    """The part of the longer text that each (every second) text shares in one order with the one after it; less than 1."""
+    a = np.arange(0, len(hashes.size) - 1, every)
+    size, other = hashes.size[a], hashes.size[a + 1]
+    zero, longer = np.zeros(len(a), np.int64), np.maximum(size, other)
+    ends = np.minimum(hashes.extension(a, zero, a + 1, zero) + hashes.tail(a, a + 1), np.minimum(size, other))
+    return np.minimum(np.maximum(hashes.walked(every), ends) / np.maximum(longer, 1), 1 - 1 / (longer + 1.0))
+
+
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -238,16 +274,17 @@ def compare_with_next(ids: list, texts: list[str]) -> pa.RecordBatch:
     edited = Fingerprints(cut + taken, edited_prefix, longest)
     text = [t[:c] + u[:k] for t, u, c, k in zip(texts[:m], texts[1:], cut.tolist(), taken.tolist(), strict=True)]
     mine, after = own.take(every[:m]), own.take(every[1:])
-    longer = np.maximum(size, following)
-    walked = np.minimum(hashes.walked() / np.maximum(longer, 1), 1 - 1 / (longer + 1.0))
+    near_next = np.maximum(likeness(mine, after), _side_by_side(hashes, 1))
+    beside = PrefixHashes([t for pair in zip(texts[:m], text, strict=True) for t in pair])
+    near_edited = np.maximum(likeness(mine, edited), _side_by_side(beside, 2))
     columns = [
         pa.array(ids[:m], pa.int64()),
         pa.array(size),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in text]),
         pa.array(mine.strings()),
         pa.array(edited.strings()),
-        pa.array(likeness(mine, edited)),
-        pa.array(np.maximum(likeness(mine, after), walked)),
+        pa.array(near_edited),
+        pa.array(near_next),
     ]
     return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")])
 
@@ -257,7 +294,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ids: list = []
     texts: list[str] = []
     for batch in batches:
-        for part in text_slices(batch):
+        for part in text_slices(batch, most=SLICE):
             ids += part.column("doc_id").to_pylist()
             texts += part.column("text").to_pylist()
             if len(ids) > 1:

@@ -4,13 +4,15 @@ A key's score at a shard is ``-weight / ln(u)``, with u in (0, 1) from the MD5 o
 highest score gets the record. A shard's share follows its weight, a record's place depends on its key and the shards
 alone, and when a shard is added, only records that it wins move: a share of ``w_new / sum(w)``.
 
-``slot`` numbers a shard's records from 0 without gaps, by buckets of the key's hash: rows are numbered within
-(shard, bucket), and a table of at most shards x buckets counts gives each bucket's first slot, so no task sees a whole
-shard. Texts don't travel: their size and CRC are taken where they are read.
+``slot`` numbers a shard's records from 0 without gaps, by buckets of the hash of key, text and the partition that a row was
+read in: rows are numbered within (shard, bucket), and a table of at most shards x buckets counts gives each bucket's first
+slot, so no task sees a whole shard, nor all rows of a key or all equal rows. Rows are written to the shared folder with
+their buckets first, about 60 bytes each, so that numbers and counts are of the same rows. Texts don't travel: their size
+and CRC are taken where they are read.
 
 Defined cases: a null text has size 1 and the CRC of an empty text; null keys have one stable place of their own;
-repeated rows go to one shard, into slots of their own; an empty table gives no rows. Equal texts under different
-keys may go to different shards: this is the ``key`` law.
+repeated rows go to one shard, into slots of their own; of equal scores the lowest shard's counts; an empty table gives no
+rows; other columns aren't read. Equal texts under different keys may go to different shards: this is the ``key`` law.
 """
 
 from __future__ import annotations
@@ -21,8 +23,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.common import documents
+from sluice.llm.common import documents, materialise, partitions
 
+#: Buckets of a shard at least; with more partitions, as many as those.
 BUCKETS = 512
 _BITS = 48
 
@@ -41,11 +44,12 @@ def shard_of(key: Column, weights: Sequence[float]) -> Column:
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
 
 
-def rendezvous(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.0, key: str = "doc_id", text: str = "text", buckets: int = BUCKETS) -> DataFrame:
+def rendezvous(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.0, key: str = "doc_id", text: str = "text", buckets: int | None = None) -> DataFrame:
     """One row per row of docs: key, ``size``, ``text_crc32``, ``law``, ``shard``, ``slot``, ``grown_shard``.
 
     ``grown_shard`` is the shard after one more of ``new_weight`` has come; it is decided from the scores alone.
     """
+    buckets = buckets or max(BUCKETS, partitions(docs.sparkSession))
     own, k = F.coalesce(F.col(text), F.lit("")), F.coalesce(F.col(key).cast("string"), F.lit("null"))
     rows = docs.select(
         F.col(key).alias("_key"),
@@ -53,9 +57,10 @@ def rendezvous(docs: DataFrame, weights: Sequence[float], new_weight: float = 1.
         F.crc32(own.cast("binary")).alias("text_crc32"),
         shard_of(k, list(weights)).alias("shard"),
         shard_of(k, [*weights, new_weight]).alias("grown_shard"),
-        F.pmod(F.xxhash64(k, own), F.lit(buckets)).cast("int").alias("_bucket"),
+        F.pmod(F.xxhash64(k, own, F.spark_partition_id()), F.lit(buckets)).cast("int").alias("_bucket"),
     )
-    # Both branches read the same rows: the counts travel as one row per shard, bucket and task.
+    rows = materialise(rows, "dealt")
+    # The counts travel as one row per shard, bucket and task.
     counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     first = counts.select("shard", "_bucket", (F.sum("_n").over(Window.partitionBy("shard").orderBy("_bucket")) - F.col("_n")).alias("_first"))
     numbered = rows.withColumn("_k", F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_key", "text_crc32")))

@@ -1,6 +1,7 @@
 """Exact dedup, the Jaccard join, components and sharding against plain versions."""
 
 import hashlib
+import math
 import re
 import zlib
 
@@ -162,6 +163,22 @@ def test_components_of_long_chains(spark):
     assert got == parent
 
 
+def plain_shard(key, weights):
+    """The winner by the definition, in Python."""
+    scores = []
+    for i, w in enumerate(weights):
+        h = int(hashlib.md5(f"{'null' if key is None else key}:{i}".encode()).hexdigest()[:12], 16)
+        scores.append(-w / math.log((h + 0.5) / (1 << 48)))
+    return scores.index(max(scores))
+
+
+def test_equal_rows_are_numbered_in_many_buckets(spark):
+    docs = spark.createDataFrame([(None, "same")] * 3000, "doc_id long, text string").repartition(7)
+    got = sharding.rendezvous(docs, [1.0] * 8).collect()
+    assert {r["shard"] for r in got} == {plain_shard(None, [1.0] * 8)}
+    assert sorted(r["slot"] for r in got) == list(range(3000))
+
+
 def test_shards(spark):
     rows = [(k, "x" * (k % 9)) for k in range(3000)] + [(None, None), (5, "again"), (5, "again")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, shard int").repartition(5)
@@ -172,6 +189,8 @@ def test_shards(spark):
         assert sum(r["shard"] == s for r in got) == pytest.approx(len(rows) * (2 if s == 2 else 1) / 4, rel=0.15)
     assert all(r["grown_shard"] in (r["shard"], 3) for r in got)
     assert 0.15 < sum(r["grown_shard"] == 3 for r in got) / len(got) < 0.25
+    for r in got:
+        assert (r["shard"], r["grown_shard"]) == (plain_shard(r["doc_id"], [1, 1, 2]), plain_shard(r["doc_id"], [1, 1, 2, 1]))
     by_id = {}
     for r in got:
         by_id.setdefault(r["doc_id"], set()).add((r["shard"], r["grown_shard"]))

@@ -58,6 +58,64 @@ def test_likeness_follows_the_shared_part(spark):
         assert share - 0.13 <= r["near_next"] <= share + 1e-9
 
 
+def plain_likeness(a, b):
+    """The definition on the texts themselves."""
+    if a == b:
+        return 1.0
+    short, long = sorted((len(a), len(b)))
+    lengths = [0, *(x for x in fingerprints.grid(long).tolist() if x <= short)]
+    head = max(x for x in lengths if a[:x] == b[:x])
+    tail = max(x for x in lengths if a[len(a) - x :] == b[len(b) - x :])
+    starts = sum(y - x for x, y in zip(lengths, lengths[1:]) if a[x:y] == b[x:y])
+    ends = sum(y - x for x, y in zip(lengths, lengths[1:]) if a[len(a) - y : len(a) - x] == b[len(b) - y : len(b) - x])
+    return min(max(starts, ends, min(head + tail, short)) / max(long, 1), 1 - 1 / (long + 1))
+
+
+def common_in_order(a, b):
+    t = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            last, t[j + 1] = t[j + 1], last + 1 if x == y else max(t[j + 1], t[j])
+    return t[-1]
+
+
+def test_likeness_against_the_texts():
+    rng = np.random.default_rng(4)
+    texts = []
+    for _ in range(60):
+        base = "".join(rng.choice(list("abé🙂c"), rng.integers(0, 200)))
+        edits = list(base)
+        for _ in range(rng.integers(0, 5)):
+            k = rng.integers(0, len(edits) + 1)
+            edits[k : k + rng.integers(0, 10)] = list(rng.choice(list("abxyz"), rng.integers(0, 10)))
+        texts += [base, "".join(edits)]
+    hashes = fingerprints.PrefixHashes(texts)
+    every = np.arange(len(texts))
+    prints = fingerprints.Fingerprints(hashes.size, lambda k, n: hashes.prefix(k, every[:, None], n), int(hashes.size.max()))
+    a, b = rng.integers(0, len(texts), 400), rng.integers(0, len(texts), 400)
+    a[:120], b[:120] = every[:-1].tolist() + [0], every[1:].tolist() + [0]
+    got = fingerprints.likeness(prints.take(a), prints.take(b))
+    assert got.tolist() == pytest.approx([plain_likeness(texts[i], texts[j]) for i, j in zip(a, b, strict=True)])
+    assert len(set(zip(texts, prints.strings(), strict=True))) == len(set(texts)) == len(set(prints.strings()))
+
+    def ends(x, y):
+        n = min(len(x), len(y))
+        head = next((k for k in range(n) if x[k] != y[k]), n)
+        tail = next((k for k in range(n) if x[-1 - k] != y[-1 - k]), n)
+        return min(head + tail, n)
+
+    for r, x, y in zip(fingerprints.compare_with_next(every.tolist(), texts).to_pylist(), texts, texts[1:], strict=False):
+        edited = x[: len(x) - len(x) // 3] + y[: len(x) // 3]
+        for near, other in ((r["near_next"], y), (r["near_edited"], edited)):
+            longer = max(len(x), len(other))
+            if x == other:
+                assert near == 1
+            else:
+                low = max(plain_likeness(x, other), min(ends(x, other) / max(longer, 1), 1 - 1 / (longer + 1)))
+                assert low - 1e-9 <= near <= max(common_in_order(x, other) / max(longer, 1), plain_likeness(x, other)) + 1e-9
+
+
 def plain_rake(cells, targets, rounds):
     share = {c: m / sum(cells.values()) for c, m in cells.items()}
     for _ in range(rounds):
