@@ -16,6 +16,12 @@ nothing, they keep their own share of all mass and the mapping divides the rest
 given tables have none). Targets of absent values are spread over the others. Only the cells, a row per combination, are
 raked: up to ``WHOLE_CELLS`` of them in one partition, without a shuffle per step; more stay distributed.
 
+A document's topic is the value of a column that the caller names; without one (``documents`` has none) it is told from the
+text's form by ``topic_of``.
+
+Raking takes ``rounds`` rounds. ``_error`` tells how far the fitted shares still are from the targets: the largest difference
+over all values of all dimensions. It stays large where no fit exists, as when all cells of a wanted value have no mass.
+
 Defined cases: nulls are a value of their own in each dimension; empty or null texts have mass 0 and stay, their
 probability being their cell's (1 in a cell without mass); repeated rows of one id stay or go together; an empty table
 gives no rows; other columns aren't read.
@@ -94,19 +100,24 @@ def _targets(cells: DataFrame, dimension: str, target: Mapping[str, float] | flo
 
 
 def rake(cells: DataFrame, targets: Mapping[str, Mapping[str, float] | float], rounds: int = ROUNDS) -> DataFrame:
-    """cells (the dimensions and ``_mass``) with ``_share``, the fitted shares."""
+    """cells (the dimensions and ``_mass``) with ``_share``, the fitted shares, and ``_error``, how far their marginals are off."""
     every = Window.partitionBy(F.lit(1))
     cells = cells.withColumn("_mass", F.col("_mass").cast("double"))
     for dimension in DIMENSIONS:
         cells = _targets(cells, dimension, targets[dimension])
     total = F.sum("_mass").over(every)
     cells = cells.withColumn("_share", F.when(total > 0, F.col("_mass") / total).otherwise(0.0))
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done and done % ROUNDS == 0:  # a plan of more rounds would be too deep
+            cells = materialise(cells, "rounds")
         for dimension in DIMENSIONS:
             now = F.sum("_share").over(Window.partitionBy(dimension))
             cells = cells.withColumn("_share", F.when(now > 0, F.col("_share") * F.col(f"_t_{dimension}") / now).otherwise(0.0))
     total = F.sum("_share").over(every)
-    return cells.withColumn("_share", F.when(total > 0, F.col("_share") / total).otherwise(0.0)).select(*DIMENSIONS, "_mass", "_share")
+    cells = cells.withColumn("_share", F.when(total > 0, F.col("_share") / total).otherwise(0.0))
+    off = [F.abs(F.sum("_share").over(Window.partitionBy(d)) - F.col(f"_t_{d}")) for d in DIMENSIONS]
+    cells = cells.withColumn("_off", F.greatest(*off))
+    return cells.withColumn("_error", F.max("_off").over(every)).select(*DIMENSIONS, "_mass", "_share", "_error")
 
 
 def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
@@ -126,12 +137,12 @@ def calibrate(cells: DataFrame, fraction: float) -> DataFrame:
     return cells.withColumn("_p", p).drop("_r", "_l")
 
 
-def _mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS) -> DataFrame:
-    """Rows of docs as ``_row``, with ``_topic``, ``_n_words``, ``_weight``, ``_p``, ``_selected``."""
+def _mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] = TARGETS, fraction: float = FRACTION, seed: str = SEED, rounds: int = ROUNDS, topic: str | None = None) -> DataFrame:
+    """Rows of docs as ``_row``, with ``_topic``, ``_n_words``, ``_weight``, ``_p``, ``_selected``, ``_error``. topic: a column to take it from."""
     rows = docs.select(F.struct(*docs.columns).alias("_row"))
-    topic, n = topic_of(F.coalesce(F.col("_row.text"), F.lit(""))), n_words(F.col("_row.text"))
-    rows = rows.select("_row", F.col("_row.source").alias("source"), F.col("_row.lang").alias("lang"), topic.alias("topic"), n.alias("_n"))
-    masses = docs.select("source", "lang", topic_of(F.coalesce(F.col("text"), F.lit(""))).alias("topic"), n_words(F.col("text")).alias("_n")).groupBy(*DIMENSIONS).agg(F.sum("_n").alias("_mass"))
+    about = lambda of: F.col(f"{of}`{topic}`").cast("string") if topic else topic_of(F.coalesce(F.col(f"{of}text"), F.lit("")))
+    rows = rows.select("_row", F.col("_row.source").alias("source"), F.col("_row.lang").alias("lang"), about("_row.").alias("topic"), n_words(F.col("_row.text")).alias("_n"))
+    masses = docs.select("source", "lang", about("").alias("topic"), n_words(F.col("text")).alias("_n")).groupBy(*DIMENSIONS).agg(F.sum("_n").alias("_mass"))
     cells = materialise(masses, "cells")
     count = cells.count()
     if count <= WHOLE_CELLS:
@@ -139,12 +150,12 @@ def _mixed(docs: DataFrame, targets: Mapping[str, Mapping[str, float] | float] =
     fitted = materialise(calibrate(rake(cells, targets, rounds), fraction), "mixture")
     total = F.sum("_mass").over(Window.partitionBy(F.lit(1)))
     fitted = fitted.withColumn("_weight", F.when(F.col("_mass") > 0, F.col("_share") * total / F.col("_mass")).otherwise(1.0))
-    side = fitted.select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), "_weight", "_p")
+    side = fitted.select(*(F.col(d).alias(f"_c_{d}") for d in DIMENSIONS), "_weight", "_p", "_error")
     if count <= WHOLE_CELLS:
         side = F.broadcast(side)
     on = F.col("source").eqNullSafe(F.col("_c_source")) & F.col("lang").eqNullSafe(F.col("_c_lang")) & F.col("topic").eqNullSafe(F.col("_c_topic"))
     key = F.coalesce(F.col("_row.doc_id").cast("string"), F.lit("null"))
-    return rows.join(side, on).select("_row", F.col("topic").alias("_topic"), F.col("_n").alias("_n_words"), "_weight", "_p", (uniform(key, seed) < F.col("_p")).alias("_selected"))
+    return rows.join(side, on).select("_row", F.col("topic").alias("_topic"), F.col("_n").alias("_n_words"), "_weight", "_p", (uniform(key, seed) < F.col("_p")).alias("_selected"), "_error")
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
@@ -161,7 +172,7 @@ def sampled(docs: DataFrame, **how) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixed(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"))
-    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_n_words").alias("n_words"), F.round("_weight", 6).alias("weight"), F.round("_p", 6).alias("probability"), F.col("_selected").alias("selected"))
+    return out.select("doc_id", F.col("_topic").alias("topic"), F.col("_n_words").alias("n_words"), F.round("_weight", 6).alias("weight"), F.round("_p", 6).alias("probability"), F.col("_selected").alias("selected"), F.round("_error", 6).alias("marginal_error"))
 
 
 def oracle() -> str:
@@ -193,15 +204,17 @@ def oracle() -> str:
             steps.append(f"{name} AS (SELECT * REPLACE (CASE WHEN sum(share) OVER w > 0 THEN share * t_{dim} / sum(share) OVER w ELSE 0 END AS share) FROM {last} WINDOW w AS (PARTITION BY {dim}))")
             last = name
     steps += [
-        f"s AS (SELECT source, lang, topic, mass, share / sum(share) OVER () AS share FROM {last})",
+        f"s0 AS (SELECT source, lang, topic, mass, {', '.join(f't_{d}' for d in DIMENSIONS)}, share / sum(share) OVER () AS share FROM {last})",
+        f"s1 AS (SELECT source, lang, topic, mass, share, greatest({', '.join(f'abs(sum(share) OVER (PARTITION BY {d}) - t_{d})' for d in DIMENSIONS)}) AS off FROM s0)",
+        "s AS (SELECT * EXCLUDE (off), max(off) OVER () AS error FROM s1)",
         "q AS (SELECT *, CASE WHEN share > 0 THEN mass / share END AS r FROM s)",
         f"""l AS (SELECT *, CASE WHEN r IS NOT NULL THEN (sum(mass) OVER () * {FRACTION} - coalesce(sum(mass) OVER (ORDER BY r ASC NULLS LAST, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
   / sum(share) OVER (ORDER BY r ASC NULLS LAST, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END AS lv FROM q)""",
         "b AS (SELECT *, min(lv) FILTER (WHERE lv <= r AND r = rr) OVER () AS level FROM (SELECT *, min(r) FILTER (WHERE lv <= r) OVER () AS rr FROM l))",
-        "p AS (SELECT source, lang, topic, CASE WHEN mass > 0 THEN share * sum(mass) OVER () / mass ELSE 1 END AS weight, CASE WHEN mass <= 0 THEN 1 WHEN r IS NULL THEN 0 ELSE coalesce(least(1, level / r), 1) END AS p FROM b)",
+        "p AS (SELECT source, lang, topic, CASE WHEN mass > 0 THEN share * sum(mass) OVER () / mass ELSE 1 END AS weight, CASE WHEN mass <= 0 THEN 1 WHEN r IS NULL THEN 0 ELSE coalesce(least(1, level / r), 1) END AS p, error FROM b)",
     ]
     head = "WITH " + ",\n".join(steps)
     return head + rf"""
 SELECT doc_id, d.topic, n_words, round(weight, 6) AS weight, round(p, 6) AS probability,
-  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, {_BITS // 4}))::BIGINT::DOUBLE / {1 << _BITS} < p AS selected
+  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || ':{SEED}'), 1, {_BITS // 4}))::BIGINT::DOUBLE / {1 << _BITS} < p AS selected, round(error, 6) AS marginal_error
 FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source AND d.lang IS NOT DISTINCT FROM p.lang AND d.topic = p.topic"""

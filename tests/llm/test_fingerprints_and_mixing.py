@@ -136,12 +136,25 @@ def test_raking_and_calibration(spark):
     want = plain_rake(cells, [{s: r / sum(roots.values()) for s, r in roots.items()}, {"en": 0.5, "de": 0.5}, {"y": 0.3, "x": 0.7}], 30)
     got = {(r["source"], r["lang"], r["topic"]): r for r in mixing.calibrate(fitted, 0.5).collect()}
     assert {c: r["_share"] for c, r in got.items()} == pytest.approx(want)
+    off = max(abs(sum(s for c, s in want.items() if c[k] == v) - share) for k, target in enumerate([{s: r / sum(roots.values()) for s, r in roots.items()}, {"en": 0.5, "de": 0.5}, {"y": 0.3, "x": 0.7}]) for v, share in target.items())
+    assert {r["_error"] for r in got.values()} == {pytest.approx(off, abs=1e-12)}
+    few = mixing.rake(frame, targets, 1).first()["_error"]
+    assert few > got["a", "en", "x"]["_error"]
     assert sum(r["_p"] * r["_mass"] for r in got.values()) == pytest.approx(105.0)
     level = [r["_p"] * r["_mass"] / r["_share"] for r in got.values() if r["_p"] < 1]
     assert level == pytest.approx([level[0]] * len(level))
     assert all(r["_mass"] / r["_share"] <= level[0] + 1e-9 for r in got.values() if r["_p"] == 1)
 
 
+def test_topics_from_a_column(spark):
+    rows = [(k, "w " * 10, "en", "s", ["sport", "law", None][k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, `my topic` string")
+    got = mixing.mixed(docs, topic="my topic", fraction=0.5, targets={**mixing.TARGETS, "topic": {"sport": 0.5}}).collect()
+    assert {r["_topic"] for r in got} == {"sport", "law", None}
+    weight = {t: next(r["_weight"] for r in got if r["_topic"] == t) for t in ("sport", "law", None)}
+    assert weight == pytest.approx({"sport": 1.5, "law": 0.75, None: 0.75})
+
+
 def test_mixture_of_odd_rows(spark):
     rows = [(k, "w " * (k % 30), ["en", "de", None][k % 3], f"s{k % 4}") for k in range(600)] + [(700, None, None, None), (701, "", "en", "s1"), (5, "again", "en", "s0")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"topic": F.lit(1), "_p": F.lit("own"), "_row": F.lit(2)}).repartition(3)
