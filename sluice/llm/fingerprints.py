@@ -42,7 +42,7 @@ P = np.uint64((1 << 31) - 1)
 #: Two bases under P.
 BASES = (1_103_515_245, 1_566_083_941)
 #: Bytes of text whose prefix arrays are held at once.
-SLICE = 4 << 20
+SLICE = 2 << 20
 #: Code points of an anchor; one place of so many has one; those looked at for the way past an edit.
 ANCHOR, EVERY, AHEAD = 16, 4, 16
 
@@ -242,13 +242,18 @@ def likeness(a: Fingerprints, b: Fingerprints) -> np.ndarray:
     return np.where(same, 1.0, np.minimum(agree / np.maximum(longer, 1), 1 - 1 / (longer + 1.0)))
 
 
-def _side_by_side(hashes: PrefixHashes, every: int) -> np.ndarray:
-    """The part of the longer text that each (every second) text shares in one order with the one after it; less than 1."""
+def _in_common(hashes: PrefixHashes, every: int) -> np.ndarray:
+    """Code points that each (every second) text shares in one order with the one after it, by a walk or at both ends."""
     a = np.arange(0, len(hashes.size) - 1, every)
-    size, other = hashes.size[a], hashes.size[a + 1]
-    zero, longer = np.zeros(len(a), np.int64), np.maximum(size, other)
-    ends = np.minimum(hashes.extension(a, zero, a + 1, zero) + hashes.tail(a, a + 1), np.minimum(size, other))
-    return np.minimum(np.maximum(hashes.walked(every), ends) / np.maximum(longer, 1), 1 - 1 / (longer + 1.0))
+    zero = np.zeros(len(a), np.int64)
+    ends = hashes.extension(a, zero, a + 1, zero) + hashes.tail(a, a + 1)
+    return np.maximum(hashes.walked(every), np.minimum(ends, np.minimum(hashes.size[a], hashes.size[a + 1])))
+
+
+def _part(agree: np.ndarray, size: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Of the longer text; less than 1, which is for equal texts."""
+    longer = np.maximum(size, other)
+    return np.minimum(agree / np.maximum(longer, 1), 1 - 1 / (longer + 1.0))
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -274,9 +279,10 @@ def compare_with_next(ids: list, texts: list[str]) -> pa.RecordBatch:
     edited = Fingerprints(cut + taken, edited_prefix, longest)
     text = [t[:c] + u[:k] for t, u, c, k in zip(texts[:m], texts[1:], cut.tolist(), taken.tolist(), strict=True)]
     mine, after = own.take(every[:m]), own.take(every[1:])
-    near_next = np.maximum(likeness(mine, after), _side_by_side(hashes, 1))
-    beside = PrefixHashes([t for pair in zip(texts[:m], text, strict=True) for t in pair])
-    near_edited = np.maximum(likeness(mine, edited), _side_by_side(beside, 2))
+    near_next = np.maximum(likeness(mine, after), _part(_in_common(hashes, 1), size, following))
+    # Up to the cut a text and its edited one are the same.
+    tails = PrefixHashes([t for a, b, c, k in zip(texts[:m], texts[1:], cut.tolist(), taken.tolist(), strict=True) for t in (a[c:], b[:k])])
+    near_edited = np.maximum(likeness(mine, edited), _part(cut + _in_common(tails, 2), size, edited.size))
     columns = [
         pa.array(ids[:m], pa.int64()),
         pa.array(size),
