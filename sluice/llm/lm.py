@@ -20,6 +20,8 @@ one over the vocabulary and one unknown word. Contexts outside of training use `
 
 Scoring reads each text once; a worker maps the arrays and looks up the distinct keys of a slice of texts in order.
 
+Counts of bigrams have four bytes each, or eight in parts where one needs it; more than 2**32 distinct words raise.
+
 Defined cases: null texts are empty and have the end token alone; null ids count as the empty text in the split;
 repeated rows count as often as they occur; without any training row all scores come from the unknown word's
 probability 1; an empty table gives no rows.
@@ -181,9 +183,14 @@ class _Maps:
             own = self.part("grams", p, "<u8") if a < b else ()
             if len(own):
                 at = np.minimum(np.searchsorted(own, distinct[a:b]), len(own) - 1)
-                out[a:b] = np.where(own[at] == distinct[a:b], self.part("gram-counts", p, "<u4")[at], 0)
+                out[a:b] = np.where(own[at] == distinct[a:b], self.gram_counts(p)[at], 0)
         return out
 
+    def gram_counts(self, number: int) -> np.ndarray:
+        """A part's counts, in eight bytes each where four don't hold one of them."""
+        raw = self.part("gram-counts", number, "u1")
+        return raw.view("<u8" if len(raw) == 8 * len(self.part("grams", number, "<u8")) else "<u4")
+
 
 def _by_value(values: np.ndarray, look) -> np.ndarray:
     """look() over the ascending distinct values, dealt back to all values."""
@@ -202,24 +209,48 @@ def _word_part(folder: str):
             write_part(folder, f"hashes-{part}", hashes.astype("<u8"))
             write_part(folder, f"word-counts-{part}", counts.astype("<i8"))
             words_only = hashes != START
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(hashes)], "tokens": [int(counts[words_only].sum())], "types": [int(words_only.sum())]})
+            at, ahead, count = _marks(counts)
+            lists = {k: pa.array([v], pa.list_(pa.int64())) for k, v in (("at", at), ("ahead", ahead), ("count", count))}
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "n": [len(hashes)], "all": [int(counts.sum())], "tokens": [int(counts[words_only].sum())], "types": [int(words_only.sum())], **lists})
 
     return run
 
 
-def _gram_bounds(maps: _Maps, parts: int) -> np.ndarray:
-    """Keys that split all bigrams into parts of like mass, taking word and context as independent."""
-    counts = np.concatenate([maps.part("word-counts", p, "<i8") for p in range(maps.model.parts)])
-    if not len(counts):
-        return np.zeros(parts, np.uint64)
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in four bytes each, or in eight where one of them needs it."""
+    return counts.astype("<u8" if len(counts) and counts.max() >= 1 << 32 else "<u4")
+
+
+#: Places of a part's words that are known to the driver.
+MARKS = 64
+
+
+def _marks(counts: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Of a part's words by order, up to MARKS that cut its tokens evenly: places, tokens ahead, and counts."""
     ends = np.cumsum(counts)
+    at = np.unique(np.searchsorted(ends, np.arange(MARKS) * (int(ends[-1]) // MARKS), side="right"))
+    return at.tolist(), (ends[at] - counts[at]).tolist(), counts[at].tolist()
+
+
+def _gram_bounds(marks: list[tuple[int, int, int]], tokens: int, parts: int) -> np.ndarray:
+    """Keys that split all bigrams into parts of like mass, taking word and context as independent.
+
+    marks: ids, tokens ahead and counts of words, MARKS for each part of them. Bounds only deal the work out.
+    """
+    if not marks:
+        return np.zeros(parts, np.uint64)
+    ids, ahead, counts = (np.array(x, np.int64) for x in zip(*marks, strict=True))
+
+    def place(goal: float) -> tuple[int, float]:
+        """The word where so many tokens lie ahead, and how far into it."""
+        k = max(0, int(np.searchsorted(ahead, goal, side="right")) - 1)
+        within = (goal - int(ahead[k])) / max(1, int(counts[k]))
+        return (int(ids[k]), within) if within < 1 else (int(ids[k]) + 1, 0.0)
+
     out = [0]
     for i in range(1, parts):
-        goal = int(ends[-1]) * i // parts
-        context = int(np.searchsorted(ends, goal, side="right"))
-        share = (goal - (int(ends[context - 1]) if context else 0)) / max(1, int(counts[context]))
-        word = int(np.searchsorted(ends, share * int(ends[-1]), side="left"))
-        out.append(context << 32 | min(word, len(counts) - 1))
+        context, within = place(tokens * i / parts)
+        out.append(context << 32 | place(within * tokens)[0])
     return np.maximum.accumulate(np.array(out, np.uint64))
 
 
@@ -232,7 +263,7 @@ def _gram_part(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, (keys, counts) in _gather(batches).items():
             write_part(model.folder, f"grams-{part}", keys.astype("<u8"))
-            write_part(model.folder, f"gram-counts-{part}", np.minimum(counts, (1 << 32) - 1).astype("<u4"))
+            write_part(model.folder, f"gram-counts-{part}", narrow(counts))
             word, context = keys & np.uint64(0xFFFFFFFF), keys >> np.uint64(32)
             found: dict[str, tuple[np.ndarray, np.ndarray]] = {"before": counted(word.copy())}
             for name, which in (("n1", counts == 1), ("n2", counts == 2), ("n3", counts > 2)):
@@ -290,19 +321,23 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Mode
     model = Model(folder, n)
     rows = docs.select(F.col(text).alias("text"))
     by_hash = rows.mapInArrow(_tally(lambda column: _sequence(column)[0], lambda: _hash_bounds(n)), _PART)
-    found = {r["part"]: r for r in by_hash.repartitionById(n, F.col("part")).mapInArrow(_word_part(folder), "part int, n long, tokens long, types long").collect()}  # one row per part
+    found = {r["part"]: r for r in by_hash.repartitionById(n, F.col("part")).mapInArrow(_word_part(folder), "part int, n long, all long, tokens long, types long, at array<long>, ahead array<long>, count array<long>").collect()}  # one row of 3 x MARKS numbers per part
     for p in range(n):
         if p not in found:
             write_part(folder, f"hashes-{p}", np.empty(0, "<u8"))
             write_part(folder, f"word-counts-{p}", np.empty(0, "<i8"))
         model.first_id.append((model.first_id[-1] + (found[p - 1]["n"] if p - 1 in found else 0)) if p else 0)
     size = sum(r["n"] for r in found.values())
-    if size >= 1 << 32:
+    if size >= 1 << 32:  # ids have 32 bits in a bigram's key
         raise ValueError("more than 2**32 distinct words")
     model.tokens, model.types = (sum(r[k] for r in found.values()) for k in ("tokens", "types"))
     if not size:
         return model
-    model.gram_bounds = _gram_bounds(model.maps(), n)
+    marks, before = [], 0
+    for p in sorted(found):
+        marks += [(model.first_id[p] + i, before + a, c) for i, a, c in zip(found[p]["at"], found[p]["ahead"], found[p]["count"], strict=True)]
+        before += found[p]["all"]
+    model.gram_bounds = _gram_bounds(marks, before, n)
     maps_of = model.maps
 
     def grams(column: pa.Array) -> np.ndarray:

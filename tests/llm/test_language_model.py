@@ -111,6 +111,52 @@ def test_empty_and_untrained(spark):
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
 
 
+def test_counts_past_32_bits_are_kept(tmp_path):
+    assert lm.narrow(np.array([1, (1 << 32) - 1])).dtype == np.dtype("<u4")
+    big = np.array([3, (1 << 32) + 5, 1])
+    model = lm.Model(str(tmp_path), 1, [0], np.zeros(1, np.uint64))
+    for name, counts in (("a", np.array([7, 8, 9])), ("b", big)):
+        folder = str(tmp_path / name)
+        lm.write_part(folder, "grams-0", np.array([5, 6, 7], "<u8"))
+        lm.write_part(folder, "gram-counts-0", lm.narrow(counts))
+        own = lm._Maps(lm.Model(folder, 1, [0], np.zeros(1, np.uint64)))
+        assert own.counts(np.array([4, 5, 6, 7, 8], np.uint64)).tolist() == [0, *counts.tolist(), 0]
+    assert model.parts == 1
+
+
+def test_bounds_deal_bigrams_out_evenly():
+    """From few marks of each part, with one word that is a third of all."""
+    rng = np.random.default_rng(3)
+    parts, per = 8, 500
+    counts = rng.integers(1, 50, parts * per)
+    counts[1234] = counts.sum() // 2
+    marks, before = [], 0
+    for p in range(parts):
+        own = counts[p * per : (p + 1) * per]
+        marks += [(p * per + i, before + a, c) for i, a, c in zip(*lm._marks(own), strict=True)]
+        before += int(own.sum())
+    assert len(marks) <= parts * lm.MARKS
+    bounds = lm._gram_bounds(marks, before, parts)
+    share = counts / counts.sum()
+    context, word = rng.choice(len(counts), 200_000, p=share), rng.choice(len(counts), 200_000, p=share)
+    keys = context.astype(np.uint64) << np.uint64(32) | word.astype(np.uint64)
+    sizes = np.bincount(np.searchsorted(bounds, keys, side="right") - 1, minlength=parts)
+    # A pair that is itself a ninth of all stays in one part.
+    assert sizes.max() < 0.3 * len(keys)
+    assert lm._gram_bounds([], 0, 3).tolist() == [0, 0, 0]
+
+
+def test_very_long_null_and_repeated_texts(spark):
+    rows = [(1, "a b " * 200_000), (1, "a b " * 200_000), (2, None), (3, ""), (None, "a b"), (4, "x" * 300_000)]
+    got = lm.perplexity_scores(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, score int")).collect()
+    train = [t for i, t in rows if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
+    n, want = plain(train, [t for _, t in rows])
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    assert [(i, m) for i, m in sorted(((r["doc_id"], r["n_tokens"]) for r in got), key=key)] == sorted(((i, w[0]) for (i, _), w in zip(rows, want, strict=True)), key=key)
+    for (i, _), w in zip(rows, want, strict=True):
+        assert any(r["doc_id"] == i and r["train_tokens"] == n and r["score"] == pytest.approx(w[3], rel=1e-6) for r in got)
+
+
 def test_arrays():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))
