@@ -7,18 +7,22 @@ comes with what stands before and behind it. The forest sees
 
 * its length, and the shares of digits, capitals and hexadecimal digits,
 * its character transitions: changes between letters and digits, between small letters and capitals, repeated
-  characters, and distinct characters,
-* its dictionary coverage: the share of its characters in frequent words, whose list comes from all documents,
-* its path: whether the document's source looks like tests, examples or fixtures,
+  characters, distinct characters, and the share of marks,
+* its dictionary coverage: the share of its characters in frequent words of four to twelve letters. The list has the
+  ``DICTIONARY`` words that most sources have, then the most frequent ones, counted over all documents, so that no
+  source's words fill it by being many; every span of a candidate is looked up in it,
+* its path: whether the document's source, or a path in the text ahead of it, looks like tests, examples or fixtures,
 * its neighbouring words: an assignment, a quotation mark, a word for credentials, a word for hashes or identifiers, and a
   word for placeholders before it or in it.
 
 The forest is trained on labelled findings (``FINDINGS`` rows at most). There is no such table among the inputs, so
 ``labelled_findings`` makes one by rule: assigned keys and passwords in several alphabets and lengths as true ones; long
-words (in capitals too), card and telephone numbers, file paths, commit hashes, checksums, UUIDs and placeholders as false ones.
+words (in capitals and run together too), card and telephone numbers, file paths, commit hashes, checksums, UUIDs and placeholders as false ones.
 
 Defined cases: null and empty texts have no candidates; repeated rows have their findings each; null sources and ids are
-kept as they are; the length of a text and the number of its candidates are not bounded; an empty table gives no rows.
+kept as they are; the length of a text and the number of its candidates are not bounded; columns of docs that are called
+like one of the result are replaced; of words that are equally frequent the first by the alphabet is in the dictionary; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +32,6 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sluice.llm.common import documents
 
@@ -42,7 +45,8 @@ CANDIDATE = rf"{AHEAD}[^\s\"'`=:][^\s\"'`]{{{ASSIGNED_SHORTEST - 2},}}(?<![.,;:)
 #: Characters ahead of and behind a candidate that count as its neighbours.
 BEFORE, BEHIND = 40, 24
 FINDINGS = 6000
-DICTIONARY = 200
+DICTIONARY = 4000
+WORD = (4, 12)
 TREES, DEPTH, SEED = 40, 7, 7
 
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|credential|bearer|authorization)[^A-Za-z0-9]*$"
@@ -50,46 +54,63 @@ HASHED = r"(?i)(commit|sha-?\d*|md5|checksum|digest|hash|uuid|guid|etag|revision
 PLACEHOLDER = r"(?i)(example|dummy|sample|placeholder|changeme|your[_-]|xxxx|test|fake|0000)"
 FIXTURE = r"(?i)(^|[/_.-])(tests?|examples?|fixtures?|samples?|mocks?|docs?)([/_.-]|$)"
 
-FEATURES = ["f_length", "f_digits", "f_capitals", "f_hex", "f_class_changes", "f_case_changes", "f_repeats", "f_distinct", "f_covered", "f_fixture", "f_assigned", "f_quoted", "f_credential", "f_hashed", "f_placeholder", "f_slashes"]
+FIXTURE_PATH = r"(?i)[a-z0-9_.-]*/(?:[a-z0-9_.-]+/)*(tests?|examples?|fixtures?|samples?|mocks?)/[a-z0-9_./-]*[\s:]"
+
+FEATURES = ["f_length", "f_digits", "f_capitals", "f_hex", "f_class_changes", "f_case_changes", "f_repeats", "f_distinct", "f_covered", "f_fixture", "f_assigned", "f_quoted", "f_credential", "f_hashed", "f_placeholder", "f_slashes", "f_marks"]
+
+
+NEW = ("candidate", "before", "behind", "start")
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs without its text, with ``candidate``, ``before``, ``behind`` and ``start`` (code points) of each candidate."""
+    """docs without its text, with ``candidate``, ``before``, ``behind`` and ``start`` (code points) of each candidate, which replace docs' own."""
     own = F.coalesce(F.col(text), F.lit(""))
-    rest = [c for c in docs.columns if c != text]
-    rows = docs.where(own.rlike(CANDIDATE)).select(*rest, F.split(own, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(own, F.lit(CANDIDATE), F.lit(0)).alias("_found"))
-    cut = F.transform("_parts", lambda p: F.struct(F.char_length(p).alias("n"), F.substring(F.right(p, F.lit(BEFORE)), 1, BEFORE).alias("tail"), F.left(p, F.lit(BEHIND)).alias("head")))
-    rows = rows.select(*rest, "_found", cut.alias("_cut"))
-    # Each candidate with the part before it, the head of the part behind it, and the length of all before.
-    zipped = F.zip_with("_found", F.slice("_cut", 1, F.size("_found")), lambda c, p: F.struct(c.alias("candidate"), p["tail"].alias("before"), p["n"].alias("gap")))
-    zipped = F.zip_with(zipped, F.slice(F.transform("_cut", lambda p: p["head"]), 2, F.size("_found")), lambda z, h: F.struct(z["candidate"].alias("candidate"), z["before"].alias("before"), z["gap"].alias("gap"), h.alias("behind")))
-    rows = rows.select(*rest, F.monotonically_increasing_id().alias("_row"), zipped.alias("_z"))
-    rows = rows.select(*rest, "_row", F.posexplode("_z").alias("_k", "_z"))
-    length = F.char_length("_z.candidate")
-    until = Window.partitionBy("_row").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.sum(F.col("_z.gap") + length).over(until) - length
-    return rows.withColumn("start", start.cast("long")).select(*rest, "_z.candidate", "_z.before", "_z.behind", "start")
-
-
-def dictionary(docs: DataFrame, text: str = "text", most: int = DICTIONARY) -> list[str]:
-    """The most frequent words of four to eight small letters in all documents; ``most`` of them."""
-    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<![a-z])[a-z]{4,8}(?![a-z])"), F.lit(0)))
-    counts = docs.select(word.alias("w")).groupBy("w").count()
-    return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(most).collect()]
+    rest = [c for c in docs.columns if c != text and c not in NEW]
+    kept = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)
+    rows = docs.where(own.rlike(CANDIDATE)).select(kept.alias("_kept"), F.split(own, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(own, F.lit(CANDIDATE), F.lit(0)).alias("_found"))
+    # Each candidate with the part before it and the head of the part behind it; its start is the length of all before.
+    cut = F.transform("_parts", lambda p: F.struct(F.char_length(p).cast("long").alias("n"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(BEHIND)).alias("head")))
+    rows = rows.select("_kept", "_found", cut.alias("_cut"))
+    steps = F.zip_with("_found", F.slice("_cut", 1, F.size("_found")), lambda c, p: F.struct(p["n"].alias("gap"), F.char_length(c).cast("long").alias("n")))
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    starts = F.aggregate(steps, none, lambda a, x: F.struct((a["at"] + x["gap"] + x["n"]).alias("at"), F.concat(a["starts"], F.array(a["at"] + x["gap"])).alias("starts")), lambda a: a["starts"])
+    zipped = F.arrays_zip(F.col("_found").alias("candidate"), F.transform(F.slice("_cut", 1, F.size("_found")), lambda p: p["tail"]).alias("before"), F.transform(F.slice("_cut", 2, F.size("_found")), lambda p: p["head"]).alias("behind"), starts.alias("start"))
+    rows = rows.select("_kept", F.explode(zipped).alias("_z"))
+    return rows.select(*(F.col(f"_kept.`{c}`") for c in rest), *(F.col(f"_z.{n}") for n in NEW))
+
+
+def dictionary(docs: DataFrame, text: str = "text", source: str | None = "source", most: int = DICTIONARY) -> list[str]:
+    """``most`` words of four to twelve small letters: those of most sources first, then the most frequent in all documents."""
+    word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<!\p{L})\p{Ll}{4,12}(?!\p{L})"), F.lit(0)))
+    place = F.col(source).cast("string") if source else F.lit(None).cast("string")
+    counts = docs.select(word.alias("w"), place.alias("s")).groupBy("w", "s").count().groupBy("w").agg(F.count(F.lit(1)).alias("places"), F.sum("count").alias("n"))
+    return [r["w"] for r in counts.orderBy(F.desc("places"), F.desc("n"), "w").limit(most).collect()]  # ``most`` rows
 
 
 def _share(candidate: Column, pattern: str) -> Column:
     return F.regexp_count(candidate, F.lit(pattern)).cast("double") / F.char_length(candidate)
 
 
+def _covered(small: Column, words: list[str]) -> Column:
+    """The share of a candidate's characters that lie in a word of the list, every span being looked up."""
+    n = F.char_length(small)
+
+    def spans(k: int, of: list[str]) -> Column:
+        """The places that words of k characters take."""
+        at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
+        found = F.filter(at, lambda i: F.substring(small, i, F.lit(k)).isin(of))
+        return F.flatten(F.transform(found, lambda i: F.sequence(i, i + (k - 1))))
+
+    by_length = {k: [w for w in words if len(w) == k] for k in range(WORD[0], WORD[1] + 1)}
+    every = [spans(k, of) for k, of in by_length.items() if of]
+    return F.size(F.array_distinct(F.concat(*every))).cast("double") / n if every else F.lit(0.0)
+
+
 def featured(findings: DataFrame, words: list[str], path: str | None = "source") -> DataFrame:
     """findings (candidate, before, behind and the path's column) with FEATURES."""
     c = F.col("candidate")
     n = F.char_length(c).cast("double")
-    covered = F.lit(0.0)
-    if words:
-        known = "|".join(sorted(words, key=lambda w: (-len(w), w)))
-        covered = 1 - F.char_length(F.regexp_replace(F.lower(c), known, "")) / n
+    covered = _covered(F.lower(c), words) if words else F.lit(0.0)
     place = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("double")
     return findings.withColumns(
@@ -103,13 +124,14 @@ def featured(findings: DataFrame, words: list[str], path: str | None = "source")
             "f_repeats": _share(c, r"(.)(?=\1)"),
             "f_distinct": F.size(F.array_distinct(F.split(c, ""))).cast("double") / F.least(n, F.lit(40.0)),
             "f_covered": covered,
-            "f_fixture": flag(place.rlike(FIXTURE)),
+            "f_fixture": flag(place.rlike(FIXTURE) | F.col("before").rlike(FIXTURE_PATH)),
             "f_assigned": flag(F.col("before").rlike(r"[=:]\s*[\"'`]?$")),
             "f_quoted": flag(F.col("before").rlike(r"[\"'`]$") & F.col("behind").rlike(r"^[\"'`]")),
             "f_credential": flag(F.col("before").rlike(CREDENTIAL)),
             "f_hashed": flag(F.col("before").rlike(HASHED)),
             "f_placeholder": flag(c.rlike(PLACEHOLDER) | F.col("before").rlike(PLACEHOLDER)),
             "f_slashes": _share(c, "[/_-]"),
+            "f_marks": _share(c, r"[^\p{L}\p{N}/_.\-]"),
         }
     )
 
@@ -120,7 +142,10 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
     hexes, more = F.concat("h0", "h1"), F.concat("h1", "h2")
     pick = lambda k, n: (F.conv(F.substring("h2", k, 4), 16, 10).cast("int") % n)
     listed = F.array(*(F.lit(w) for w in (words or ["lorem", "ipsum", "dolor"])))
-    word = lambda k: F.element_at(listed, (pick(k, len(words or [0, 0, 0])) + 1).cast("int"))
+    # One word in four is of no dictionary: hexadecimal digits as letters, vowels among them.
+    strange = lambda k: F.translate(F.substring("h1", k, 6), "0123456789abcdef", "aeioutsnrldmcpvg")
+    known = lambda k: F.element_at(listed, (pick(k, len(words or [0, 0, 0])) + 1).cast("int"))
+    word = lambda k: F.when(pick(61, 4) == 0, strange(k)).otherwise(known(k))
     base64 = F.regexp_replace(F.base64(F.unhex(hexes)), "[+/=]", "Q")
     # True findings have a secret's name ahead of nine in ten; false ones have another word, or none.
     name = F.element_at(F.array(*map(F.lit, ["token", "password", "secret", "api_key", "apikey", "access_key", "Authorization: Bearer", "passwd"])), pick(1, 8) + 1)
@@ -134,8 +159,10 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
         F.concat(F.substring(word(3), 1, 7), F.substring(F.translate(hexes, "abcdef", "012345"), 1, 1)),
         F.concat(F.initcap(F.substring(base64, 1, 4)), F.lit("&"), F.substring(base64, 9, 5)),
         F.concat(F.substring(base64, 1, 7), F.lit("."), F.substring(base64, 9, 7), F.lit("@!")),
+        F.regexp_replace(F.concat(F.substring(base64, 1, 3), F.lit("#"), F.substring(base64, 5, 2), F.lit("%"), F.substring(base64, 9, 3)), "(?<=[A-Za-z])(?=[A-Za-z])", "."),
     ]
     true = F.element_at(F.array(F.substring(hexes, 1, 40), F.substring(hexes, 1, 18), F.substring(base64, 1, 40), F.concat(F.lit("AKIA"), F.upper(F.substring(base64, 5, 16))), F.concat(F.lit("ghp_"), F.substring(base64, 3, 36)), F.substring(hexes, 1, 32), F.substring(base64, 1, 24), F.upper(F.substring(hexes, 1, 40)), *short), pick(9, 8 + len(short)) + 1)
+    filler = F.element_at(F.array(*map(F.lit, ["example", "changeme", "placeholder", "your", "sample", "dummy"])), pick(21, 6) + 1)
     digits = F.regexp_replace(F.translate(hexes, "abcdef", "012345"), "[^0-9]", "")
     false = F.element_at(
         F.array(
@@ -156,15 +183,19 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
             F.concat(word(3), F.lit("."), word(7)),
             F.substring(digits, 1, 5),
             word(3),
+            F.concat(F.initcap(word(3)), F.initcap(word(7)), F.initcap(word(11)), F.initcap(word(15))),
+            F.concat(word(3), F.initcap(word(7)), F.initcap(word(11)), F.initcap(word(15))),
+            F.concat(filler, F.lit("-"), word(3), F.lit("-"), word(7)),
+            F.concat(word(3), F.lit("-"), word(7), F.lit("-"), filler),
         ),
-        pick(13, 17) + 1,
+        pick(13, 21) + 1,
     )
-    kind = pick(13, 17)
-    led = F.when(kind.isin(6, 7), F.element_at(F.array(*map(F.lit, ["commit ", "sha256: ", "checksum=", "md5 = "])), pick(17, 4) + 1)).when(kind == 5, "uuid: ").when(kind.isin(8, 9), F.concat(name, sign)).when(kind.isin(13, 14, 15), F.concat(word(17), sign)).when(kind == 16, F.concat(name, F.lit(" ")))
+    kind = pick(13, 21)
+    led = F.when(kind.isin(6, 7), F.element_at(F.array(*map(F.lit, ["commit ", "sha256: ", "checksum=", "md5 = "])), pick(17, 4) + 1)).when(kind == 5, "uuid: ").when(kind.isin(8, 9, 19, 20), F.concat(name, sign)).when(kind.isin(13, 14, 15), F.concat(word(17), sign)).when(kind == 16, F.concat(name, F.lit(" ")))
     is_true = pick(21, 2) == 1
     other = F.concat(word(23), F.lit(" "), word(27), F.lit(" "))
     before = F.when(is_true, F.concat(other, F.when(pick(25, 10) > 0, F.concat(name, sign)).otherwise(F.lit("")))).otherwise(F.concat(other, F.coalesce(led, F.lit(""))))
-    behind = F.concat(F.when(is_true, close).otherwise(F.lit(" ")), word(29))
+    behind = F.concat(F.when(is_true | kind.isin(8, 9, 13, 14, 15, 19, 20), close).otherwise(F.lit(" ")), word(29))
     source = F.when(~is_true & (pick(29, 6) == 0), "tests/fixtures/data").otherwise(F.concat(F.lit("src"), pick(33, 20)))
     return rows.select(F.when(is_true, true).otherwise(false).alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(behind, F.lit(BEHIND)).alias("behind"), source.alias("source"), is_true.cast("double").alias("label")).where(F.char_length("candidate") >= ASSIGNED_SHORTEST)
 
@@ -175,7 +206,7 @@ def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
-    """One row per candidate: doc_id, source, ``start``, ``length``, ``candidate_sha256``, ``before``, ``probability``, ``is_secret``."""
+    """One row per candidate: doc_id, source, ``start``, ``length``, ``candidate_sha256``, ``probability``, ``is_secret``."""
     words = dictionary(docs)
     model = train(labelled_findings(docs.sparkSession, words) if findings is None else findings, words)
     rows = featured(candidates(docs.select("doc_id", "source", "text")), words)

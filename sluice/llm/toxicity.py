@@ -4,23 +4,31 @@ The kernel of two strings sums, over all pairs of equal subsequences of ``ORDER`
 letters that both skip. Characters that aren't letters are no part of a unit, so ``i.d.i.o.t`` is ``idiot``; inserted, left
 out or changed letters thin subsequences out or cost some of them.
 
-*Units* are the words of a text in lower case; a sentence's runs of three and more single-letter words are one unit, and words of more
-than ``WINDOW`` characters give overlapping windows, so that texts are covered whole. *Landmarks* are strings of 4 to 12
-letters that training documents marked toxic have and others lack, chosen one after another by how many toxic documents
-each adds. A sentence's vector has the largest normalised kernel values of each landmark with spans of its units (from one
-letter less than the landmark to two more), at most 1, then turned by the inverse square root of the landmarks' kernel matrix. Pairs that lack over a quarter of a
-landmark's letters in order have a value of 0 without being computed.
-
-A linear machine is trained on sentences, by powers of these values: those of toxic documents that have a landmark or are
-nearest to one, and again those that the machine ranks first, with bent landmarks (a letter more or less), against those
-of clean documents. A document's margin is its largest
-sentence's; a logistic curve fitted on the training documents and the bent landmarks makes a score from 0 to 1.
-
-The fit takes at most ``LABELLED`` labelled documents, by the order of their ids' hashes; everything else covers all rows.
+*Units* are the words of a text in lower case; runs of three and more single-letter words (each with one mark behind it or
+none) are one unit and lie in one sentence, and words of more than ``WINDOW`` characters give overlapping windows, so that texts
+are covered whole. *Landmarks* are strings of 4 to 12 letters, or whole words of 3, that training documents marked toxic have
+and others lack, chosen one after another by how many toxic documents each adds; a string that the kernel finds like a
+chosen one isn't chosen beside it. A sentence's vector has the largest normalised kernel values of each landmark with spans
+of its units (from one letter less than the landmark to two more), at most 1. Pairs that lack over a quarter of a landmark's
+letters in order have a value of 0 without being computed (``in_order=0`` computes all).
+
+The machine's kernel is the sum of powers of the subsequence kernel (``POWERS``), each of which is a kernel too; its Nystroem
+map has, for each power, the powers of a vector turned by the inverse square root of the landmarks' kernel matrix to that
+power. The low power tolerates gaps and inserted letters, the high one tells a landmark from words that are near it.
+
+A linear machine is trained on sentences: those of toxic documents that have a landmark or are nearest to one, and again
+those that the machine ranks first, with bent landmarks (a letter more or less), against those of clean documents. A
+document's margin is its largest sentence's; a logistic curve fitted on the training documents and the bent landmarks makes
+a score from 0 to 1.
+
+The fit takes at most ``LABELLED`` labelled documents and ``FIT_BYTES`` bytes of their texts, by the order of their ids'
+hashes, and ``CANDIDATES`` candidates for landmarks, by the number of toxic documents that have them, then by the alphabet;
+everything else covers all rows.
 
 Defined cases: null, empty and blank texts have the score of a sentence without any landmark; repeated rows are scored
-each; a table of labels without a toxic or without a clean document gives every text the share of toxic labels
-(0 without labels); an empty table gives no rows.
+each; of labelled rows that share an id the greatest text counts, and it is toxic if one of its labels says so; a table of
+labels without a toxic or without a clean document gives every text the share of toxic labels (0 without labels); of equal
+candidates the first by the alphabet is chosen; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,13 +42,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sluice.llm.common import bounded_batches, documents, give_back, text_slices, words
 
 ORDER, DECAY = 3, 0.85
-LABELLED = 4000
+POWERS = (2, 12)
+LABELLED, FIT_BYTES, CANDIDATES = 4000, 128 << 20, 5000
 LANDMARKS = 64
-SHORTEST, LONGEST = 4, 12
+#: Letters of a string within a word, and of a whole word, that can be a landmark; and the likeness that rules out another one.
+SHORTEST, WHOLE, LONGEST, ALIKE = 4, 3, 12, 0.6
 WINDOW = 32
 #: Share of a landmark's letters that a unit must have in order.
 IN_ORDER = 0.75
@@ -54,35 +65,38 @@ def units_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     index = coded.indices.to_numpy().astype(np.int64)
     doc = np.repeat(np.arange(n), np.diff(offsets))
     ends = pc.match_substring_regex(distinct, r"[.!?]$").to_numpy(zero_copy_only=False).astype(bool)
-    # A sentence ends after its mark and with its text.
+    strings = distinct.to_pylist()
+    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+    # Runs of single letters, which end with their text; within one a mark ends no sentence.
+    single = np.fromiter((s.isalpha() if len(s) == 1 else len(s) == 2 and s[0].isalpha() and not s[1].isalpha() for s in strings), bool, len(strings))[index]
     last = ends[index]
+    runs: list[tuple[int, int]] = []
+    if single.any():
+        edge = np.flatnonzero(np.diff(np.concatenate([[-1], np.where(single, doc, -1), [-1]])))
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            if single[a] and b - a >= 3:
+                runs.append((a, b))
+                last[a : b - 1] = False
+    # A sentence ends after its mark and with its text.
     first = offsets[:-1][np.diff(offsets) > 0]
     start = np.zeros(len(index), bool)
     start[1:] = last[:-1]
     start[first] = True
     sentence = np.cumsum(start) - 1
     text_of = doc[start]
-    strings = distinct.to_pylist()
-    lengths = np.fromiter(map(len, strings), np.int64, len(strings))
     more_index, more_sentence = [], []
     number: dict[str, int] = {}
     own = lambda s: number.setdefault(s, len(strings) + len(number))
-    for u in np.flatnonzero(lengths > WINDOW).tolist():
-        at = np.flatnonzero(index == u)
-        for a in range(0, int(lengths[u]), WINDOW // 2):
-            piece = strings[u][a : a + WINDOW]
-            more_index.append(np.full(len(at), own(piece)))
-            more_sentence.append(sentence[at])
-    single = np.fromiter((s.isalpha() if len(s) == 1 else len(s) == 2 and s[0].isalpha() and not s[1].isalpha() for s in strings), bool, len(strings))[index]
-    if single.any():
-        edge = np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))
-        for a, b in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
-            for c, d in _within(sentence, a, b):
-                if d - c >= 3:
-                    joined = "".join(strings[k][0] for k in index[c:d].tolist())
-                    for e in range(0, len(joined), WINDOW // 2):
-                        more_index.append(np.array([own(joined[e : e + WINDOW])]))
-                        more_sentence.append(sentence[c : c + 1])
+    for k in np.flatnonzero(lengths[index] > WINDOW).tolist():
+        word = strings[index[k]]
+        pieces = [own(word[a : a + WINDOW]) for a in range(0, len(word), WINDOW // 2)]
+        more_index.append(np.array(pieces))
+        more_sentence.append(np.full(len(pieces), sentence[k]))
+    for a, b in runs:
+        joined = "".join(strings[k][0] for k in index[a:b].tolist())
+        pieces = [own(joined[e : e + WINDOW]) for e in range(0, len(joined), WINDOW // 2)]
+        more_index.append(np.array(pieces))
+        more_sentence.append(np.full(len(pieces), sentence[a]))
     if more_index:
         index, sentence = np.concatenate([index, *more_index]), np.concatenate([sentence, *more_sentence])
     strings = [s if k <= WINDOW else "" for s, k in zip(strings, lengths.tolist(), strict=True)] + list(number)
@@ -90,12 +104,6 @@ def units_of(column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     return strings, index, sentence, text_of
 
 
-def _within(sentence: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
-    """Parts of a run that lie in one sentence each."""
-    cuts = [a, *(a + 1 + np.flatnonzero(np.diff(sentence[a:b]))).tolist(), b]
-    yield from zip(cuts[:-1], cuts[1:], strict=True)
-
-
 #: Codes of no letter, and of all letters that no landmark has.
 NONE, OTHER = 0, 254
 
@@ -105,6 +113,7 @@ class Landmarks:
     """Landmarks in codes from 1 up for the letters that occur in one of them."""
 
     strings: list[str]
+    in_order_share: float = IN_ORDER
 
     def __post_init__(self):
         letters = sorted(set("".join(self.strings)))[: OTHER - 1]
@@ -113,9 +122,9 @@ class Landmarks:
         self.width = max(map(len, self.strings))
         self.codes = self.encode(self.strings)
         self.sizes = np.array([len(s) for s in self.strings])
-        self.least = np.ceil(IN_ORDER * self.sizes).astype(int)
+        self.least = np.ceil(self.in_order_share * self.sizes).astype(int)
         self.masks = self._masks(self.codes)
-        self.need = np.ceil(IN_ORDER * np.array([len(set(s)) for s in self.strings])).astype(int)
+        self.need = np.ceil(self.in_order_share * np.array([len(set(s)) for s in self.strings])).astype(int)
         self.places = np.zeros((len(self.strings), 256), np.uint32)
         for k in range(self.width):
             at = np.flatnonzero(self.sizes > k)
@@ -124,8 +133,10 @@ class Landmarks:
         self.own = self.kernel(self.codes, self.codes)
         n = len(self.strings)
         gram = self.kernel(np.repeat(self.codes, n, 0), np.tile(self.codes, (n, 1))).reshape(n, n) / np.sqrt(np.outer(self.own, self.own))
-        value, vector = np.linalg.eigh(gram)
-        self.turn = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T
+        self.turns = []
+        for power in POWERS:
+            value, vector = np.linalg.eigh(gram**power)
+            self.turns.append(vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-2))) @ vector.T)
 
     @staticmethod
     def _masks(codes: np.ndarray) -> np.ndarray:
@@ -140,7 +151,8 @@ class Landmarks:
         wide = np.array(strings, f"<U{n}").view("<u4").reshape(len(strings), n)
         return self.code[np.minimum(wide, 0x10FFFF)]
 
-    def kernel(self, units: np.ndarray, target: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def kernel(units: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The subsequence kernel of rows of codes, pair by pair."""
         m = target.shape[1]
         later = np.triu(DECAY ** np.maximum(np.arange(m)[None, :] - np.arange(m)[:, None], 0).astype(np.float64))
@@ -226,8 +238,8 @@ class Landmarks:
         return np.minimum(out, 1.0)
 
     def features(self, vectors: np.ndarray) -> np.ndarray:
-        """Squared values, turned, and their twelfth powers, which little but a landmark itself keeps."""
-        return np.hstack([vectors**2 @ self.turn, vectors**12])
+        """The Nystroem map: powers of the values, each turned by the root of the landmarks' matrix to that power."""
+        return np.hstack([vectors**power @ turn for power, turn in zip(POWERS, self.turns, strict=True)])
 
     def sentences(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Vectors of the sentences with a value, and the text of each."""
@@ -255,6 +267,15 @@ class Landmarks:
         return out, text_of[found]
 
 
+def _codes(strings: list[str]) -> np.ndarray:
+    """Strings in rows of codes of their letters, 0 behind them."""
+    letters = {c: k for k, c in enumerate(sorted(set("".join(strings))), 1)}
+    out = np.zeros((len(strings), max(map(len, strings))), np.int64)
+    for row, s in zip(out, strings, strict=True):
+        row[: len(s)] = [letters[c] for c in s]
+    return out
+
+
 def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
     """Strings that toxic texts have and others lack, each chosen for the toxic texts that it adds."""
     strings, index, sentence, text_of = units_of(pa.array(texts, pa.large_string()))
@@ -263,14 +284,14 @@ def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[s
     word, doc = pairs // len(texts), pairs % len(texts)
     by_word = np.split(doc, np.searchsorted(word, np.arange(1, len(strings))))
     total = np.array([(~toxic).sum(), toxic.sum()])
-    parts = lambda s: {s[a:b] for a in range(len(s) - SHORTEST + 1) for b in range(a + SHORTEST, min(len(s), a + 8) + 1)} | ({s} if SHORTEST <= len(s) <= LONGEST else set())
+    parts = lambda s: {s[a:b] for a in range(len(s) - SHORTEST + 1) for b in range(a + SHORTEST, min(len(s), a + 8) + 1)} | ({s} if WHOLE <= len(s) <= LONGEST else set())
     candidates: Counter[str] = Counter()
     for s, own in zip(strings, by_word, strict=True):
         bad = int(toxic[own].sum())
         if bad and bad / total[1] > 4 * (len(own) - bad) / total[0]:
             for part in parts(s):
                 candidates[part] += bad
-    candidates = Counter(dict(candidates.most_common(5_000)))
+    candidates = Counter(dict(sorted(candidates.items(), key=lambda x: (-x[1], x[0]))[:CANDIDATES]))
     docs_of: dict[str, list[np.ndarray]] = defaultdict(list)
     for s, own in zip(strings, by_word, strict=True):
         for part in parts(s):
@@ -278,7 +299,7 @@ def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[s
                 docs_of[part].append(own)
     column_of = np.cumsum(toxic) - 1
     names, rows, costs = [], [], []
-    for part, lists in docs_of.items():
+    for part, lists in sorted(docs_of.items()):
         own = np.unique(np.concatenate(lists))
         bad, good = own[toxic[own]], len(own) - int(toxic[own].sum())
         if len(bad) >= 3 and len(bad) / total[1] > 20 * good / total[0]:
@@ -292,6 +313,8 @@ def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[s
         return chosen
     has, cost = np.array(rows, np.float32), np.array(costs)
     longer = 1 + 0.03 * np.array([len(x) for x in names])
+    codes = _codes(names)
+    self_value = np.sqrt(Landmarks.kernel(codes, codes))
     left, open_ = np.ones(int(total[1]), np.float32), np.ones(len(names), bool)
     while open_.any() and len(chosen) < most:
         # A toxic text counts less for each landmark that it has already.
@@ -304,6 +327,9 @@ def choose(texts: list[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[s
         # Of strings that hold one another, another one goes on only where it is cleaner.
         related = np.array([x in names[best] or names[best] in x for x in names])
         open_ &= ~related | (cost < cost[best])
+        # The kernel tolerates what is like it.
+        alike = Landmarks.kernel(codes, np.repeat(codes[best : best + 1], len(codes), 0)) / (self_value * self_value[best])
+        open_ &= alike < ALIKE
         open_[best] = False
     return chosen
 
@@ -398,7 +424,7 @@ def fit(texts: list[str], labels: list[int]) -> Model:
     marks = _known(tuple(chosen))
     column = pa.array(texts, pa.large_string())
     vectors, text = marks.sentences(column)
-    turned = np.vstack([marks.features(vectors), np.zeros((1, 2 * len(chosen)))])
+    turned = np.vstack([marks.features(vectors), np.zeros((1, len(POWERS) * len(chosen)))])
     text = np.append(text, -1)  # the sentence without any landmark is clean
     bad = np.flatnonzero(np.isin(text, np.flatnonzero(toxic)))
     good = np.flatnonzero(~np.isin(text, np.flatnonzero(toxic)))
@@ -431,12 +457,15 @@ def _fold(folds: int) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = LABELLED) -> Model:
-    """A model from at most ``most`` labelled rows outside of the held-out fold."""
+    """A model from at most ``most`` labelled rows, and FIT_BYTES of them, outside of the held-out fold."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     known = known.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~_fold(folds)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = own.join(F.broadcast(known), "doc_id").select("doc_id", "toxic", "text").limit(2 * most)
+    rows = own.join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
+    # At most ``most`` rows from here on.
+    ahead = F.sum(F.octet_length("text").cast("long")).over(Window.partitionBy(F.lit(1)).orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = rows.withColumn("_bytes", ahead).where(F.col("_bytes") <= FIT_BYTES).select("doc_id", "toxic", "text")
     found = rows.repartition(1).mapInArrow(_fit, "landmarks array<string>, weights array<double>, slope double, shift double, flat double").first()
     if found is None:  # no row, so no task
         return Model([])
