@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from sluice.functions.constraints import checked
@@ -67,6 +67,14 @@ class Typed:
         ok = lambda c: F.when(F.col(f"`{c.name}`.reason").isNull(), F.col(f"`{c.name}`.value")).alias(c.name)
         return self.frame.select(*keep, *map(ok, self.plan))
 
+    def rows(self) -> Iterator[Row]:
+        """The rows one by one on the driver, a partition at a time, each with its columns' verdicts."""
+        return self.frame.toLocalIterator(prefetchPartitions=True)
+
+    def for_each_row(self, use: Callable[[Row], None]) -> None:
+        """Calls use with every row, in the tasks."""
+        self.frame.foreach(use)
+
     def fault_counts(self) -> DataFrame:
         """One row: for each column, how many cells have a problem."""
         bad = lambda c: F.count_if(F.col(f"`{c.name}`.reason").isNotNull() & (F.col(f"`{c.name}`.reason") != "empty")).alias(c.name)

@@ -6,7 +6,6 @@ SQL computes the same from the columns themselves.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column as SparkColumn
@@ -20,9 +19,10 @@ from sluice.operators.suggest import suggest
 from sluice.plans.columns import Column
 from sluice.plans.dialect import Dialect
 from sluice.sources.delimited import Delimited
-from sluice.sources.write_workbook import ods_bytes, xlsx_bytes
+from sluice.plans.sample_packages import ods_bytes, xlsx_bytes
 from sluice.sources.workbook import Workbook, cell, typed_door
 from sluice.types import Door
+from sluice.working import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -233,13 +233,13 @@ def problems_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.problems().join(ids, ["_source", "_record"]).select("key", "plan_column", "reason", "detail")
 
 
-@query("SELECT doc_id, md5(text) AS same, strlen(text)::BIGINT AS bytes FROM documents WHERE text <> ''")
+@query("""SELECT doc_id, CASE WHEN text <> '' THEN md5(text) END AS same, CASE WHEN text <> '' THEN strlen(text) END::BIGINT AS bytes, CASE WHEN coalesce(text, '') = '' THEN 'empty' END AS reason FROM documents""")
 def frame_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole texts with their line ends and quotes as quoted cells, and back."""
-    rows = table(spark, sf_dir, "documents")
+    """Whole texts with their line ends and quotes as quoted cells, and back; null and empty ones are empty cells."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     typed = Delimited(rendered(rows, F.col("doc_id"), F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted(F.col("text"))), "id,text\n", "\r\n")).bind([Column("id", Door.I64), Column("text", Door.TEXT)]).read()
     v = F.col("text.value")
-    return typed.frame.where(v.isNotNull()).select(F.col("id.value").alias("doc_id"), F.md5(v.cast("binary")).alias("same"), F.octet_length(v).cast("bigint").alias("bytes"))
+    return typed.frame.select(F.col("id.value").alias("doc_id"), F.md5(v.cast("binary")).alias("same"), F.octet_length(v).cast("bigint").alias("bytes"), F.col("text.reason").alias("reason"))
 
 
 @query("SELECT s_suppkey, s_name FROM supplier")
@@ -262,13 +262,14 @@ def frame_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.substring_index("_source", "-", -1).cast("bigint").alias("part"), F.coalesce("intact", F.lit(0)).cast("bigint").alias("intact"), "kind")
 
 
-@query("SELECT doc_id, md5(text) AS latin, md5(text) AS wide FROM documents WHERE regexp_full_match(text, '[\\x00-\\xFF]*', 's') AND text <> ''")
+@query("""SELECT doc_id, CASE WHEN text <> '' THEN md5(regexp_replace(text, '[^\\x00-\\xFF]', '?', 'g')) END AS latin, CASE WHEN text <> '' THEN md5(text) END AS wide FROM documents""")
 def frame_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts in Latin-1, which Windows-1252 shares for all but the controls, and in UTF-16."""
-    rows = table(spark, sf_dir, "documents").where((F.col("text") != "") & F.col("text").rlike(r"(?s)^[\x00-\xFF]*$")).select("doc_id", "text")
-    line = F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted(F.col("text")))
+    """Whole texts in Latin-1 (what it lacks as question marks) and in UTF-16."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for name, encoding, charset in (("latin", "latin-1", "ISO-8859-1"), ("wide", "utf-16le", "UTF-16LE")):
+        text = F.regexp_replace("text", r"[^\x00-\xFF]", "?") if name == "latin" else F.col("text")
+        line = F.concat(F.col("doc_id").cast("string"), F.lit(","), quoted(text))
         sources = rendered(rows, F.col("doc_id"), line).select("_source", F.encode(F.col("_bytes").cast("string"), charset).alias("_bytes"))
         typed = Delimited(sources, Dialect(has_header=False, encoding=encoding)).bind([Column(0, Door.I64, "doc_id"), Column(1, Door.TEXT, "text")]).read()
         mine = typed.values().select("doc_id", F.md5(F.col("text").cast("binary")).alias(name))
@@ -360,8 +361,7 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rendered events as files of a folder, read as a stream that ends when all files are read."""
     from sluice.streaming.delimited import stream_delimited, write_stream
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="sluice-stream-")
-    base = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(spark))))}"
+    base = work_path(spark, "stream")
     k = F.col("event_id")
     line = F.concat_ws(",", k.cast("string"), F.col("user_id").cast("string"), F.when(k % 11 == 0, "?").otherwise(F.col("value").cast("decimal(12,4)").cast("string")))
     sources = rendered(table(spark, sf_dir, "events"), k, line)
@@ -369,5 +369,8 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources.select(F.regexp_replace(F.col("_bytes").cast("string"), "\n$", "").alias("value")).write.mode("overwrite").text(f"{base}/in")
     plan = [Column(0, Door.I64, "event_id"), Column(1, Door.I64, "user_id"), Column(2, Door.F64, "value")]
     typed = stream_delimited(spark, f"{base}/in", plan, Dialect(has_header=False))
-    write_stream(typed, f"{base}/values", f"{base}/problems", f"{base}/checkpoint-{tempfile.mkdtemp()[-8:]}").awaitTermination()
+    write_stream(typed, f"{base}/values", f"{base}/problems", f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/values").select("event_id", "user_id", "value")
+
+
+from sluice.plans import edge_queries  # noqa: E402, F401  registers its queries

@@ -207,13 +207,15 @@ class Book:
             raise NoSheet(f"no sheet {which}")
         return which
 
-    def rows(self, which: int | str) -> Iterator[tuple[int, int, dict[int, dict]]]:
-        """Row number from 1, how often it repeats, and its cells by column from 1."""
-        return {"xlsx": self._xlsx, "ods": self._ods, "numbers": self._numbers}[self.format](self.sheet(which))
+    def rows(self, which: int | str, first: int = 0) -> Iterator[tuple[int, int, dict[int, dict]]]:
+        """Row number from 1, how often it repeats, and its cells by column from 1; cells of rows ahead of the first aren't made."""
+        return {"xlsx": self._xlsx, "ods": self._ods, "numbers": self._numbers}[self.format](self.sheet(which), first)
 
-    def _numbers(self, which: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
+    def _numbers(self, which: int, first: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
         try:
             for row, cells in self.numbers.rows(which):
+                if row < first:
+                    continue
                 yield row, 1, {c: cell(*v) for c, v in cells.items()}
         except Damaged as e:
             raise Package(e.kind) from None
@@ -232,13 +234,16 @@ class Book:
                 return cell("wall", serials.wall_text(*wall), x, wall[0], wall[1])
         return cell("number", serials.number_text(x), x)
 
-    def _xlsx(self, which: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
+    def _xlsx(self, which: int, first: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
         at = 0
         with self.open(self.parts[which]) as f:
             for _, e in ET.iterparse(f, ("end",)):
                 if _local(e.tag) != "row":
                     continue
                 at = int(e.get("r") or at + 1)
+                if at < first:
+                    e.clear()
+                    continue
                 cells, column = {}, 0
                 for c in e:
                     if _local(c.tag) == "c":
@@ -281,7 +286,7 @@ class Book:
         except ValueError:
             return cell("text", text)
 
-    def _ods(self, which: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
+    def _ods(self, which: int, first: int) -> Iterator[tuple[int, int, dict[int, dict]]]:
         table, at, depth = -1, 0, 0
         with self.open("content.xml") as f:
             for event, e in ET.iterparse(f, ("start", "end")):
@@ -299,7 +304,7 @@ class Book:
                     if table == which:
                         times = int(_attribute(e, "number-rows-repeated") or 1)
                         cells, column = {}, 0
-                        for c in e:
+                        for c in e if at + times >= first else ():
                             if _local(c.tag) in ("table-cell", "covered-table-cell"):
                                 wide = int(_attribute(c, "number-columns-repeated") or 1)
                                 value = _ods_cell(c)
@@ -380,7 +385,7 @@ def _reading(data: bytes | None, which: int | str, options: SheetOptions) -> Ite
     try:
         book = Book(data)
         yield book.epoch
-        for row, times, cells in book.rows(which):
+        for row, times, cells in book.rows(which, area.first_row):
             if area.last_row and row > area.last_row:
                 break
             first = max(row, area.first_row or 1)

@@ -7,7 +7,7 @@ import pytest
 from sluice.plans.columns import Column
 from sluice.sources import serials
 from sluice.sources.workbook import Range, SheetOptions, Workbook
-from sluice.sources.write_workbook import ods_bytes, xlsx_bytes
+from sluice.plans.sample_packages import ods_bytes, xlsx_bytes
 from sluice.types import DeclarationError, Door, NoSheet
 
 ROWS = [["id", "name", "when", "flag"], [1.0, "a", date(2024, 1, 2), True], [2.5, None, datetime(2024, 1, 2, 6), False], [None, "é", None, None]]
