@@ -1,7 +1,13 @@
 """A corpus pipeline: toxic texts go, exact copies go, near copies go, sources are mixed, the rest is packed.
 
 Each stage takes the rows that the one before kept and returns the columns of ``documents``; the last returns a row for
-each piece of a packed sequence.
+each piece of a packed sequence. Further columns stay with their rows, whatever they are called.
+
+Defined cases, stage by stage: a null text counts as an empty one everywhere. It is not toxic; all null, empty and blank
+texts are one group of exact copies, of which the smallest id stays; it links with nothing; it has no words, so mixing takes
+it; it is packed as its end id alone. Rows without an id stay in the first three stages unless their text says otherwise,
+and are drawn together in mixing. Repeated rows: one of them stays after exact dedup. Ties: the smallest id stays. An empty
+table gives no rows at any stage.
 """
 
 from __future__ import annotations
