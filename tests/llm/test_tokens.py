@@ -47,7 +47,7 @@ def docs(spark):
 def test_store_gives_all_ids_in_order(spark, docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_store, "BLOCK_IDS", 40)
     path = P.path("word_bpe_49k.json")
-    token_store.write(docs, f"file://{tmp_path}/s", path)
+    token_store.write(docs, f"file://{tmp_path}/s", path, split="words")
     got = sorted(token_store.read(spark, f"file://{tmp_path}/s").collect(), key=lambda r: r["start"])
     whole = Tokenizer.from_file(path)
     want = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
@@ -129,7 +129,8 @@ def _open(bins):
     return {k for stack in bins.stacks for k in stack}
 
 
-def test_few_sequences_are_lost(spark, tables):
-    rows = packing.best_fit(spark.read.parquet(f"{tables}/documents.parquet").coalesce(1), P.path("byte_bpe_50k.json"))
+@pytest.mark.parametrize("tasks", [1, 16])
+def test_few_sequences_are_lost(spark, tables, tasks):
+    rows = packing.best_fit(spark.read.parquet(f"{tables}/documents.parquet").repartition(tasks), P.path("byte_bpe_50k.json"))
     total, bins = rows.groupBy().sum("length").first()[0], rows.select("sequence_id").distinct().count()
     assert bins <= total / 2048 * 1.05 + 1
