@@ -25,12 +25,18 @@ _U = np.uint64
 GOLD = _U(0x9E3779B97F4A7C15)
 
 
+#: Folders of sessions without a shared one.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``; only where it is unset, a local one (tests)."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="sluice-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        application = spark.sparkContext.applicationId
+        if application not in _LOCAL:
+            _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="sluice-")
+        base = _LOCAL[application]
     return base
 
 
@@ -59,7 +65,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Holds Arrow batches at BATCH_ROWS rows at most."""
+    """Holds the session's Arrow batches at BATCH_ROWS rows at most, from here on: plans are lazy, so it can't be put back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > BATCH_ROWS:

@@ -3,6 +3,10 @@
 A part is written under a name of its own try and then moved, so repeated and speculative tasks do no harm. In a folder
 that is mounted (``file://``) parts are mapped where they lie; from another store a worker copies a part once, maps the
 copy and unlinks it, so that nothing stays behind.
+
+Defined cases: an empty array makes an empty file, which maps to an empty array; a part that is written again replaces the
+first one whole; keys may repeat among the lists that are merged, whose counts add up, and of no lists or empty ones the
+result is empty; a part that isn't there raises.
 """
 
 from __future__ import annotations
@@ -62,6 +66,8 @@ def from_planes(data: bytes, dtype) -> np.ndarray:
 
 def merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Ascending distinct keys and their summed counts."""
+    if not keys:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
     k, c = np.concatenate(keys), np.concatenate(counts).astype(np.int64)
     if not len(k):
         return k, c

@@ -63,31 +63,34 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _tokens(path: str, split: str, end: int):
+def _tokens(path: str, split: str, end: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, most=SLICE):
-                ids, counts = encode(filled(part.column("text")), path, split, end, np.uint16)
+                ids, counts = encode(filled(part.column("text")), path, split, end, kind.type)
                 places = np.concatenate([[0], np.cumsum(counts)])
                 raw = ids.tobytes()
-                own = [raw[2 * a : 2 * b] for a, b in zip(places[:-1], places[1:], strict=True)]
+                own = [raw[kind.itemsize * a : kind.itemsize * b] for a, b in zip(places[:-1], places[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(own, pa.binary())], ["doc_id", "ids"])
 
     return run
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(1 << 16, np.int64)
-    for batch in batches:
-        total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), "<u2"), minlength=1 << 16)
-    found = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
+def _count(vocabulary: int, kind: np.dtype):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            total += np.bincount(np.frombuffer(b"".join(batch.column("ids").to_pylist()), kind), minlength=vocabulary)
+        found = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(total[found])], ["id", "n"])
+
+    return run
 
 
 BLOCKS = "part int, block int, n_ids long, doc_ids array<long>, counts array<long>, control binary, data binary"
 
 
-def _blocks(rank_of: np.ndarray):
+def _blocks(rank_of: np.ndarray, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -97,9 +100,9 @@ def _blocks(rank_of: np.ndarray):
         size = 0
 
         def closed() -> pa.RecordBatch:
-            ids = np.frombuffer(b"".join(held), "<u2")
+            ids = np.frombuffer(b"".join(held), kind)
             control, data = pack(rank_of[ids])
-            row = [part, block, len(ids), docs, [len(x) // 2 for x in held], control, data]
+            row = [part, block, len(ids), docs, [len(x) // kind.itemsize for x in held], control, data]
             types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()]
             names = [x.split()[0] for x in BLOCKS.split(", ")]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names)
@@ -108,7 +111,7 @@ def _blocks(rank_of: np.ndarray):
             for doc, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True):
                 held.append(ids)
                 docs.append(doc)
-                size += len(ids) // 2
+                size += len(ids) // kind.itemsize
                 if size >= BLOCK_IDS:
                     yield closed()
                     held, docs, size, block = [], [], 0, block + 1
@@ -118,20 +121,27 @@ def _blocks(rank_of: np.ndarray):
     return run
 
 
-def write(docs: DataFrame, path: str, tokenizer: str, split: str = "words", end: int = 1) -> None:
-    """Encodes every text and writes the files at path, in ascending order of doc_id."""
+def write(docs: DataFrame, path: str, tokenizer: str, split: str = "spaces", end: int = 1) -> None:
+    """Encodes every text and writes the files at path, in ascending order of doc_id. split: see ``tokenizing``.
+
+    Ids travel in two bytes each where the vocabulary allows it, else in four.
+    """
+    from tokenizers import Tokenizer
+
     spark = docs.sparkSession
     bounded_batches(spark)
+    vocabulary = max(Tokenizer.from_file(tokenizer).get_vocab_size(), end + 1)
+    kind = np.dtype("<u2" if vocabulary <= 1 << 16 else "<u4")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = materialise(rows.mapInArrow(_tokens(tokenizer, split, end), "doc_id long, ids binary"), "tokens")
-    # One row per id of the vocabulary: at most 65,536.
-    counts = tokens.select("ids").mapInArrow(_count, "id int, n long").groupBy("id").agg(F.sum("n").alias("count"))
+    tokens = materialise(rows.mapInArrow(_tokens(tokenizer, split, end, kind), "doc_id long, ids binary"), "tokens")
+    # One row per id of the vocabulary.
+    counts = tokens.select("ids").mapInArrow(_count(vocabulary, kind), "id int, n long").groupBy("id").agg(F.sum("n").alias("count"))
     found = sorted(((r["count"], -r["id"]) for r in counts.collect()), reverse=True)
-    rank_of = np.zeros(1 << 16, np.uint32)
+    rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[[-i for _, i in found]] = np.arange(len(found))
     spark.createDataFrame([(k, -i, n) for k, (n, i) in enumerate(found)], "rank int, id int, count long").coalesce(1).write.parquet(f"{path}/ranks")
     ordered = tokens.repartitionByRange(partitions(spark), F.col("doc_id")).sortWithinPartitions(F.col("doc_id"), F.crc32("ids"), F.col("ids"))
-    ordered.mapInArrow(_blocks(rank_of), BLOCKS).write.parquet(f"{path}/blocks")
+    ordered.mapInArrow(_blocks(rank_of, kind), BLOCKS).write.parquet(f"{path}/blocks")
 
 
 def _decode(id_of: np.ndarray):
@@ -185,5 +195,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = work_path(spark, "token-store")
-    write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"))
+    write(documents(spark, sf_dir), path, public_tokenizers.path("word_bpe_49k.json"), split="words")
     return read(spark, path, with_ids=False)
