@@ -9,8 +9,8 @@ comes with what stands before and behind it. The forest sees
 * its character transitions: changes between letters and digits, between small letters and capitals, repeated
   characters, distinct characters, and the share of marks,
 * its dictionary coverage: the share of its characters in frequent words of four to twelve letters. The list has the
-  ``DICTIONARY`` words that most sources have, then the most frequent ones, counted over all documents, so that no
-  source's words fill it by being many; every span of a candidate is looked up in it,
+  ``DICTIONARY`` words that most sources have (told apart by 64 classes), then the most frequent ones, counted over all
+  documents, so that no source's words fill it by being many; candidates are looked up in it as a prefix tree,
 * its path: whether the document's source, or a path in the text ahead of it, looks like tests, examples or fixtures,
 * its neighbouring words: an assignment, a quotation mark, a word for credentials, a word for hashes or identifiers, and a
   word for placeholders before it or in it.
@@ -27,6 +27,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -46,7 +48,6 @@ CANDIDATE = rf"{AHEAD}[^\s\"'`=:][^\s\"'`]{{{ASSIGNED_SHORTEST - 2},}}(?<![.,;:)
 BEFORE, BEHIND = 40, 24
 FINDINGS = 6000
 DICTIONARY = 4000
-WORD = (4, 12)
 TREES, DEPTH, SEED = 40, 7, 7
 
 CREDENTIAL = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|access[_-]?key|credential|bearer|authorization)[^A-Za-z0-9]*$"
@@ -82,8 +83,10 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
 def dictionary(docs: DataFrame, text: str = "text", source: str | None = "source", most: int = DICTIONARY) -> list[str]:
     """``most`` words of four to twelve small letters: those of most sources first, then the most frequent in all documents."""
     word = F.explode(F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?<!\p{L})\p{Ll}{4,12}(?!\p{L})"), F.lit(0)))
-    place = F.col(source).cast("string") if source else F.lit(None).cast("string")
-    counts = docs.select(word.alias("w"), place.alias("s")).groupBy("w", "s").count().groupBy("w").agg(F.count(F.lit(1)).alias("places"), F.sum("count").alias("n"))
+    # Sources by 64 classes of their hash: a word's classes are one number, so a task sends a row for each word.
+    place = F.pmod(F.xxhash64(F.col(source).cast("string")), F.lit(64)).cast("int") if source else F.lit(0)
+    rows = docs.select(word.alias("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("s"))
+    counts = rows.groupBy("w").agg(F.bit_count(F.bit_or("s")).alias("places"), F.count(F.lit(1)).alias("n"))
     return [r["w"] for r in counts.orderBy(F.desc("places"), F.desc("n"), "w").limit(most).collect()]  # ``most`` rows
 
 
@@ -91,19 +94,28 @@ def _share(candidate: Column, pattern: str) -> Column:
     return F.regexp_count(candidate, F.lit(pattern)).cast("double") / F.char_length(candidate)
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of the longest of these words, as the prefix tree that they make."""
+    tree: dict = {}
+    for w in words:
+        node = tree
+        for c in w:
+            node = node.setdefault(c, {})
+        node[""] = {}
+
+    def shown(node: dict) -> str:
+        ways = [re.escape(c) + shown(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        whole = ways[0] if len(ways) == 1 and "" not in node else f"(?:{'|'.join(ways)})"
+        return f"{whole}?" if "" in node else whole
+
+    return shown(tree)
+
+
 def _covered(small: Column, words: list[str]) -> Column:
-    """The share of a candidate's characters that lie in a word of the list, every span being looked up."""
-    n = F.char_length(small)
-
-    def spans(k: int, of: list[str]) -> Column:
-        """The places that words of k characters take."""
-        at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
-        found = F.filter(at, lambda i: F.substring(small, i, F.lit(k)).isin(of))
-        return F.flatten(F.transform(found, lambda i: F.sequence(i, i + (k - 1))))
-
-    by_length = {k: [w for w in words if len(w) == k] for k in range(WORD[0], WORD[1] + 1)}
-    every = [spans(k, of) for k, of in by_length.items() if of]
-    return F.size(F.array_distinct(F.concat(*every))).cast("double") / n if every else F.lit(0.0)
+    """The share of a candidate's characters that lie in words of the list, the longest at each place."""
+    return 1 - F.char_length(F.regexp_replace(small, _any_of(words), "")).cast("double") / F.char_length(small)
 
 
 def featured(findings: DataFrame, words: list[str], path: str | None = "source") -> DataFrame:
