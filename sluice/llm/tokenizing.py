@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterable
+from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -56,23 +58,20 @@ class Pieces(dict):
         for token, i in vocabulary.items():
             self.width[i] = len(token.removesuffix("</w>") if self.gap else token)
 
-    def learn(self, wanted: Iterable[str], alone: Iterable[str] = ()) -> None:
+    def learn(self, wanted: Wanted, alone: Iterable[str] = ()) -> None:
         """Encodes those of the pieces that aren't held; alone: those that don't keep apart in a text."""
         alone = {x for x in alone if x not in self}
-        together: dict[str, None] = {}
+        together = dict.fromkeys(x for x in compress(wanted.pieces, wanted.letters) if x not in self)
         compound = []
-        for x in wanted:
+        # Letters and the marks after them are pretokens of their own.
+        for x, n in zip(compress(wanted.pieces, wanted.marked), wanted.stems, strict=True):
             if x not in self:
-                if x.isalpha():
-                    together[x] = None
-                    continue
-                stem = x.rstrip(MARKS)
-                # Letters and the marks after them are pretokens of their own.
-                if len(stem) < len(x) <= PIECE and (stem.isalpha() or stem[1:].isalpha() and stem[0] == " "):
-                    compound.append((x, stem, x[len(stem) :]))
-                    together[stem] = None
-                    alone.add(x[len(stem) :])
-                elif self.gap and (not x or not x.isascii() and x.split() != [x]):
+                compound.append((x, x[:n], x[n:]))
+                together[x[:n]] = None
+                alone.add(x[n:])
+        for x in compress(wanted.pieces, wanted.others):
+            if x not in self:
+                if self.gap and (not x or not x.isascii() and x.split() != [x]):
                     alone.add(x)  # white space within a piece would hide where it ends
                 else:
                     together[x] = None
@@ -102,9 +101,8 @@ class Pieces(dict):
         if len(self) >= HELD:
             self.clear()
             self.update(zip(used, ids, strict=True))
-        for x in used:
-            if len(x) > PIECE:
-                self.pop(x, None)
+        for x in [x for x in used if len(x) > PIECE]:
+            self.pop(x, None)
 
 
 def pieces(path: str, split: str) -> Pieces:
@@ -128,11 +126,40 @@ def by_spaces(text: str) -> list[str]:
     return out
 
 
-def _plain(part: str) -> bool:
-    return bool(part) and not part[0].isspace() and not part[-1].isspace()
+#: White space that is ASCII, at a part's ends.
+_ASCII_EDGE = r"^[\x09-\x0D\x1C-\x20]|[\x09-\x0D\x1C-\x20]$"
+
+
+def _plain(parts: pa.Array) -> np.ndarray:
+    """Which parts have characters, and none at their ends that is white space."""
+    out = pc.and_not(pc.not_equal(parts, ""), pc.match_substring_regex(parts, _ASCII_EDGE)).to_numpy(zero_copy_only=False).copy()
+    other = np.flatnonzero(~pc.string_is_ascii(parts).to_numpy(zero_copy_only=False))
+    for i, x in zip(other.tolist(), parts.take(pa.array(other)).to_pylist(), strict=True):
+        out[i] = not x[0].isspace() and not x[-1].isspace()
+    return out
+
+
+@dataclass
+class Wanted:
+    """Pieces that keep apart: which are letters alone, and which letters with marks behind them, from so many characters on."""
+
+    pieces: list[str]
+    letters: list[bool]
+    marked: list[bool]
+    others: list[bool]
+    stems: list[int]
+
+
+def _wanted(pieces: list[str], parts: pa.Array, ahead: int) -> Wanted:
+    """parts: the pieces without the ``ahead`` characters that they begin with."""
+    stems = pc.utf8_rtrim(parts, characters=MARKS)
+    size = pc.utf8_length(stems).to_numpy(zero_copy_only=False) + ahead
+    letters = pc.utf8_is_alpha(parts).to_numpy(zero_copy_only=False)
+    marked = pc.utf8_is_alpha(stems).to_numpy(zero_copy_only=False) & ~letters & (pc.utf8_length(parts).to_numpy(zero_copy_only=False) + ahead <= PIECE)
+    return Wanted(pieces, letters.tolist(), marked.tolist(), (~letters & ~marked).tolist(), size[marked].tolist())
 
 
-def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str], list[str]]:
+def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, Wanted, list[str]]:
     """Offsets of each text's pieces, their numbers, and the distinct pieces: those that keep apart, and the others."""
     if split == "words":
         # These vocabularies lower-case; only special tokens, which have "<|", tell cases apart.
@@ -145,25 +172,27 @@ def _cut(texts: pa.Array, split: str) -> tuple[np.ndarray, np.ndarray, list[str]
     offsets = lists.offsets.to_numpy().astype(np.int64)
     offsets -= offsets[0]
     coded = lists.flatten().dictionary_encode()
-    index, distinct = coded.indices.to_numpy().copy(), coded.dictionary.to_pylist()
+    index, parts = coded.indices.to_numpy().copy(), coded.dictionary
     if split == "words":
-        return offsets, index, distinct, []
-    plain = np.fromiter(map(_plain, distinct), bool, len(distinct))
+        return offsets, index, _wanted(parts.to_pylist(), parts, 0), []
+    plain = _plain(parts)
     wild = np.unique(np.searchsorted(offsets, np.flatnonzero(~plain[index]), side="right") - 1)
     # A part that isn't plain is used in no text that stays cut at single spaces, but as its first.
-    distinct = [" " + x if ok else x for x, ok in zip(distinct, plain.tolist(), strict=True)]
+    known = len(parts)
     firsts = offsets[:-1][np.diff(offsets) > 0]
     own = {i: by_spaces(texts[i].as_py()) for i in wild.tolist()}
     more: dict[str, int] = {}
-    number = lambda x: more.setdefault(x, len(distinct) + len(more))
-    index[firsts] = [number(distinct[k][1:] if plain[k] else distinct[k]) for k in index[firsts].tolist()]
+    number = lambda x: more.setdefault(x, known + len(more))
+    index[firsts] = [number(x) for x in parts.take(pa.array(index[firsts])).to_pylist()]
     if own:
         pieces_of = [np.array([number(x) for x in own[i]], np.int32) if i in own else index[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
         offsets, index = np.concatenate([[0], np.cumsum([len(x) for x in pieces_of])]), np.concatenate(pieces_of)
-    used = np.zeros(len(distinct), bool)
-    used[index[index < len(distinct)]] = True
-    distinct = [x if keep else " x" for x, keep in zip(distinct, used.tolist(), strict=True)]
-    return offsets, index, distinct, list(more)
+    used = np.zeros(known, bool)
+    used[index[index < known]] = True
+    if not (used & plain).all():
+        parts = pc.if_else(pa.array(used & plain), parts, pa.scalar("x", parts.type))
+    spaced = pc.binary_join_element_wise(pa.scalar("", parts.type), parts, pa.scalar(" ", parts.type))
+    return offsets, index, _wanted(spaced.to_pylist(), parts, 1), list(more)
 
 
 def encode(texts: pa.Array, path: str, split: str, end: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +201,7 @@ def encode(texts: pa.Array, path: str, split: str, end: int, dtype: type) -> tup
     if not n:
         return np.empty(0, dtype), np.empty(0, np.int64)
     offsets, index, apart, others = _cut(texts, split)
-    table, distinct = pieces(path, split), apart + others
+    table, distinct = pieces(path, split), apart.pieces + others
     table.learn(apart, others)
     held = [table[x] for x in distinct]
     table.forget(distinct, held)
