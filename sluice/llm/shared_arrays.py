@@ -42,7 +42,10 @@ def map_part(folder: str, name: str, dtype) -> np.ndarray:
     dtype = np.dtype(dtype)
     if isinstance(store, pfs.LocalFileSystem):
         return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.empty(0, dtype)
-    if not store.get_file_info(at).size:
+    found = store.get_file_info(at)
+    if found.type != pfs.FileType.File:
+        raise FileNotFoundError(f"{folder}/{name}")
+    if not found.size:
         return np.empty(0, dtype)
     with tempfile.NamedTemporaryFile() as copy:
         with store.open_input_stream(at) as source:

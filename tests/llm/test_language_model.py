@@ -157,6 +157,23 @@ def test_very_long_null_and_repeated_texts(spark):
         assert any(r["doc_id"] == i and r["train_tokens"] == n and r["score"] == pytest.approx(w[3], rel=1e-6) for r in got)
 
 
+def test_parts_in_a_store_that_is_not_mounted(tmp_path, monkeypatch):
+    import pyarrow.fs as pfs
+
+    from sluice.llm import shared_arrays
+
+    monkeypatch.setattr(shared_arrays, "_store", lambda path: (pfs.SubTreeFileSystem(str(tmp_path), pfs.LocalFileSystem()), path))
+    shared_arrays.write_part("f", "a", np.arange(5, dtype="<u8"))
+    shared_arrays.write_part("f", "a", np.arange(1000, dtype="<u8"))
+    shared_arrays.write_part("f", "none", np.empty(0, "<u8"))
+    assert shared_arrays.map_part("f", "a", "<u8").tolist() == list(range(1000))
+    assert not len(shared_arrays.map_part("f", "none", "<u8"))
+    assert [p.name for p in (tmp_path / "f").iterdir() if p.name.startswith("a")] == ["a"]
+    with pytest.raises(FileNotFoundError):
+        shared_arrays.map_part("f", "b", "<u8")
+    assert not len(merged([], [])[0])
+
+
 def test_arrays():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 1 << 63, 1000).astype(np.uint64))

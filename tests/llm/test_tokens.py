@@ -64,6 +64,31 @@ def test_store_gives_all_ids_in_order(spark, docs, tmp_path, monkeypatch):
     assert [r["count"] for r in ranks] == sorted((r["count"] for r in ranks), reverse=True)
 
 
+LONG = [(1, "word and, more. " * 60_000), (1, "word and, more. " * 60_000), (2, None), (2, None), (3, "x" * 200_000), (4, " " * 50_000 + "end")]
+
+
+def test_very_long_and_equal_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, 5) for i, t in LONG], "doc_id long, text string, start int").repartition(3)
+    path = P.path("word_bpe_49k.json")
+    token_store.write(docs, f"file://{tmp_path}/l", path, split="words")
+    got = sorted(token_store.read(spark, f"file://{tmp_path}/l").collect(), key=lambda r: r["start"])
+    whole = Tokenizer.from_file(path)
+    want = [[*whole.encode(t or "", add_special_tokens=False).ids, 1] for _, t in sorted(LONG, key=lambda x: (x[0], x[1] or ""))]
+    assert [np.frombuffer(r["ids"], "<u4").tolist() for r in got] == want
+    assert [r["start"] for r in got] == np.cumsum([0, *map(len, want[:-1])]).tolist()
+    rows = packing.best_fit(docs, P.path("byte_bpe_50k.json"))
+    assert rows.columns == [x.split()[0] for x in packing.SCHEMA.split(", ")]
+    check_packing(rows.collect(), LONG, 2048)
+
+
+def test_both_ways_to_split_one_vocabulary():
+    from sluice.llm.tokenizing import pieces
+
+    path = P.path("byte_bpe_50k.json")
+    assert pieces(path, "words").gap and not pieces(path, "spaces").gap
+    assert pieces(path, "words") is pieces(path, "words")
+
+
 def test_empty_store(spark, tmp_path):
     token_store.write(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e", P.path("word_bpe_49k.json"))
     assert token_store.read(spark, f"file://{tmp_path}/e").count() == 0
