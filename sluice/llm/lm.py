@@ -123,6 +123,7 @@ class Model:
     parts: int
     first_id: list[int] = field(default_factory=list)
     gram_bounds: np.ndarray | None = None
+    gram_parts: frozenset[int] = frozenset()
     tokens: int = 0
     types: int = 0
     grams: int = 0
@@ -133,6 +134,8 @@ class Model:
         if self.folder not in _MAPS:
             _MAPS.clear()
             _MAPS[self.folder] = _Maps(self)
+        # Workers have the arrays from earlier steps, which knew less of the model.
+        _MAPS[self.folder].model = self
         return _MAPS[self.folder]
 
 
@@ -180,7 +183,7 @@ class _Maps:
         out = np.zeros(len(distinct), np.int64)
         cuts = [0, *np.searchsorted(distinct, self.model.gram_bounds[1:]).tolist(), len(distinct)]
         for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-            own = self.part("grams", p, "<u8") if a < b else ()
+            own = self.part("grams", p, "<u8") if a < b and p in self.model.gram_parts else ()
             if len(own):
                 at = np.minimum(np.searchsorted(own, distinct[a:b]), len(own) - 1)
                 out[a:b] = np.where(own[at] == distinct[a:b], self.gram_counts(p)[at], 0)
@@ -275,7 +278,7 @@ def _gram_part(model: Model):
             cuts = np.append(np.searchsorted(ids, np.array(model.first_id, np.uint64)), len(ids)).tolist()
             rows = [(p, ids[a:b], table[0, a:b], table[1:, a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if a < b]
             of = np.bincount(np.minimum(counts, 5), minlength=6)[1:5] if len(counts) else np.zeros(4, int)
-            rows.append((-1, np.empty(0, np.uint64), np.empty(0, np.uint32), np.array([len(keys), *of], "<i8").tobytes()))
+            rows.append((-1, np.empty(0, np.uint64), np.empty(0, np.uint32), np.array([part, len(keys), *of], "<i8").tobytes()))
             yield _rows(rows)
 
     return run
@@ -353,7 +356,9 @@ def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Mode
     path = work_path(spark, "kneser-ney-statistics")
     statistics.write.parquet(path)
     statistics = spark.read.schema(_PART).parquet(path)
-    totals = sum(np.frombuffer(r["more"], "<i8") for r in statistics.where("part < 0").select("more").collect())  # one row per part
+    told = [np.frombuffer(r["more"], "<i8") for r in statistics.where("part < 0").select("more").collect()]  # one row per part
+    model.gram_parts = frozenset(int(x[0]) for x in told)
+    totals = sum(x[1:] for x in told)
     model.grams = int(totals[0])
     orders = statistics.where("part >= 0").repartitionById(n, F.col("part")).mapInArrow(_statistics_part(model), "m1 long, m2 long, m3 long, m4 long, over long")
     m = orders.groupBy().sum().first()

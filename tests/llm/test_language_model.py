@@ -68,6 +68,14 @@ def test_scores_against_dictionaries(spark, tables):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_more_parts_than_bigrams(spark):
+    docs = spark.createDataFrame([("a b",), ("c d",)], "text string")
+    few, many = lm.train(docs, parts=1), lm.train(docs, parts=50)
+    texts = pa.array(["a b c d", "b a d c", "d d d", None])
+    assert lm.score_texts(many, texts)["score"].tolist() == pytest.approx(lm.score_texts(few, texts)["score"].tolist())
+    assert len(many.gram_parts) < 50
+
+
 def test_probabilities_add_up(spark):
     docs = spark.createDataFrame([("a b c",), ("a b b",), ("c a",), ("a b c a",)], "text string")
     model = lm.train(docs, parts=3)
@@ -119,7 +127,7 @@ def test_counts_past_32_bits_are_kept(tmp_path):
         folder = str(tmp_path / name)
         lm.write_part(folder, "grams-0", np.array([5, 6, 7], "<u8"))
         lm.write_part(folder, "gram-counts-0", lm.narrow(counts))
-        own = lm._Maps(lm.Model(folder, 1, [0], np.zeros(1, np.uint64)))
+        own = lm._Maps(lm.Model(folder, 1, [0], np.zeros(1, np.uint64), frozenset([0])))
         assert own.counts(np.array([4, 5, 6, 7, 8], np.uint64)).tolist() == [0, *counts.tolist(), 0]
     assert model.parts == 1
 
