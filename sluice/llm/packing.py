@@ -110,7 +110,7 @@ def _pack(path: str, split: str, end: int, length: int, open_bins: int, with_ids
         for batch in batches:
             for part in text_slices(batch, most=SLICE):
                 ids, counts = encode(filled(part.column("text")), path, split, end, np.uint32)
-                raw, at = memoryview(ids.astype("<u4").tobytes()), 0
+                raw, at = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 0
                 for doc, n in zip(part.column("doc_id").to_pylist(), counts.tolist(), strict=True):
                     for k, (start, size) in enumerate(cut(n, length)):
                         piece = raw[4 * (at + start) : 4 * (at + start + size)]
