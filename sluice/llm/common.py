@@ -6,7 +6,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Rows in an Arrow batch; Spark's own limit of bytes in a batch (64 MB by default) holds besides.
 BATCH_ROWS = 2500
 #: Bytes of text that a worker turns into arrays at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 #: White space of every contract here, as a regular expression class.
 SPACE = r"\x20\x09-\x0D"
 
@@ -113,6 +113,23 @@ def give_back() -> None:
         pass
 
 
+#: What operators keep in a worker from task to task, by operator.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(operator: str, forget: Callable[[], None]) -> None:
+    """Tells that an operator keeps something in a worker, and how to let go of it."""
+    _KEPT[operator] = forget
+
+
+def claim(operator: str = "") -> None:
+    """Lets go of what other operators keep in this worker, at the beginning of a task."""
+    for other, forget in _KEPT.items():
+        if other != operator:
+            forget()
+    give_back()
+
+
 def filled(column: pa.Array) -> pa.Array:
     """Texts with null as empty, with 64-bit offsets from 0 on: ascii_lower misreads slices of larger arrays."""
     whole = pa.concat_arrays([pa.array([], pa.large_string()), column.cast(pa.large_string())])

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import GOLD, bounded_batches, documents, mix, partitions, text_slices
+from sluice.llm.common import GOLD, bounded_batches, claim, documents, mix, partitions, text_slices
 
 P = np.uint64((1 << 31) - 1)
 #: Two bases under P.
@@ -297,6 +297,7 @@ def compare_with_next(ids: list, texts: list[str]) -> pa.RecordBatch:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of a range in its order, the next range's first document last."""
+    claim()
     ids: list = []
     texts: list[str] = []
     for batch in batches:

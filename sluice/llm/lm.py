@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, documents, partitions, text_slices, word_hashes, words, work_path
+from sluice.llm.common import bounded_batches, claim, documents, keeps, partitions, text_slices, word_hashes, words, work_path
 from sluice.llm.shared_arrays import counted, from_planes, map_part, merged, planes, write_part
 
 #: Hashes of the start and the end token; no word's hash is taken for them.
@@ -88,6 +88,7 @@ def _tally(keys_of, bounds_of):
     """A mapper: keys of all texts, counted in runs of GATHERED, and dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("model")
         held: list[np.ndarray] = []
         bounds = None
         for batch in batches:
@@ -140,6 +141,7 @@ class Model:
 
 
 _MAPS: dict[str, _Maps] = {}
+keeps("model", _MAPS.clear)
 
 
 def _hash_bounds(parts: int) -> np.ndarray:
@@ -407,6 +409,7 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("model")
         for batch in batches:
             for part in text_slices(batch):
                 found = score_texts(model, part.column("text"))

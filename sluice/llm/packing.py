@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, documents, filled, materialise, text_slices
+from sluice.llm.common import bounded_batches, claim, documents, filled, materialise, text_slices
 from sluice.llm.tokenizing import SLICE, encode
 
 LENGTH = 2048
@@ -106,6 +106,7 @@ def _pack(path: str, split: str, end: int, length: int, open_bins: int, with_ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("tokens")
         held = _Held(length, open_bins, TaskContext.get().partitionId() << 32, with_ids)
         for batch in batches:
             for part in text_slices(batch, most=SLICE):

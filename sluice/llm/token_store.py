@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.common import bounded_batches, documents, filled, materialise, partitions, text_slices, work_path
+from sluice.llm.common import bounded_batches, claim, documents, filled, materialise, partitions, text_slices, work_path
 from sluice.llm.tokenizing import SLICE, encode
 
 #: Ids that a block gathers before it is closed; documents are never cut.
@@ -65,6 +65,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokens(path: str, split: str, end: int, kind: np.dtype):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("tokens")
         for batch in batches:
             for part in text_slices(batch, most=SLICE):
                 ids, counts = encode(filled(part.column("text")), path, split, end, kind.type)

@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from sluice.llm.common import keeps
+
 #: Pieces held by a worker; beyond, those of the last slice stay.
-HELD = 600_000
+HELD = 400_000
 #: Bytes of text to encode at once: the more, the fewer distinct pieces in all.
 SLICE = 8 << 20
 #: Characters of a piece that is held.
@@ -34,6 +36,7 @@ MARKS = ",.!?;:#$%&*|"
 TOGETHER = 512
 
 _HELD: dict[tuple[str, str], Pieces] = {}
+keeps("tokens", _HELD.clear)
 
 
 def _packed(ids: list[int]) -> bytes:

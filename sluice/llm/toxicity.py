@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sluice.llm.common import bounded_batches, documents, give_back, text_slices, words
+from sluice.llm.common import bounded_batches, claim, documents, give_back, text_slices, words
 
 ORDER, DECAY = 3, 0.85
 POWERS = (2, 12)
@@ -474,6 +474,7 @@ def learn(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int = LABELL
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The fit in one task, whose rows the bound holds, so that the driver never has the texts."""
+    claim()
     rows = sorted(r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
     model = fit([text for *_, text in rows], [label for _, label, _ in rows])
     weights = None if model.weights is None else model.weights.tolist()
@@ -486,6 +487,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             for part in text_slices(batch):
                 score = model.scores(part.column("text"))
@@ -510,6 +512,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     model = learn(docs, labels, folds)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         for batch in batches:
             for part in text_slices(batch):
                 yield part.filter(pa.array(model.scores(part.column("text")) < 0.5))

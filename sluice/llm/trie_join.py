@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, documents, extend, give_back, materialise, partitions, spread_join, text_slices, word_hashes, words
+from sluice.llm.common import bounded_batches, claim, documents, extend, give_back, materialise, partitions, spread_join, text_slices, word_hashes, words
 from sluice.llm.components import components
 
 N, PERCENT = 5, 80
@@ -46,7 +46,7 @@ PLACES = 1 << 24
 _SHIFT = np.uint64(64 - 24)
 _PIECES = 64
 #: Members and classes that one task takes; a chunk has half of each.
-BLOCK_GRAMS, BLOCK_SETS = 2_000_000, 8192
+BLOCK_GRAMS, BLOCK_SETS = 1_000_000, 4096
 #: Rows of classes and tasks up to this number go to executors as a broadcast table of five numbers each.
 BROADCAST_CLASSES = 1_000_000
 
@@ -86,6 +86,7 @@ def prefix_length(size: np.ndarray | int, percent: int = PERCENT):
 
 def _count_places(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         held, size = [], 0
         total = np.zeros(PLACES, np.uint32)
 
@@ -98,7 +99,7 @@ def _count_places(n: int):
                 own = shingle_sets(part.column("text"), n)
                 held += own
                 size += sum(map(len, own))
-                if held and size >= 2_000_000:
+                if held and size >= 1_000_000:
                     add()
                     held, size = [], 0
         if size:
@@ -140,6 +141,7 @@ def _describe(level, n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        claim()
         table = np.frombuffer(zlib.decompress(level.value), np.uint16)
         for batch in batches:
             for part in text_slices(batch):
@@ -303,12 +305,16 @@ def _block(rows: list[tuple], percent: int) -> pa.RecordBatch:
 
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim()
         key, held = None, []
         for batch in batches:
             for i, j, node, side, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (i, j) != key and held:
+                    large = len(held) > 500
                     yield _block(held, percent)
                     held = []
+                    if large:
+                        give_back()
                 key = (i, j)
                 held.append((node, side, own))
         if held:
