@@ -35,7 +35,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import documents
+from sluice.llm.common import documents, materialise
 
 SHORTEST = 16
 #: Characters of an assigned candidate.
@@ -43,6 +43,7 @@ ASSIGNED_SHORTEST = 4
 SECRET_WORD = r"(?:token|secret|passw(?:or)?d|pwd|api[_\-]?key|apikey|access[_\-]?key|credentials?|bearer|authorization)"
 #: What stands ahead of an assigned candidate; bounded, as a look behind has to be.
 AHEAD = rf"(?<=[\s=:\"'`])(?<=(?i:{SECRET_WORD})[\"'`]{{0,1}}[\s=:]{{1,4}}[\"'`]{{0,1}}|[A-Za-z0-9_\]\"']\s{{0,2}}=\s{{0,2}}[\"'`]{{0,1}}|:\s{{0,2}}[\"'`])"
+RUN = rf"[A-Za-z0-9+/_\-]{{{SHORTEST},}}"
 CANDIDATE = rf"{AHEAD}[^\s\"'`=:][^\s\"'`]{{{ASSIGNED_SHORTEST - 2},}}(?<![.,;:)\]}}])|[A-Za-z0-9+/_\-]{{{SHORTEST},}}={{0,2}}"
 #: Characters ahead of and behind a candidate that count as its neighbours.
 BEFORE, BEHIND = 40, 24
@@ -60,6 +61,15 @@ FIXTURE_PATH = r"(?i)[a-z0-9_.-]*/(?:[a-z0-9_.-]+/)*(tests?|examples?|fixtures?|
 FEATURES = ["f_length", "f_digits", "f_capitals", "f_hex", "f_class_changes", "f_case_changes", "f_repeats", "f_distinct", "f_covered", "f_fixture", "f_assigned", "f_quoted", "f_credential", "f_hashed", "f_placeholder", "f_slashes", "f_marks"]
 
 
+def _maybe_assigned(text: Column) -> Column:
+    """Whether a text has what an assigned candidate needs ahead of it: an equals sign, a colon and a mark, or a word for credentials. It spares other texts the search."""
+    small = F.lower(text)
+    out = text.contains("=") | text.rlike(":\\s{0,2}[\"'`]")
+    for part in ("token", "secret", "passw", "pwd", "key", "credential", "bearer", "authorization"):
+        out = out | small.contains(part)
+    return out
+
+
 NEW = ("candidate", "before", "behind", "start")
 
 
@@ -68,7 +78,11 @@ def candidates(docs: DataFrame, text: str = "text") -> DataFrame:
     own = F.coalesce(F.col(text), F.lit(""))
     rest = [c for c in docs.columns if c != text and c not in NEW]
     kept = F.struct(*(F.col(f"`{c}`") for c in rest)) if rest else F.lit(None)
-    rows = docs.where(own.rlike(CANDIDATE)).select(kept.alias("_kept"), F.split(own, CANDIDATE, -1).alias("_parts"), F.regexp_extract_all(own, F.lit(CANDIDATE), F.lit(0)).alias("_found"))
+    rows = docs.select(kept.alias("_kept"), own.alias("_text"), _maybe_assigned(own).alias("_maybe"))
+    rows = rows.where(F.col("_text").rlike(RUN) | (F.col("_maybe") & F.col("_text").rlike(CANDIDATE)))
+    # In a text without anything assigned, runs alone can be candidates, which are found much faster.
+    either = lambda find: F.when(F.col("_maybe"), find(CANDIDATE)).otherwise(find(RUN + "={0,2}"))
+    rows = rows.select("_kept", either(lambda p: F.split("_text", p, -1)).alias("_parts"), either(lambda p: F.regexp_extract_all("_text", F.lit(p), F.lit(0))).alias("_found"))
     # Each candidate with the part before it and the head of the part behind it; its start is the length of all before.
     cut = F.transform("_parts", lambda p: F.struct(F.char_length(p).cast("long").alias("n"), F.right(p, F.lit(BEFORE)).alias("tail"), F.left(p, F.lit(BEHIND)).alias("head")))
     rows = rows.select("_kept", "_found", cut.alias("_cut"))
@@ -209,7 +223,9 @@ def labelled_findings(spark: SparkSession, words: list[str], most: int = FINDING
     before = F.when(is_true, F.concat(other, F.when(pick(25, 10) > 0, F.concat(name, sign)).otherwise(F.lit("")))).otherwise(F.concat(other, F.coalesce(led, F.lit(""))))
     behind = F.concat(F.when(is_true | kind.isin(8, 9, 13, 14, 15, 19, 20), close).otherwise(F.lit(" ")), word(29))
     source = F.when(~is_true & (pick(29, 6) == 0), "tests/fixtures/data").otherwise(F.concat(F.lit("src"), pick(33, 20)))
-    return rows.select(F.when(is_true, true).otherwise(false).alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(behind, F.lit(BEHIND)).alias("behind"), source.alias("source"), is_true.cast("double").alias("label")).where(F.char_length("candidate") >= ASSIGNED_SHORTEST)
+    made = rows.select(F.when(is_true, true).otherwise(false).alias("candidate"), F.right(before, F.lit(BEFORE)).alias("before"), F.left(behind, F.lit(BEHIND)).alias("behind"), source.alias("source"), is_true.cast("double").alias("label"))
+    # Written, as a filter over the expressions above would have them all twice.
+    return materialise(made, "findings").where(F.char_length("candidate") >= ASSIGNED_SHORTEST)
 
 
 def train(findings: DataFrame, words: list[str], trees: int = TREES, depth: int = DEPTH) -> RandomForestClassificationModel:
@@ -221,7 +237,8 @@ def scan(docs: DataFrame, findings: DataFrame | None = None) -> DataFrame:
     """One row per candidate: doc_id, source, ``start``, ``length``, ``candidate_sha256``, ``probability``, ``is_secret``."""
     words = dictionary(docs)
     model = train(labelled_findings(docs.sparkSession, words) if findings is None else findings, words)
-    rows = featured(candidates(docs.select("doc_id", "source", "text")), words)
+    # Candidates are few and short beside the texts; written first, the features are a plan of their own.
+    rows = featured(materialise(candidates(docs.select("doc_id", "source", "text")), "candidates"), words)
     scored = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
     p = vector_to_array("probability")[1]
     return scored.select(
