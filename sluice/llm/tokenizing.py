@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from sluice.llm.common import keeps
 
 #: Pieces held by a worker; beyond, those of the last slice stay.
-HELD = 400_000
+HELD = 300_000
 #: Bytes of text to encode at once: the more, the fewer distinct pieces in all.
 SLICE = 8 << 20
 #: Characters of a piece that is held.
