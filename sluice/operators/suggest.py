@@ -1,8 +1,9 @@
-"""Suggesting a plan from a sample: one aggregate over all columns and doors, then rules on the counts. Never applied by itself."""
+"""Suggesting a plan from a sample: an aggregate over all columns and doors, then rules on the counts. Never applied by itself."""
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -36,7 +37,7 @@ def _ok(cell: SparkColumn, kind: Door, **how: object) -> SparkColumn:
     return door(kind, cell, **how)["reason"].isNull()
 
 
-def _tally(text: SparkColumn, name: str, declared: NumFormat | None, cell: SparkColumn | None = None) -> list[SparkColumn]:
+def _tally(text: SparkColumn, declared: NumFormat | None, cell: SparkColumn | None = None) -> list[SparkColumn]:
     """Counts for a column's text; blank cells don't count.
 
     cell: the workbook cell that the text is of; a typed number there fits every notation by its value, and other typed
@@ -50,7 +51,7 @@ def _tally(text: SparkColumn, name: str, declared: NumFormat | None, cell: Spark
 
         typed = F.coalesce(cell["kind"] != "text", F.lit(False))
         by_value = lambda kind: (cell["kind"] == "number") & typed_door(cell, Column(0, kind))["reason"].isNull()
-    count = lambda when, key: F.count_if(F.coalesce(when, F.lit(False))).alias(f"{name}|{key}")
+    count = lambda when, key: F.count_if(F.coalesce(when, F.lit(False))).alias(key)
     out = [count(full, "sampled"), count(full & F.is_valid_utf8(text), "text"), count(full & _ok(text, Door.BOOL), "bool")]
     for key, form in NOTATIONS.items() if declared is None else (("declared", declared),):
         # A digit after a leading zero is an identifier's, and a whole number that 64 bits don't hold loses digits as a real.
@@ -78,14 +79,8 @@ def _past_64_bits(t: SparkColumn, form: NumFormat) -> SparkColumn:
 
 def suggest_typed(frame: DataFrame, columns: Sequence[str]) -> dict[str, Suggestion]:
     """A suggestion for each column of workbook cells of a frame that is a sample."""
-    cells = [(n, F.col(f"`{n}`")) for n in columns]
-    asked = [c for n, cell in cells for c in _tally(F.when(cell["kind"] != "empty", cell["raw"].cast("string")), n, None, cell)]
-    counts = frame.agg(*asked).first().asDict() if asked else {}
-    return {name: _judge(_of(counts, name), None) for name in columns}
-
-
-def _of(counts: Mapping[str, int], name: str) -> dict[str, int]:
-    return {k[len(name) + 1 :]: v for k, v in counts.items() if k.startswith(f"{name}|")}
+    counts = tally(frame, columns, cells=True)
+    return {name: _judge(counts[name], None) for name in columns}
 
 
 def _judge(n: Mapping[str, int], declared: NumFormat | None) -> Suggestion:
@@ -124,10 +119,18 @@ def _judge(n: Mapping[str, int], declared: NumFormat | None) -> Suggestion:
     return Suggestion(Door.TEXT, "unresolved", best, total)
 
 
-def tally(frame: DataFrame, columns: Sequence[str], formats: Mapping[str, NumFormat] | None = None) -> DataFrame:
-    """One row with all counts of all columns: a partial and a final aggregate, whatever the number of doors."""
+def tally(frame: DataFrame, columns: Sequence[str], formats: Mapping[str, NumFormat] | None = None, cells: bool = False) -> dict[str, Counter]:
+    """The counts of each column of a sample. Columns of one notation are stacked, so that the doors are planned once for all of them."""
     formats = formats or {}
-    return frame.agg(*(c for name in columns for c in _tally(F.col(f"`{name}`"), name, formats.get(name))))
+    out = {name: Counter() for name in columns}
+    for declared in {formats.get(name) for name in columns}:
+        own = [name for name in columns if formats.get(name) == declared]
+        stacked = frame.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.col(f"`{name}`").alias("x")) for i, name in enumerate(own)))).alias("s")).select("s.i", "s.x")
+        x = F.col("x")
+        asked = _tally(F.when(x["kind"] != "empty", x["raw"].cast("string")), None, x) if cells else _tally(x, declared)
+        for r in stacked.groupBy("i").agg(*asked).collect():  # a row per column
+            out[own[r["i"]]] = Counter({k: v for k, v in r.asDict().items() if k != "i"})
+    return out
 
 
 def suggest(frame: DataFrame, columns: Sequence[str] | None = None, rows: int = SAMPLE, formats: Mapping[str, NumFormat] | None = None, order: Sequence[str] = ()) -> tuple[dict[str, Suggestion], bool]:
@@ -140,8 +143,8 @@ def suggest(frame: DataFrame, columns: Sequence[str] | None = None, rows: int =
     rows = min(max(1, rows), MOST)
     first = (frame.orderBy(*order) if order else frame).select(*(F.col(f"`{c}`").cast("string").alias(c) for c in columns)).limit(rows + 1).collect()  # at most MOST + 1 rows
     sample = frame.sparkSession.createDataFrame([tuple(r) for r in first[:rows]], ", ".join(f"`{c}` string" for c in columns))
-    counts = tally(sample, columns, formats).first().asDict()
-    return {name: _judge(_of(counts, name), (formats or {}).get(name)) for name in columns}, len(first) > rows
+    counts = tally(sample, columns, formats)
+    return {name: _judge(counts[name], (formats or {}).get(name)) for name in columns}, len(first) > rows
 
 
 def suggest_source(reader, rows: int = SAMPLE, formats: Mapping[str, NumFormat] | None = None) -> tuple[dict[str, Suggestion], bool]:
@@ -158,8 +161,8 @@ def suggest_source(reader, rows: int = SAMPLE, formats: Mapping[str, NumFormat]
     frame = reader.sources.sparkSession.createDataFrame([tuple([*c, *[None] * width][:width]) for c in cells], ", ".join(f"`{k}` binary" for k in keys) or "none string")
     frame = frame.select(*(F.col(f"`{k}`").cast("string").alias(k) for k in keys))
     given = {str(i): formats[n] for i, n in enumerate(names) if formats and n in formats}
-    counts = tally(frame, keys, given).first().asDict() if keys else {}
-    return {n: _judge(_of(counts, str(i)), given.get(str(i))) for i, n in enumerate(names)}, len(first) > rows
+    counts = tally(frame, keys, given)
+    return {n: _judge(counts[str(i)], given.get(str(i))) for i, n in enumerate(names)}, len(first) > rows
 
 
 def plan_of(found: Mapping[str, Suggestion], order: str | None = None) -> list[Column]:
