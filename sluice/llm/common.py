@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -64,6 +65,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of plans that are done with; else they stay until the driver happens to collect garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Holds the session's Arrow batches at BATCH_ROWS rows at most, from here on: plans are lazy, so it can't be put back."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -10,8 +10,11 @@ smallest doc_id stands for. Classes link when ``100 * shared >= percent * united
    chains' components are *blocks*: sets of two blocks cannot link. Members that occur in one class only, and classes without shared ones, drop out there.
 3. Classes are sorted over all tasks by block and by their rarest member, and cut into *chunks* of at most ``BLOCK_GRAMS / 2``
    members and ``BLOCK_SETS / 2`` classes. A chunk's whole sets go to one task. Where a block has several chunks, a task
-   besides takes each two of them in which one of the shared members occurs with sizes near enough to link; no other two
-   can have a link between them. So no task holds more than two chunks, and none holds a block for being one.
+   besides takes, of each two of them, the classes that share a member with a class of the other chunk and may link by
+   both sizes and by what comes behind that member in their order; no others can have a link between them. (Of members in
+   very many classes of many chunks, see ``PAIR_ROWS``, it takes both chunks whole.) So no task holds more than two chunks,
+   and none holds a block for being one. What is sent follows the classes that may link, not the square of a block's
+   chunks, and goes out in rounds of at most about ``ROUND`` times the sets themselves, so that disk stays in proportion.
 4. A task lays its sets in a trie, by the block's own order with its commonest n-grams first, so that near copies share
    long paths. It goes down once for all sets: a node keeps how much of its path every set has (one vector, shared by
    all sets below), and drops sets that cannot reach the overlap that they need, even if all that remains of the longer
@@ -29,15 +32,17 @@ class and a component are named by their smallest id. Columns other than id and
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm.common import bounded_batches, claim, documents, extend, give_back, materialise, partitions, spread_join, text_slices, word_hashes, words
+from sluice.llm.common import bounded_batches, claim, clear_shuffles, documents, extend, give_back, materialise, partitions, spread_join, text_slices, word_hashes, words
 from sluice.llm.components import components
 
 N, PERCENT = 5, 80
@@ -49,6 +54,10 @@ _PIECES = 64
 BLOCK_GRAMS, BLOCK_SETS = 1_000_000, 4096
 #: Rows of classes and tasks up to this number go to executors as a broadcast table of five numbers each.
 BROADCAST_CLASSES = 1_000_000
+#: Classes times chunks of a shared member up to which its classes are told one by one which chunks they meet.
+PAIR_ROWS = 20_000
+#: Times all blocks' members that are sent at once; beyond, tasks run in several rounds.
+ROUND = 2
 
 
 def shingle_sets(column: pa.Array, n: int = N) -> list[np.ndarray]:
@@ -355,22 +364,50 @@ def _chunks(grams: int, most: int):
 
 
 def _tasks(members: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
-    """``chunk, i, j, side``: every chunk alone, and the pairs of chunks of a block that a prefix member holds together."""
+    """``node, i, j, side``: every class in its own chunk, and in each pair of its chunk with one that it may link into."""
     # Alone a chunk is one side; in a pair it is one of two.
-    alone = members.select("chunk").distinct().select("chunk", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"))
+    alone = members.select("node", F.col("chunk").alias("i"), F.col("chunk").alias("j"), F.lit(0).alias("side"))
     several = members.groupBy("block").agg(F.min("chunk").alias("low"), F.max("chunk").alias("high")).where("low < high").select("block")
-    cut = materialise(members.join(several, "block", "left_semi").select(F.col("node").alias("doc_id"), "chunk", "size"), "cut")
+    cut = materialise(members.join(several, "block", "left_semi").select("node", "chunk", "size"), "cut")
     found = cut.count()
     if not found:
         return alone
-    cut = F.broadcast(cut) if found <= BROADCAST_CLASSES else cut
-    shared = keyed.select("doc_id", "prefix").join(cut, "doc_id").select(F.explode("prefix").alias("gram"), "chunk", "size")
-    shared = shared.groupBy("gram", "chunk").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    i, j = (shared.select("gram", *(F.col(c).alias(f"{c}_{x}") for c in ("chunk", "low", "high"))) for x in "ij")
-    near = f"chunk_i < chunk_j AND 100 * high_i >= {percent} * low_j AND 100 * high_j >= {percent} * low_i"
-    pairs = i.join(j, "gram").where(near).select(F.col("chunk_i").alias("i"), F.col("chunk_j").alias("j")).distinct()
+    few = F.broadcast(cut) if found <= BROADCAST_CLASSES else cut
+    shared = keyed.select(F.col("doc_id").alias("node"), "prefix").join(few, "node").select(F.posexplode("prefix").alias("p", "gram"), "node", "chunk", "size")
+    # The first member that two classes share has all others behind it in both: the largest size that a class may link with there.
+    shared = shared.select("gram", "node", "chunk", "size", F.expr(f"({100 + percent} * (size - p)) div {percent} - size").alias("most"))
+    places = shared.groupBy("gram", "chunk").agg(F.min("size").alias("size"), F.max("most").alias("most"), F.count(F.lit(1)).alias("n"))
+    met = places.groupBy("gram").agg(F.sum("n").alias("n"), F.collect_list(F.struct("chunk", "size", "most")).alias("places")).where("size(places) > 1")
+    met = materialise(met.select("gram", "places", (F.col("n") * F.size("places") <= PAIR_ROWS).alias("each")), "met")
+    near = "size <= p.most AND p.size <= most"
+    each = shared.join(met.where("each").select("gram", "places"), "gram").select("node", "chunk", "size", "most", F.explode("places").alias("p"))
+    each = each.where(f"chunk != p.chunk AND {near}").select("node", F.least("chunk", "p.chunk").alias("i"), F.greatest("chunk", "p.chunk").alias("j"), (F.col("chunk") > F.col("p.chunk")).cast("int").alias("side"))
+    whole = met.where("NOT each").select(F.explode("places").alias("own"), "places").select("own.*", F.explode("places").alias("p"))
+    whole = whole.where(f"chunk < p.chunk AND {near}").select(F.col("chunk").alias("i"), F.col("p.chunk").alias("j")).distinct()
     sides = F.explode(F.array(F.struct(F.col("i").alias("chunk"), F.lit(0).alias("side")), F.struct(F.col("j").alias("chunk"), F.lit(1).alias("side")))).alias("s")
-    return alone.unionByName(pairs.select("i", "j", sides).select("s.chunk", "i", "j", "s.side"))
+    whole = cut.join(whole.select("i", "j", sides).select("s.chunk", "i", "j", "s.side"), "chunk").select("node", "i", "j", "side")
+    return alone.unionByName(each.unionByName(whole).distinct())
+
+
+def _links(rows: DataFrame, tasks: DataFrame, n: int, percent: int) -> DataFrame:
+    """``a, b, links`` of all tasks; where they take many times the sets, of some at a time, so that disk holds what those take."""
+    spark, tasks_at_once = rows.sparkSession, partitions(rows.sparkSession)
+    found, sent, grams = (x or 0 for x in tasks.select(F.sum(F.size("deals")), F.sum(F.size("deals") * F.col("size")), F.sum("size")).first())
+    rounds = max(1, math.ceil(sent / max(1, ROUND * grams)))
+    side = F.broadcast(tasks.drop("size")) if found <= BROADCAST_CLASSES else tasks.drop("size")
+    clear_shuffles(spark)
+    made = rows.join(side, F.col("doc_id") == F.col("node")).select("deals", "node", "text").mapInArrow(_sets(n), "deals array<struct<i: long, j: long, side: int>>, node long, own binary")
+    if rounds > 1:
+        made = materialise(made, "sets")
+    out = []
+    for k in range(rounds):
+        dealt = made.withColumn("deals", F.filter("deals", lambda d: F.pmod(F.xxhash64(d["i"], d["j"]), F.lit(rounds)) == k)) if rounds > 1 else made
+        dealt = dealt.select(F.explode("deals").alias("_d"), "node", "own").select("_d.i", "_d.j", "node", "_d.side", "own")
+        sets = dealt.repartition(tasks_at_once, "i", "j").sortWithinPartitions("i", "j")
+        out.append(materialise(sets.mapInArrow(_linked(percent), "a long, b long, links long"), "linked"))
+        del dealt, sets
+        clear_shuffles(spark)
+    return reduce(DataFrame.unionByName, out)
 
 
 CLASSES = "doc_id, n_shingles, class_id, links, component_id"
@@ -421,13 +458,9 @@ def _classes(rows: DataFrame, n: int, percent: int, block_grams: int, block_sets
     sized = materialise(blocks.join(keyed.select("doc_id", F.col("n_shingles").alias("size"), F.col("prefix")[0].alias("rarest")), "doc_id").withColumnRenamed("doc_id", "node"), "blocks")
     sized = sized.repartitionByRange(tasks_at_once, "block", "rarest", "node").sortWithinPartitions("block", "rarest", "node")
     members = materialise(sized.select("node", "block", "size").mapInArrow(_chunks(block_grams // 2, max(1, block_sets // 2)), "node long, block long, size long, chunk long"), "members")
-    tasks = members.select("node", "chunk").join(_tasks(members, keyed, percent), "chunk").select("node", "i", "j", "side")
-    tasks = materialise(tasks, "tasks")
-    found = tasks.count()
-    side = F.broadcast(tasks) if found <= BROADCAST_CLASSES else tasks
-    dealt = rows.join(side, F.col("doc_id") == F.col("node")).select("i", "j", "node", "side", "text").mapInArrow(_sets(n), "i long, j long, node long, side int, own binary")
-    sets = dealt.repartition(tasks_at_once, "i", "j").sortWithinPartitions("i", "j")
-    linked = materialise(sets.mapInArrow(_linked(percent), "a long, b long, links long"), "linked")
+    tasks = _tasks(members, keyed, percent).groupBy("node").agg(F.collect_list(F.struct("i", "j", "side")).alias("deals"))
+    tasks = materialise(tasks.join(members.select("node", "size"), "node"), "tasks")
+    linked = _links(rows, tasks, n, percent)
     joined = components(linked.select("a", "b"))
     degree = linked.groupBy(F.col("a").alias("class_id")).agg(F.sum("links").alias("_links"))
     reached = classes.join(joined.select(F.col("node").alias("class_id"), "component"), "class_id", "left").join(degree, "class_id", "left")

@@ -236,3 +236,41 @@ def test_components_with_hubs_and_odd_edges(spark):
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(2000), 0), **dict.fromkeys([10**6, -9, *range(2000, 4000)], -9)}
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def crossed(blocks=40, words=100):
+    """Groups of three near copies, each of which has one run of words of the next group: one block, hardly any links."""
+    rows = []
+    for g in range(blocks):
+        base = [f"w{g}_{k}" for k in range(words)]
+        base[:5] = [f"x{g}_{k}" for k in range(5)]
+        base[10:15] = [f"x{(g + 1) % blocks}_{k}" for k in range(5)]
+        for c in range(3):
+            own = list(base)
+            own[50 + c] = f"e{g}_{c}"
+            rows.append((len(rows), " ".join(own)))
+    return rows
+
+
+def test_chunks_of_a_block_get_only_classes_that_may_link(spark, monkeypatch):
+    rows = crossed()
+    want = plain_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    dealt, links = [], trie_join._links
+    monkeypatch.setattr(trie_join, "_links", lambda r, tasks, *a: (dealt.append(tasks.selectExpr("sum(size(deals))", "count(*)").first()), links(r, tasks, *a))[1])
+    # One order of all members, so that those of two groups are the first in each.
+    monkeypatch.setattr(trie_join, "commonness", lambda r, n: np.zeros(trie_join.PLACES, np.uint16))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in trie_join.jaccard_classes(docs, block_grams=1200, block_sets=8192).collect()}
+    assert got == want
+    assert dealt[0][0] < 3 * dealt[0][1]
+
+
+@pytest.mark.parametrize(("rows_of_a_pair", "rounds"), [(20_000, 0.4), (0, 2)])
+def test_rounds_and_whole_chunks_find_all_links(spark, monkeypatch, rows_of_a_pair, rounds):
+    rows = near_copies(3, groups=2)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(trie_join.jaccard_classes(docs).collect())
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in want} == plain_components(rows)
+    monkeypatch.setattr(trie_join, "PAIR_ROWS", rows_of_a_pair)
+    monkeypatch.setattr(trie_join, "ROUND", rounds)
+    assert sorted(trie_join.jaccard_classes(docs, block_grams=3000, block_sets=8).collect()) == want
