@@ -274,3 +274,13 @@ def test_rounds_and_whole_chunks_find_all_links(spark, monkeypatch, rows_of_a_pa
     monkeypatch.setattr(trie_join, "PAIR_ROWS", rows_of_a_pair)
     monkeypatch.setattr(trie_join, "ROUND", rounds)
     assert sorted(trie_join.jaccard_classes(docs, block_grams=3000, block_sets=8).collect()) == want
+
+
+def test_representatives_of_a_block_of_many_chunks(spark, monkeypatch):
+    """The pipeline's near dedup, in several chunks and rounds."""
+    rows = near_copies(5, groups=1, size=12)
+    monkeypatch.setattr(trie_join, "ROUND", 0.4)
+    classes = trie_join.jaccard_classes
+    monkeypatch.setattr(trie_join, "jaccard_classes", lambda d, n, p: classes(d, n, p, block_grams=600, block_sets=8))
+    kept = trie_join.representatives(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted({c for _, c in plain_components(rows).values()})
