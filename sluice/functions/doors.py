@@ -391,7 +391,9 @@ def door_duration(t: Column) -> Column:
 def door_text(raw: Column) -> Column:
     """The bytes as they are, where they are UTF-8; nothing is trimmed, and no bytes are an empty cell."""
     valid = F.is_valid_utf8(raw)
-    bad = F.octet_length(F.regexp_extract(F.make_valid_utf8(raw), "^[^�]*", 0))
+    # Replacement characters that the text has itself make way for others of as many bytes; only faults leave any.
+    own = F.replace(raw.cast("string"), F.lit("\ufffd"), F.lit("\ufffc"))
+    bad = F.octet_length(F.regexp_extract(F.make_valid_utf8(own), "^[^�]*", 0))
     reason = F.when(F.octet_length(raw) == 0, "empty").when(~valid, "malformed")
     detail = F.when(F.octet_length(raw) == 0, "blank").when(~valid, "invalidUtf8")
     value = F.when(reason.isNull(), raw.cast("string"))

@@ -183,10 +183,12 @@ def door_uuid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS bytes, length(text)::BIGINT AS chars, md5(text) AS same, 'invalidUtf8' AS broken, strlen(text)::BIGINT AS broken_at FROM documents")
 def door_text_utf8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts as they are, an empty one too, and with a byte behind that isn't UTF-8; where there is no text that byte stands alone."""
     raw = F.col("text").cast("binary")
-    cells = table(spark, sf_dir, "documents").select("doc_id", door(Door.TEXT, raw).alias("c"), door(Door.TEXT, F.concat(raw, F.lit(b"\xff"))).alias("b"))
-    v = F.col("c.value")
-    return cells.select("doc_id", F.octet_length(v).cast("bigint").alias("bytes"), F.char_length(v).cast("bigint").alias("chars"), F.md5(v.cast("binary")).alias("same"), F.col("b.detail").alias("broken"), F.col("b.offset").cast("bigint").alias("broken_at"))
+    broken = F.concat(F.coalesce(raw, F.lit(b"")), F.lit(b"\xff"))
+    cells = table(spark, sf_dir, "documents").select("doc_id", raw.isNotNull().alias("there"), door(Door.TEXT, raw).alias("c"), door(Door.TEXT, broken).alias("b"))
+    v = F.when(F.col("c.reason") == "empty", "").otherwise(F.col("c.value"))
+    return cells.select("doc_id", F.octet_length(v).cast("bigint").alias("bytes"), F.char_length(v).cast("bigint").alias("chars"), F.md5(v.cast("binary")).alias("same"), F.col("b.detail").alias("broken"), F.when(F.col("there"), F.col("b.offset")).cast("bigint").alias("broken_at"))
 
 
 @query("""SELECT coalesce(i.reason, 'ok') AS reason, count(*) AS n FROM (SELECT CASE WHEN trim(t) = '' THEN 'empty' WHEN NOT regexp_full_match(t, '[0-9]+') THEN 'malformed' WHEN TRY_CAST(t AS TINYINT) IS NULL THEN 'out_of_range' END AS reason
