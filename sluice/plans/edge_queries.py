@@ -19,7 +19,7 @@ from sluice.sources.workbook import Range, SheetOptions, Workbook, typed_door
 from sluice.types import AmbiguousColumn, CheckedColumn, DeclarationError, Door, NoColumn, StructuralFailure
 from sluice.working import materialise, work_path
 
-_PARTS = "spark.sql.files.maxPartitionBytes"
+_PARTS, _LEAST = "spark.sql.files.maxPartitionBytes", "spark.sql.files.minPartitionNum"
 
 
 # Framing
@@ -36,16 +36,18 @@ def frame_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", line.alias("value")).unionByName(spark.createDataFrame([(-1, "id,text")], "doc_id long, value string"))
     rows.repartition(1).sortWithinPartitions("doc_id").select("value").write.text(path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "length").first()
-    before, out = spark.conf.get(_PARTS), None
+    before, least, out = spark.conf.get(_PARTS), spark.conf.get(_LEAST, None), None
     try:
         for cuts in (1, 3, 50):
             spark.conf.set(_PARTS, str(files["length"] // cuts + 1))
+            spark.conf.set(_LEAST, str(cuts))  # else Spark cuts for as many tasks as there are cores
             typed = Delimited.open(spark, files["path"]).bind([Column("id", Door.I64, "doc_id"), Column("text")]).read()
             one = typed.frame.select(F.lit(cuts).alias("cuts"), F.col("doc_id.value").alias("doc_id"), F.col("_line").alias("line"), F.col("_record").alias("record"), F.md5(F.col("text.value").cast("binary")).alias("same"), F.col("text.reason").alias("reason"))
             one = materialise(one, "one-file-rows")
             out = one if out is None else out.unionByName(one)
     finally:
         spark.conf.set(_PARTS, before)
+        spark.conf.unset(_LEAST) if least is None else spark.conf.set(_LEAST, least)
     return out
 
 

@@ -1,7 +1,8 @@
 """Delimited text as DataFrames: sources are framed in Arrow batches.
 
-A file that fits one of Spark's partitions (``spark.sql.files.maxPartitionBytes``) is framed in one task; a larger one is cut
-into ranges (``sluice.sources.ranges``). UTF-16 and compressed files, which can't be cut, are always whole.
+A file of up to WHOLE bytes that fits one of Spark's partitions (``spark.sql.files.maxPartitionBytes``) is framed at once; a
+larger one is read by ranges (``sluice.sources.ranges``), of which a task holds a slice at a time. UTF-16 and compressed files,
+which can't be cut, are always whole.
 """
 
 from __future__ import annotations
@@ -90,6 +91,8 @@ def _headers(dialect: Dialect):
 
 #: Bytes of a file that one task can take whole.
 LARGEST = (1 << 31) - 1
+#: Bytes of a file that is framed whole though it could be cut.
+WHOLE = 32 << 20
 _COMPRESSED = (".gz", ".bz2", ".zst", ".lz4", ".snappy", ".deflate")
 
 
@@ -113,7 +116,7 @@ class Delimited:
         def whole(paths: str | Sequence[str]) -> DataFrame:
             return spark.read.format("binaryFile").load(paths)
 
-        most = LARGEST if dialect.encoding == "utf-16le" else min(LARGEST, _partition_bytes(spark))
+        most = LARGEST if dialect.encoding == "utf-16le" else min(WHOLE, _partition_bytes(spark))
         name, content = F.col("_metadata.file_path").alias("_source"), F.col("content").alias("_bytes")
         files = whole(path)
         small = files.where(F.col("length") <= most).select(name, content)

@@ -5,6 +5,8 @@ of it, so the first pass scans each range both ways and keeps little: how it end
 each width first occurs, and what a record that is open at its end, or was open at its beginning, has in it. Those notes are
 put in order for each file, which tells every range's state and first numbers, the file's width and its first failure.
 The second pass frames ranges as the notes say. Records that lie in several ranges are framed apart, from their pieces.
+Both passes take a range in slices of whole lines, so that a task holds a slice and the record that is open at its end,
+however large the range is.
 
 Encodings have to be one byte a character or UTF-8. A file whose head (skipped lines, discarded records, the header) isn't
 complete in its first range is left to the reader of whole files.
@@ -14,20 +16,24 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column as SparkColumn
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.plans.dialect import Dialect
-from sluice.sources.framing import Failure, Record, one_record, records, rest_of_record, transcode
+from sluice.sources.framing import Failure, Record, one_record, records, transcode
 
 #: Ranges whose notes are broadcast at once, some 100 bytes each; files beyond are read in groups of as many.
 RANGES = 500_000
+#: Bytes of a range that are framed at once.
+SLICE = 4 << 20
 _ENDS = re.compile(rb"\r\n|\r|\n")
 NOTES = "_source string, start long, notes string"
 PLAN = "_source string, start long, entry int, number long, line long, width int, stop long, open long, crossing boolean, whole boolean, header array<binary>, failure struct<kind: string, record: long, line: long, byte: long, expected: int, found: int>"
@@ -39,24 +45,105 @@ def lines_of(spark: SparkSession, paths: list[str]) -> DataFrame:
     return lines.select(F.col("_metadata.file_path").alias("_source"), F.col("_metadata.file_block_start").alias("start"), F.col("_metadata.file_size").alias("size"), F.col("value").cast("binary").alias("line"))
 
 
-def _ranges(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[tuple, bytes]]:
-    """Ranges as key (source, start, file's size, and further columns) and bytes."""
-    key, held = None, []
-    for batch in batches:
-        starts = batch.column(1).to_numpy()
-        sources = batch.column(0).dictionary_encode().indices.to_numpy()
-        cuts = np.flatnonzero((starts[1:] != starts[:-1]) | (sources[1:] != sources[:-1])) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            if a == b:
-                continue
-            own = tuple(batch.column(i)[a].as_py() for i in range(3 + extra))
-            if key is None or own[:2] != key[:2]:
-                if key is not None:
-                    yield key, b"".join(held)
-                key, held = own, []
-            held.append(b"\n".join(batch.column(3 + extra).slice(a, b - a).to_pylist()) + b"\n")
-    if key is not None:
-        yield key, b"".join(held)
+def _ranges(batches: Iterator[pa.RecordBatch], extra: int = 0) -> Iterator[tuple[tuple, Iterator[bytes]]]:
+    """Ranges as key (source, start, file's size, and further columns) and slices, which have to be taken ahead of the next range."""
+
+    def parts() -> Iterator[tuple[tuple, pa.Array]]:
+        for batch in batches:
+            starts = batch.column(1).to_numpy()
+            sources = batch.column(0).dictionary_encode().indices.to_numpy()
+            cuts = np.flatnonzero((starts[1:] != starts[:-1]) | (sources[1:] != sources[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+                if a != b:
+                    yield tuple(batch.column(i)[a].as_py() for i in range(3 + extra)), batch.column(3 + extra).slice(a, b - a)
+
+    for key, own in groupby(parts(), lambda part: part[0]):
+        yield key, _slices(lines for _, lines in own)
+
+
+def _slices(parts: Iterable[pa.Array]) -> Iterator[bytes]:
+    """Lines with their feeds, in slices of SLICE bytes and the rest of a line."""
+    held, size = [], 0
+    for lines in parts:
+        ends = np.cumsum(pc.binary_length(lines).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        a = before = 0
+        while a < len(lines):
+            b = min(int(np.searchsorted(ends, before + SLICE - size)) + 1, len(lines))
+            held.append(b"\n".join(lines.slice(a, b - a).to_pylist()) + b"\n")
+            size += int(ends[b - 1]) - before
+            a, before = b, int(ends[b - 1])
+            if size >= SLICE:
+                yield b"".join(held)
+                held, size = [], 0
+    if held:
+        yield b"".join(held)
+
+
+class _Open:
+    """A record that goes on in the next slice, or has: its cells only where they are kept."""
+
+    def __init__(self, number: int, line: int, byte: int, keep: bool):
+        self.number, self.line, self.byte, self.keep = number, line, byte, keep
+        self.width, self.length = 1, 0
+        self.quoted: list[bool] = []
+        self._done: list[bytes] = []
+        self._last: list[bytes] = []
+
+    def add(self, cells: list[bytes], quoted: list[bool]) -> None:
+        """What a slice has of it; the first cell goes on with the last one."""
+        self.width, self.length = self.width + len(cells) - 1, self.length + sum(map(len, cells))
+        if self.keep:
+            self.quoted += quoted[1:] if self.quoted else quoted
+            self._last.append(cells[0])
+            for c in cells[1:]:
+                self._done.append(b"".join(self._last))
+                self._last = [c]
+
+    @property
+    def cells(self) -> list[bytes]:
+        return [*self._done, b"".join(self._last)]
+
+
+class _Walk:
+    """The records of a range, slice by slice. A slice ends with a line, so that at its end a record is over or in a quoted cell.
+
+    Numbers and bytes are from 0 at the range's beginning, lines from 1. What slices have of a record that lies in several of
+    them is put together only while `keep` is set.
+    """
+
+    def __init__(self, dialect: Dialect, first: bool, inside: bool, keep: bool):
+        self.dialect, self.keep, self.skip = dialect, keep, dialect.skip if first else 0
+        self.number = self.line = self.byte = 0
+        #: The record that was open at the range's beginning, whether it still is, and where it ends in the slice.
+        self.lead, self.leading, self.end = _Open(-1, 0, 0, False), inside, 0
+        self.open: _Open | None = None
+
+    def records(self, data: bytes) -> Iterator[Record | _Open]:
+        """The records that end in the next slice; the caller takes all of them, or goes no further."""
+        at = lines = number = 0
+        while self.skip and at < len(data):
+            m = _ENDS.search(data, at)
+            at, lines, self.skip = m.end() if m else len(data), lines + 1, self.skip - 1
+        done = True
+        if self.leading or self.open is not None:
+            cells, quoted, end, done = one_record(b'"' + data, self.dialect, 0)
+            (self.lead if self.leading else self.open).add(cells, quoted)
+            at, lines = end - 1, len(_ENDS.findall(data, 0, end - 1))
+            if self.leading:
+                self.leading, self.end = not done, at
+            elif done:
+                whole, self.open = self.open, None
+                yield whole
+        for r in records(data, self.dialect, at) if done else ():
+            if isinstance(r, Failure):
+                cells, quoted, _, _ = one_record(data, self.dialect, r.byte)
+                self.open = _Open(self.number + r.record, self.line + lines + r.line, self.byte + r.byte, self.keep)
+                self.open.add(cells, quoted)
+                number = r.record + 1
+            else:
+                number = r.number + 1
+                yield Record(self.number + r.number, self.line + lines + r.line, self.byte + r.byte, r.cells, r.quoted)
+        self.number, self.line, self.byte = self.number + number, self.line + len(_ENDS.findall(data)), self.byte + len(data)
 
 
 @dataclass
@@ -77,65 +164,57 @@ class _Note:
     broken_header: tuple[int, int, int] | None = None
 
 
-def _start(data: bytes, dialect: Dialect, first: bool) -> tuple[int, int]:
-    """Where records begin in a range, and how many lines lie ahead: skipped ones, in a file's first range."""
-    at = lines = 0
-    for _ in range(dialect.skip if first else 0):
-        if at >= len(data):
-            break
-        m = _ENDS.search(data, at)
-        at, lines = m.end() if m else len(data), lines + 1
-    return at, lines
-
-
-def _body(data: bytes, dialect: Dialect, first: bool, inside: bool) -> tuple[int, int, bool, int, int]:
-    """Where records begin, lines ahead of that, and of a record open at the beginning: whether it ends, its further cells, and bytes of cells."""
-    if not inside:
-        return *_start(data, dialect, first), True, 0, 0
-    cells, end, done = rest_of_record(data, dialect)
-    return end, len(_ENDS.findall(data, 0, end)), done, len(cells) - 1, sum(map(len, cells))
-
-
-def _note(data: bytes, dialect: Dialect, first: bool, inside: bool) -> _Note:
-    at, ahead, done, cells, length = _body(data, dialect, first, inside)
-    note = _Note(lead_done=done, lead_cells=cells, lead_length=length, head=not first)
-    if not done:
-        note.exit = 1
-        return note
-    discard = dialect.header_row if first else 0
-    for r in records(data, dialect, at):
-        line = ahead + r.line
-        if isinstance(r, Failure):
-            found, _, _, _ = one_record(data, dialect, r.byte)
-            note.open, note.exit, note.records = (r.record, line, r.byte, len(found), sum(map(len, found))), 1, r.record + 1
-            return note
-        note.records = r.number + 1
-        if len(r.cells) == 1 and not r.cells[0] and not r.quoted[0] and dialect.skip_blank_lines:
-            continue
-        if sum(map(len, r.cells)) > dialect.longest_record and note.long is None:
-            note.long = r.number, line, r.byte
-        if discard:
-            discard -= 1
-        elif not note.head:
-            note.head, note.width = True, len(r.cells)
-            if dialect.has_header:
-                try:
-                    note.header = [c.decode() for c in r.cells]
-                except UnicodeDecodeError:
-                    note.broken_header = r.number, line, r.byte
-        elif len(r.cells) not in note.widths:
-            note.widths[len(r.cells)] = r.number, line, r.byte
-    return note
+class _Notes:
+    """The note of a range that is entered in one state, slice by slice."""
+
+    def __init__(self, dialect: Dialect, first: bool, inside: bool):
+        self.dialect, self.discard = dialect, dialect.header_row if first else 0
+        self.note = _Note(head=not first)
+        self.walk = _Walk(dialect, first, inside, first)
+
+    def add(self, data: bytes) -> None:
+        note, dialect = self.note, self.dialect
+        for r in self.walk.records(data):
+            across = isinstance(r, _Open)
+            width = r.width if across else len(r.cells)
+            if not across and width == 1 and not r.cells[0] and not r.quoted[0] and dialect.skip_blank_lines:
+                continue
+            if (r.length if across else sum(map(len, r.cells))) > dialect.longest_record and note.long is None:
+                note.long = r.number, r.line, r.byte
+            if self.discard:
+                self.discard -= 1
+            elif not note.head:
+                note.head, note.width, self.walk.keep = True, width, False
+                if dialect.has_header:
+                    try:
+                        note.header = [c.decode() for c in r.cells]
+                    except UnicodeDecodeError:
+                        note.broken_header = r.number, r.line, r.byte
+            elif width not in note.widths:
+                note.widths[width] = r.number, r.line, r.byte
+
+    def done(self) -> dict:
+        walk, note = self.walk, self.note
+        note.lead_done, note.lead_cells, note.lead_length = not walk.leading, walk.lead.width - 1, walk.lead.length
+        note.records, note.exit = walk.number, int(walk.leading or walk.open is not None)
+        if walk.open is not None:
+            note.open = walk.open.number, walk.open.line, walk.open.byte, walk.open.width, walk.open.length
+        return note.__dict__
 
 
 def _take_notes(dialect: Dialect):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (source, start, size), raw in _ranges(batches):
-            data = transcode(raw, dialect.encoding)[0]
-            both = [_note(data, dialect, start == 0, False).__dict__]
+        for (source, start, size), slices in _ranges(batches):
             # A range without a quote, entered inside a cell, is inside it all along.
-            both.append(_note(data, dialect, False, True).__dict__ if dialect.quoting and start else {})
-            notes = {"size": len(data), "raw": len(raw), "file": size, "lines": len(_ENDS.findall(data)), "states": both}
+            both = [_Notes(dialect, start == 0, inside) for inside in ((False, True) if dialect.quoting and start else (False,))]
+            length = raw = lines = 0
+            for part in slices:
+                data = transcode(part, dialect.encoding)[0]
+                for notes in both:
+                    notes.add(data)
+                length, raw, lines = length + len(data), raw + len(part), lines + len(_ENDS.findall(data))
+            states = [notes.done() for notes in both]
+            notes = {"size": length, "raw": raw, "file": size, "lines": lines, "states": states if len(states) == 2 else [*states, {}]}
             yield pa.RecordBatch.from_pydict({"_source": [source], "start": pa.array([start], pa.int64()), "notes": [json.dumps(notes)]})
 
     return run
@@ -215,49 +294,66 @@ def framed(dialect: Dialect, batch, rows_at_once: int):
     """The records that lie in one range each; batch(source, rows, width) makes a record batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (source, start, _, entry, number, line, width, stop, *_), raw in _ranges(batches, len(_PLANNED)):
-            data = transcode(raw, dialect.encoding)[0]
-            at, ahead, done, *_ = _body(data, dialect, start == 0, bool(entry))
-            rows: list[Record] = []
+        for (source, start, _, entry, number, line, width, stop, *_), slices in _ranges(batches, len(_PLANNED)):
+            walk = _Walk(dialect, start == 0, bool(entry), True)
             discard, waiting = (dialect.header_row, dialect.has_header) if start == 0 else (0, False)
-            for r in records(data, dialect, at) if done else ():
-                if isinstance(r, Failure) or (stop is not None and number + r.number >= stop):
+            over = False
+            for part in slices:
+                rows: list[Record] = []
+                for r in walk.records(transcode(part, dialect.encoding)[0]):
+                    if over := stop is not None and number + r.number >= stop:
+                        break
+                    cells = r.cells
+                    if len(cells) == 1 and not cells[0] and not r.quoted[0] and dialect.skip_blank_lines:
+                        continue
+                    if discard:
+                        discard -= 1
+                    elif waiting:
+                        waiting = False
+                    else:
+                        rows.append(Record(number + r.number, line + r.line, r.byte, cells, r.quoted))
+                        if len(rows) == rows_at_once:
+                            yield batch(source, rows, width)
+                            rows = []
+                if rows:
+                    yield batch(source, rows, width)
+                if over or (walk.open is not None and stop is not None and number + walk.open.number >= stop):
                     break
-                if len(r.cells) == 1 and not r.cells[0] and not r.quoted[0] and dialect.skip_blank_lines:
-                    continue
-                if discard:
-                    discard -= 1
-                elif waiting:
-                    waiting = False
-                else:
-                    rows.append(Record(number + r.number, line + ahead + r.line, r.byte, r.cells, r.quoted))
-                    if len(rows) == rows_at_once:
-                        yield batch(source, rows, width)
-                        rows = []
-            if rows:
-                yield batch(source, rows, width)
 
     return run
 
 
-PIECES = "_source string, record long, start long, line long, width int, piece binary"
+PIECES = "_source string, record long, start long, slice int, line long, width int, piece binary"
 
 
 def pieces(dialect: Dialect):
     """The parts of records that lie in several ranges."""
+    schema = pa.schema([("_source", pa.string()), ("record", pa.int64()), ("start", pa.int64()), ("slice", pa.int32()), ("line", pa.int64()), ("width", pa.int32()), ("piece", pa.binary())])
+    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (source, start, _, entry, number, line, width, stop, opened, crossing), raw in _ranges(batches, len(_PLANNED)):
-            data = transcode(raw, dialect.encoding)[0]
-            at, ahead, done, *_ = _body(data, dialect, start == 0, bool(entry))
-            out = [(opened, None, data[:at])] if entry else []
-            if crossing and done:
-                last = next(r for r in records(data, dialect, at) if isinstance(r, Failure))
-                out.append((number + last.record, line + ahead + last.line, data[last.byte :]))
-            out = [x for x in out if stop is None or x[0] < stop]
-            if out:
-                n = len(out)
-                yield pa.RecordBatch.from_arrays([pa.array([source] * n), pa.array([r for r, *_ in out], pa.int64()), pa.array([start] * n, pa.int64()), pa.array([k for _, k, _ in out], pa.int64()), pa.array([width] * n, pa.int32()), pa.array([p for *_, p in out], pa.binary())], [x.split()[0] for x in PIECES.split(", ")])
+        for (source, start, _, entry, number, line, width, stop, opened, crossing), slices in _ranges(batches, len(_PLANNED)):
+
+            def piece(record: int, k: int, at: int | None, data: bytes) -> pa.RecordBatch:
+                return pa.RecordBatch.from_pylist([dict(zip(names, (source, record, start, k, at, width, data), strict=True))], schema)  # noqa: B023
+
+            walk = _Walk(dialect, start == 0, bool(entry), False)
+            held: list[tuple[int, bytes]] = []
+            for k, part in enumerate(slices):
+                data, leading, before = transcode(part, dialect.encoding)[0], walk.leading, walk.byte
+                for _ in walk.records(data):
+                    pass
+                if leading and (stop is None or opened < stop):
+                    yield piece(opened, k, None, data[: walk.end])
+                last = walk.open if crossing and walk.open is not None and (stop is None or number + walk.open.number < stop) else None
+                if last is None:
+                    held = []
+                elif last.byte < before:
+                    held.append((k, data))
+                else:
+                    held = [(k, data[last.byte - before :])]
+            for k, data in held:
+                yield piece(number + last.number, k, line + last.line, data)
 
     return run
 
@@ -266,9 +362,9 @@ def joined(dialect: Dialect, batch):
     """A record from its pieces."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "line", "piece")), strict=True), key=lambda r: r[0])
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "slice", "line", "piece")), strict=True), key=lambda r: r[:2])
         cells, quoted, _, _ = one_record(b"".join(p for *_, p in rows), dialect, 0)
-        record = Record(table.column("record")[0].as_py(), rows[0][1], 0, cells, quoted)
+        record = Record(table.column("record")[0].as_py(), rows[0][2], 0, cells, quoted)
         return pa.Table.from_batches([batch(table.column("_source")[0].as_py(), [record], table.column("width")[0].as_py())])
 
     return run

@@ -13,7 +13,7 @@ from sluice.types import Door
 TEXTS = ["plain", None, "", " ", "\t\n", "\ufffd", "é\ufffd x", "\ufffc\ufffd", "😀 e\u0301", 'q"uo""te', "a\r\nb\rc\n", "\x00", "\ufeffmark", "x" * 70_000]
 
 
-@pytest.mark.parametrize("name", ["door_text_utf8"])
+@pytest.mark.parametrize("name", ["door_text_utf8", "frame_ranges"])
 def test_same_rows_as_sql(spark, tmp_path, name):
     pq.write_table(pa.table({"doc_id": pa.array(range(len(TEXTS)), pa.int64()), "text": pa.array(TEXTS, pa.string())}), f"{tmp_path}/documents.parquet")
     con = duckdb.connect()
